@@ -1,0 +1,88 @@
+"""A gram index over blocks of entries: which blocks can hold a keyword at all."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..functions.text import clean_keywords, keyword_predicate, normalize_sxfy
+from .search import text_grams
+
+ENTRIES_PER_BLOCK = 256
+
+
+def block_id() -> Column:
+    """Neighbouring lines of a file share a block. A hash clash merges two blocks, which only costs pruning."""
+    return F.xxhash64("source_path", F.floor(F.col("line_no") / ENTRIES_PER_BLOCK))
+
+
+def build_postings(entries: DataFrame, sizes=(1, 2, 3)) -> DataFrame:
+    """Distinct (gram, block) pairs of the lower-cased, SxFyW-normalised messages."""
+    text = F.lower(normalize_sxfy(F.col("message")))
+    # Distinct inside the row first: a long message offers each gram once.
+    found = F.array_distinct(F.concat(*[text_grams(text, n) for n in sizes]))
+    return entries.select(block_id().alias("block"), F.explode(found).alias("gram")).distinct()
+
+
+def index_key(manifest: DataFrame, skip_setup_dump: bool, excluded_ceids=()) -> str:
+    """Identity of an index: the analysed files and the parse options."""
+    files = manifest.agg(
+        F.count("*").alias("n"),
+        F.sum(F.xxhash64("source_path", "size", "modified").cast("decimal(38,0)")).cast("string").alias("files"),
+    ).first()
+    payload = {
+        "files": [files["n"], files["files"]],
+        "skip_setup_dump": bool(skip_setup_dump),
+        "excluded": sorted([int(a), int(b)] for a, b in excluded_ceids),
+    }
+    return hashlib.sha256(json.dumps(payload, sort_keys=True).encode()).hexdigest()
+
+
+def write_index(entries: DataFrame, path: str, key: str, sizes=(1, 2, 3)) -> None:
+    """Postings sorted by gram, so a keyword reads few row groups; the range partitioning splits frequent grams."""
+    postings = build_postings(entries, sizes)
+    postings.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block").write.mode("overwrite").parquet(
+        f"{path}/postings"
+    )
+    about = entries.agg(F.count("*").alias("entries")).withColumns(
+        {"key": F.lit(key), "sizes": F.lit(",".join(map(str, sizes)))}
+    )
+    about.write.mode("overwrite").json(f"{path}/about")
+
+
+def index_is_valid(spark: SparkSession, path: str, entry_count: int, key: str) -> bool:
+    """Same entry count and same key as when the index was written."""
+    try:
+        about = spark.read.json(f"{path}/about").first()
+    except Exception:
+        return False
+    return about is not None and about["entries"] == entry_count and about["key"] == key
+
+
+def candidate_blocks(postings: DataFrame, keyword: str, sizes=(1, 2, 3)) -> DataFrame | None:
+    """Blocks that have every gram of the keyword; None when the index cannot tell and all blocks must be read."""
+    word = keyword.lower()
+    if not word.isascii():
+        return None
+    size = min(max(sizes), len(word))
+    if size not in sizes:
+        return None
+    wanted = sorted({word[i : i + size] for i in range(len(word) - size + 1)})
+    hits = postings.filter(F.col("gram").isin(*wanted)).groupBy("block").agg(F.count("*").alias("n"))
+    return hits.filter(F.col("n") == len(wanted)).select("block")
+
+
+def indexed_search(
+    entries: DataFrame, postings: DataFrame, keyword: str, case_sensitive: bool = False, sizes=(1, 2, 3)
+) -> DataFrame:
+    """Entries that hold a literal keyword; every candidate is verified, so the result equals a full scan."""
+    words = clean_keywords([keyword])
+    if not words:
+        return entries.filter(F.lit(False))
+    verified = entries.filter(keyword_predicate(F.col("message"), words[0], case_sensitive))
+    blocks = candidate_blocks(postings, words[0], sizes)
+    if blocks is None:
+        return verified
+    return verified.withColumn("block", block_id()).join(blocks, "block", "left_semi").drop("block")
