@@ -11,6 +11,7 @@ from ..staging import stage
 from .raw import SUPPORTED
 
 SCHEMA_VERSION = 1
+LINES_PER_TASK = 4_000_000
 FINGERPRINT = ["source_path", "size", "modified", "options"]
 
 
@@ -55,9 +56,28 @@ def require_unchanged(parsed: DataFrame, current: DataFrame) -> None:
         raise RuntimeError(f"files changed since they were analysed, e.g. {changed}")
 
 
-def _bucket():
-    # Entries are stored per hash bucket of their file; a third of the data in one file still splits into row groups.
-    return F.substring(F.sha2("source_path", 256), 1, 8)
+def file_bucket():
+    """Storage partition of a file: a 64-bit hash of its path, so that a file can be replaced on its own."""
+    return F.substring(F.sha2("source_path", 256), 1, 16)
+
+
+def write_entries(entries: DataFrame, store: str) -> None:
+    """Replace the stored entries of the files in `entries`; a large file is written by several tasks."""
+    (
+        entries.withColumn("bucket", file_bucket())
+        .repartition("bucket", F.floor(F.col("line_no") / LINES_PER_TASK))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("bucket")
+        .parquet(f"{store}/entries")
+    )
+
+
+def _delete_buckets(spark: SparkSession, store: str, buckets) -> None:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for bucket in buckets:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/entries/bucket={bucket}")
+        path.getFileSystem(conf).delete(path, True)
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
@@ -76,20 +96,15 @@ def ingest(spark: SparkSession, paths, store: str, parse, *, skip_setup_dump: bo
     dynamic partition overwrite; files that are gone from the listing keep no entries.
     """
     options = options_signature(skip_setup_dump, excluded_ceids)
-    current = stage(file_manifest(spark, paths, options).withColumn("bucket", _bucket()), "manifest")
+    current = stage(file_manifest(spark, paths, options).withColumn("bucket", file_bucket()), "manifest")
     previous = _read(spark, f"{store}/manifest")
-    todo = changed_files(current.drop("bucket"), None if previous is None else previous.drop("bucket"))
+    todo = changed_files(current, previous)
     # The list of changed files is driver metadata, as any file listing is.
-    changed = [row["source_path"] for row in todo.select("source_path").collect()]
+    changed = todo.select("source_path", "bucket").collect()
     if changed:
-        entries = parse(changed)
-        (
-            entries.withColumn("bucket", _bucket())
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("bucket")
-            .parquet(f"{store}/entries")
-        )
+        # Cleared first: a file that no longer yields entries must not keep its old ones.
+        _delete_buckets(spark, store, [row["bucket"] for row in changed])
+        write_entries(parse([row["source_path"] for row in changed]), store)
     current.write.mode("overwrite").parquet(f"{store}/manifest")
     return {"hits": current.count() - len(changed), "misses": len(changed)}
 
@@ -105,8 +120,5 @@ def drop_superseded(spark: SparkSession, store: str) -> list[str]:
     kept = spark.read.parquet(f"{store}/manifest").select("bucket").distinct()
     stored = spark.read.parquet(f"{store}/entries").select(F.col("bucket").cast("string").alias("bucket")).distinct()
     gone = [row["bucket"] for row in stored.join(kept, "bucket", "left_anti").collect()]
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for bucket in gone:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/entries/bucket={bucket}")
-        path.getFileSystem(conf).delete(path, True)
+    _delete_buckets(spark, store, gone)
     return gone

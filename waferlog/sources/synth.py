@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..functions.text import from_millis
 from ..operators.detect import SECS_NAME
 from ..operators.ordered import running_offset
-from ..schema import MMI, SECS
+from ..schema import MMI, SECS, entry_key
 from ..staging import stage
 
 ROWS_PER_BLOCK = 4096
@@ -124,6 +125,51 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return number_pieces(events.select("event_id", name.alias("source_file"), pieces.alias("pieces")), "event_id")
 
 
+def setup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`events` as MMI lines with setup dumps: markers in headers and in continuation lines, colours 1 and 21."""
+    k = F.regexp_extract("props", r"(\d+)", 1).cast("long")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        "event_id", "event_type", k.alias("k"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss:SSS").alias("at")
+    )
+    k = F.col("k")
+    text = (
+        F.when((F.col("event_type") == "error") & (k % 10 == 0), "[Setup.ini] LOGGING")
+        .when((F.col("event_type") == "click") & (k % 10 == 0), "[setup.INI] finish")
+        .otherwise(_text("step ", k))
+    )
+    color = F.when(k % 3 == 0, "21").otherwise("1")
+    tail = (
+        F.when(k % 20 == 3, F.array(F.lit("  [Other.ini] LOGGING")))
+        .when(k % 20 == 7, F.array(F.lit("[Other.ini] FINISH"), F.lit("")))
+        .when(k % 20 == 10, F.array(F.lit("[Other.ini] LOGGING"), F.lit("[Other.ini] FINISH")))
+        .otherwise(F.array().cast("array<string>"))
+    )
+    name = F.concat(F.replace(F.substring("at", 1, 10), F.lit("-"), F.lit("_")), F.lit(".log"))
+    head = _text(F.col("at"), "|", color, "|", F.col("event_id"), "|", text)
+    return number_pieces(
+        events.select("event_id", name.alias("source_file"), F.concat(F.array(head), tail).alias("pieces")), "event_id"
+    )
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents` as one file each, (source_path, source_file, content): names and headers of both dialects."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    kind = F.col("doc_id") % 4
+    name = (
+        F.when(kind == 0, "2024_03_05.log").when(kind == 1, "2024-03-05 7.tslog").when(kind == 2, "notes.TXT")
+        .otherwise("2024-03-05.log")
+    )
+    head = (
+        F.when(F.col("doc_id") % 3 == 0, "2024-03-05 07:00:00:001|1|1|").when(F.col("doc_id") % 3 == 1, "07:00:00:001: [2] ")
+        .otherwise("")
+    )
+    return docs.select(
+        _text("doc", F.col("doc_id"), "/", name).alias("source_path"),
+        name.alias("source_file"),
+        F.concat(head, F.col("text")).alias("content"),
+    )
+
+
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`documents` as MMI entries: first line is the message, other lines continue it; one file per language."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
@@ -131,7 +177,7 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("lang") == "en", "01").when(F.col("lang") == "fr", "02").when(F.col("lang") == "de", "03")
         .otherwise("04")
     )
-    clock = F.date_format(F.timestamp_millis(F.col("doc_id") % 86_400_000), "HH:mm:ss:SSS")
+    clock = F.date_format(from_millis(F.col("doc_id") % 86_400_000), "HH:mm:ss:SSS")
     head = _text("2024-02-", day, " ", clock, "|1|", F.col("doc_id"), "|")
     lines = F.split("text", "\n")
     pieces = F.transform(lines, lambda line, i: F.when(i == 0, F.concat(head, line)).otherwise(line))
@@ -143,7 +189,7 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`conversations` as SECS entries: one turn per message, its lines indented; one file per conversation hour."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    clock = F.date_format(F.timestamp_millis(F.col("conv_id") * 1000 % 3_600_000 + F.col("turn")), "HH:mm:ss:SSS")
+    clock = F.date_format(from_millis(F.col("conv_id") * 1000 % 3_600_000 + F.col("turn")), "HH:mm:ss:SSS")
     hour = F.floor(F.col("conv_id") / 3600) % 24
     name = F.format_string("2024-03-01 %02d.log", hour)
     lines = F.transform(F.split("text", "\n"), lambda line: F.concat(F.lit("  "), line))
@@ -162,3 +208,37 @@ def staged_lines(lines: DataFrame) -> DataFrame:
     """Synthesised lines written once, with the dialect that their file names settle."""
     by_name = F.when(F.col("source_file").rlike(SECS_NAME), SECS).otherwise(MMI)
     return stage(lines.withColumn("dialect", by_name), "lines")
+
+
+# ---------------------------------------------------------------- reference dimensions and bookmarks
+
+
+def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`part` as Events(CEId, Name): every tenth name is missing, the others are padded."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    name = F.when(F.col("p_partkey") % 10 != 0, F.concat(F.lit(" "), F.col("p_name"), F.lit("  ")))
+    return part.select((F.col("p_partkey") + 1000).alias("CEId"), name.alias("Name"))
+
+
+def report_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`supplier` as ReportVariables(RepId, Index_No, VId)."""
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return supplier.select(
+        (F.col("s_suppkey") % 12 + 10).alias("RepId"),
+        F.col("s_suppkey").alias("Index_No"),
+        (F.col("s_nationkey") + 2000).alias("VId"),
+    )
+
+
+def variable_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`nation` as Variables(VId, Name), without the last five."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").filter("n_nationkey < 20")
+    return nation.select((F.col("n_nationkey") + 2000).alias("VId"), F.col("n_name").alias("Name"))
+
+
+def bookmark_table(spark: SparkSession, sf_dir: str, document_entries: DataFrame) -> DataFrame:
+    """`labels` of good quality as bookmarks(entry_key, memo) of the document entries."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1")
+    memo = F.when(F.col("toxic") == 1, "check\nagain").otherwise("ok")
+    keyed = document_entries.select(F.col("seq_index").alias("doc_id"), entry_key().alias("entry_key"))
+    return keyed.join(labels, "doc_id").select("entry_key", memo.alias("memo"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.entries import parse_entries
-from ..sources.manifest import _bucket
+from ..sources.manifest import write_entries
 from ..sources.raw import SUPPORTED, read_log_files
 
 
@@ -31,14 +31,7 @@ def follow_folder(
         paths = [row["path"] for row in batch.collect()]
         if not paths:
             return
-        entries = parse_entries(read_log_files(batch.sparkSession, paths), **options)
-        (
-            entries.withColumn("bucket", _bucket())
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("bucket")
-            .parquet(f"{store}/entries")
-        )
+        write_entries(parse_entries(read_log_files(batch.sparkSession, paths), **options), store)
 
     writer = names.writeStream.foreachBatch(parse_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
