@@ -180,9 +180,24 @@ def report_gap_text(ms: Column) -> Column:
     return F.when(ms.isNull(), "").otherwise(F.concat(sign, text))
 
 
+# 2**52, 2**51, ... 2**47 modulo 1000, for seconds below 2, 4, ... 64.
+_SCALE = ((2_000, 496), (4_000, 248), (8_000, 624), (16_000, 312), (32_000, 656), (64_000, 328))
+
+
 def _one_decimal(ms: Column) -> Column:
-    # Round half to even on the binary quotient, as C-style formatting does.
-    return F.format_string("%.1f", F.bround((ms / 1000).cast("double"), 1))
+    """Seconds with one decimal, rounded as the binary quotient ms / 1000 rounds when printed.
+
+    Only x.x5 is in doubt: whether its nearest binary number lies above or below follows from the remainder of the
+    scaled numerator; a number that is exact rounds to the even digit.
+    """
+    scale = F.lit(_SCALE[-1][1])
+    for limit, factor in reversed(_SCALE[:-1]):
+        scale = F.when(ms < limit, factor).otherwise(scale)
+    down = F.floor(ms / 100)
+    rest = (ms % 1000) * scale % 1000
+    tie = F.when(rest == 0, down + down % 2).when(rest > 500, down + 1).otherwise(down)
+    tenths = F.when(ms % 100 == 50, tie).otherwise(F.floor((ms + 50) / 100))
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
 
 
 def short_message(message: Column, limit: int = 120) -> Column:

@@ -39,16 +39,14 @@ def within(entries: DataFrame, anchors: DataFrame, seconds: int) -> DataFrame:
         F.min("_a").alias("_lo"), F.max("_a").alias("_hi")
     )
     around = own.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("_b").alias("_bucket"), F.lit(True).alias("_own"), F.lit(None).cast("long").alias("_last"), F.lit(None).cast("long").alias("_next")),
-                F.struct(F.col("_b") + 1, F.lit(False), F.col("_hi"), F.lit(None).cast("long")),
-                F.struct(F.col("_b") - 1, F.lit(False), F.lit(None).cast("long"), F.col("_lo")),
-            )
-        ).alias("_x")
-    ).select("_x.*")
+        F.explode(F.array(*[F.struct((F.col("_b") + step).alias("_bucket"), F.lit(step).alias("_step")) for step in (-1, 0, 1)])).alias("_x"),
+        "_lo",
+        "_hi",
+    ).select("_x.*", "_lo", "_hi")
     reach = around.groupBy("_bucket").agg(
-        F.bool_or("_own").alias("_own"), F.max("_last").alias("_last"), F.min("_next").alias("_next")
+        F.bool_or(F.col("_step") == 0).alias("_own"),
+        F.max(F.when(F.col("_step") == 1, F.col("_hi"))).alias("_last"),
+        F.min(F.when(F.col("_step") == -1, F.col("_lo"))).alias("_next"),
     )
     ms = to_millis(F.col("timestamp"))
     near = F.col("_own") | (ms - F.col("_last") <= span) | (F.col("_next") - ms <= span)

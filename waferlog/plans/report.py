@@ -77,6 +77,12 @@ def problem_context(entries: DataFrame, problem: DataFrame, before: int = CONTEX
     return rows.filter(F.col("step") >= -before).withColumn("marker", marker).drop("_key", "_n")
 
 
+def _labels(title: str, values: Column) -> Column:
+    return F.transform(
+        values, lambda v: F.struct(F.concat(F.lit(title + " "), v).alias("label"), F.lit(True).alias("closes"))
+    )
+
+
 def signals(context: DataFrame, event_names: DataFrame | None = None) -> DataFrame:
     """One row `signals`: labelled values of the rows before the problem, in order of appearance; NULL without any.
 
@@ -92,12 +98,7 @@ def signals(context: DataFrame, event_names: DataFrame | None = None) -> DataFra
     ]
     for title, pattern, group in SIGNALS:
         values = F.regexp_extract_all(shown(rows), F.lit(pattern), F.lit(group))
-        tidy = F.transform(values, F.upper) if title == "SxFy" else values
-        groups.append(
-            F.transform(
-                tidy, lambda v, t=title: F.struct(F.concat(F.lit(t + " "), v).alias("label"), F.lit(True).alias("closes"))
-            )
-        )
+        groups.append(_labels(title, F.transform(values, F.upper) if title == "SxFy" else values))
     # Five rows at most are gathered here.
     per_row = rows.select("step", F.concat(*groups).alias("found"))
     ordered = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("step", "found"))), lambda r: r["found"]))
