@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import is_blank, rstrip, strip
+from ..functions.text import is_blank, rstrip
 from ..schema import MMI, SECS, UNKNOWN
-from .detect import SECS_HEADER, detect_dialects, is_mmi_header, is_secs_header
+from .detect import detect_dialects, is_mmi_header, is_secs_header
 
 BLOCK = ["source_path", "block_no"]
 
@@ -22,6 +22,7 @@ SETUP_FINISH = r"(?iu)\[.+?\.ini\] FINISH"
 # A dump event whose effect depends on the entry that was open when the block began.
 _ASK_HEADER = 2
 _ASK_START = 3
+_ASK_ENTRY = 4
 
 
 def _flags(raw_lines: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ def _secs_mark() -> Column:
 
 
 def _dump_event(header: Column, start_line: Column, flag_only: bool) -> Column:
-    """1 opens, 0 closes, NULL leaves the dump state; 2 and 3 wait for the previous block.
+    """1 opens, 0 closes, NULL leaves the dump state; 2 to 4 wait for the previous block.
 
     `header` is the last MMI header of the block so far, `start_line` the block's last start marker so far.
     """
@@ -59,8 +60,9 @@ def _dump_event(header: Column, start_line: Column, flag_only: bool) -> Column:
         # A start anywhere in an entry outweighs its finish.
         closing = F.when(
             header.isNotNull(), F.when(F.coalesce(start_line >= header["line_no"], F.lit(False)), 1).otherwise(0)
-        ).otherwise(F.when(start_line.isNotNull(), 1).otherwise(_ASK_START))
-        inside = F.when(F.col("start"), 1).when(F.col("finish"), closing)
+        ).otherwise(F.when(start_line.isNotNull(), _ASK_ENTRY).otherwise(_ASK_START))
+        opening = F.when(header.isNull(), _ASK_ENTRY).otherwise(1)
+        inside = F.when(F.col("start"), opening).when(F.col("finish"), closing)
     else:
         # Lines under a dropped header are not looked at: after a finish header the dump stays closed.
         opening = F.when(header.isNull(), _ASK_HEADER).when(header["finish"], 0).otherwise(1)
@@ -72,16 +74,23 @@ def _settle(event: Column, header: Column, start_line: Column) -> Column:
     """Replace a waiting event by its value, given what the earlier blocks carried in."""
     by_header = F.when(header.isNull() | header["finish"], 0).otherwise(1)
     by_start = F.when(F.coalesce(start_line >= header["line_no"], F.lit(False)), 1).otherwise(0)
-    return F.when(event == _ASK_HEADER, by_header).when(event == _ASK_START, by_start).otherwise(event)
+    by_entry = F.when(header.isNull(), 0).otherwise(1)
+    return (
+        F.when(event == _ASK_HEADER, by_header)
+        .when(event == _ASK_START, by_start)
+        .when(event == _ASK_ENTRY, by_entry)
+        .otherwise(event)
+    )
 
 
-def _running() -> tuple:
-    inside = Window.partitionBy(*BLOCK).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    header = F.last(
-        F.when(F.col("m_head"), F.struct("line_no", "finish")), ignorenulls=True
-    ).over(inside)
-    start_line = F.max(F.when(F.col("start"), F.col("line_no"))).over(inside)
-    return inside, header, start_line
+def _running_marks(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Add the last MMI header and the last start marker of the block up to each line."""
+    inside = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    header = F.when(F.col("m_head"), F.struct("line_no", "finish"))
+    start_line = F.when(F.col("start"), F.col("line_no"))
+    return lines.withColumns(
+        {"header": F.last(header, ignorenulls=True).over(inside), "start_line": F.max(start_line).over(inside)}
+    )
 
 
 def _block_carries(raw_lines: DataFrame, flag_only: bool) -> DataFrame:
@@ -93,8 +102,7 @@ def _block_carries(raw_lines: DataFrame, flag_only: bool) -> DataFrame:
         .withColumn("plain", F.col("m_head") & _plain_color(F.col("value")))
         .select(*BLOCK, "line_no", "m_head", "start", "finish", "plain", "s_mark")
     )
-    _, header, start_line = _running()
-    marks = marks.withColumns({"header": header, "start_line": start_line})
+    marks = _running_marks(marks, BLOCK)
     marks = marks.withColumn("event", _dump_event(F.col("header"), F.col("start_line"), flag_only))
     last = marks.groupBy(*BLOCK).agg(
         F.max(F.when(F.col("m_head"), F.struct("line_no", "finish"))).alias("header"),
@@ -160,10 +168,8 @@ def assemble(
         Window.partitionBy(*BLOCK, "dialect").orderBy("line_no")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    header = F.last(F.when(F.col("m_head"), F.struct("line_no", "finish")), ignorenulls=True).over(inside)
-    start_line = F.max(F.when(F.col("start"), F.col("line_no"))).over(inside)
     mark = F.last(F.when(F.col("s_mark").isNotNull(), F.struct("line_no", "s_mark")), ignorenulls=True).over(inside)
-    lines = lines.withColumns({"header": header, "start_line": start_line, "mark": mark})
+    lines = _running_marks(lines, [*BLOCK, "dialect"]).withColumn("mark", mark)
     lines = lines.withColumn(
         "event", F.when(mmi, _dump_event(F.col("header"), F.col("start_line"), not skip_setup_dump))
     )
@@ -211,6 +217,3 @@ def settle_fallback(assembled: DataFrame, skip_setup_dump: bool = True) -> DataF
     sure = assembled.filter(~F.col("is_fallback") | (F.col("dialect") == MMI))
     maybe = assembled.filter(F.col("is_fallback") & (F.col("dialect") == SECS))
     return sure.unionByName(maybe.join(as_mmi, "source_path", "left_anti"))
-
-
-__all__ = ["assemble", "settle_fallback", "SECS_HEADER", "strip"]
