@@ -49,6 +49,11 @@ def from_millis(ms: Column) -> Column:
     return F.expr(_EPOCH) + F.make_dt_interval(secs=seconds)
 
 
+def moment(value) -> Column:
+    """A datetime as a TIMESTAMP_NTZ literal; a datetime literal of Spark's own would be moved by the session zone."""
+    return value if isinstance(value, Column) else F.lit(value.isoformat(" ")).cast("timestamp_ntz")
+
+
 def display_time(ts: Column, with_date: bool = True) -> Column:
     """`yyyy-MM-dd HH:mm:ss:SSS`, cut (not rounded) to milliseconds."""
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss:SSS" if with_date else "HH:mm:ss:SSS")

@@ -148,7 +148,8 @@ def assemble(
     if not named:
         # Files and blocks are joined first: the lines then meet the dialect per block, not per (maybe huge) file.
         blocks = blocks.join(detect_dialects(raw_lines) if dialects is None else dialects, "source_path")
-    lines = _flags(raw_lines).join(blocks, BLOCK)
+    # One row per block is the build side; the lines move once, and stay in place for the block windows.
+    lines = _flags(raw_lines).join(blocks.hint("shuffle_hash"), BLOCK)
     if fallback:
         lines = lines.withColumn("is_fallback", F.col("dialect") == UNKNOWN).withColumn("dialect", F.explode(options))
     else:

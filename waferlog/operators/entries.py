@@ -66,32 +66,31 @@ def in_ranges(value: Column, ranges) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def parse_entries(
+def dated_rows(
     raw_lines: DataFrame,
     dialects: DataFrame | None = None,
     *,
     skip_setup_dump: bool = True,
-    excluded_ceids=(),
-    levels: dict[int, str] | None = None,
     default_date: str | None = None,
     fallback: bool = True,
-    keep_all: bool = False,
 ) -> DataFrame:
-    """Entries of all files, unordered. `keep_all` also returns dropped rows, with a `dropped` reason column."""
+    """Assembled rows with their timestamp, still without the typed columns."""
     rows = assemble(raw_lines, dialects, skip_setup_dump, fallback)
-    mmi = F.col("dialect") == MMI
+    day = F.coalesce(extract(F.col("source_file"), r"(\d{4}-\d{2}-\d{2})", 1), F.lit(default_date).cast("string"))
+    clock = F.substring("head", 1, 12)
+    written = F.when(F.col("dialect") == MMI, F.substring("head", 1, 23)).otherwise(F.concat(day, F.lit(" "), clock))
+    rows = rows.withColumn("timestamp", parse_time(written))
+    return settle_fallback(rows, skip_setup_dump) if fallback else rows
 
+
+def typed_columns(rows: DataFrame, levels: dict[int, str] | None = None) -> DataFrame:
+    """The columns of an entry from `dialect`, `head` and `tail`; other columns are kept."""
+    mmi = F.col("dialect") == MMI
     fields = F.split("head", r"\|", 4)
     text = F.get(fields, F.lit(3))
-    counted = text.rlike(_COUNT_SUFFIX)
-    day = F.coalesce(extract(F.col("source_file"), r"(\d{4}-\d{2}-\d{2})", 1), F.lit(default_date).cast("string"))
-    clock = F.regexp_extract("head", SECS_HEADER, 1)
-
+    counted = F.contains("head", F.lit("-->[Count:")) & text.rlike(_COUNT_SUFFIX)
     rows = rows.withColumns(
         {
-            "timestamp": parse_time(
-                F.when(mmi, F.get(fields, F.lit(0))).otherwise(F.concat(day, F.lit(" "), clock))
-            ),
             "first": F.when(
                 mmi, F.when(counted, rstrip(F.regexp_replace(text, _COUNT_SUFFIX, ""))).otherwise(text)
             ).otherwise(strip(F.regexp_extract("head", SECS_HEADER, 3))),
@@ -101,8 +100,6 @@ def parse_entries(
             "channel": F.when(~mmi, F.regexp_extract("head", SECS_HEADER, 2).try_cast("int")),
         }
     )
-    if fallback:
-        rows = settle_fallback(rows, skip_setup_dump)
     rows = rows.withColumns(
         {
             "message": F.concat_ws("\n", "first", "tail"),
@@ -110,48 +107,78 @@ def parse_entries(
             "level_name": F.when(mmi, level_name(F.col("color_index"), levels)),
         }
     )
-    rows = rows.withColumn("ceid", F.when(~mmi, secs.message_ceid(F.col("message"))))
+    message = F.col("message")
+    return rows.withColumns(
+        {
+            "log_type": F.col("dialect"),
+            "secs_message": F.when(~mmi, message),
+            "ceid": F.when(~mmi, secs.message_ceid(message)),
+            "event_name": F.lit(None).cast("string"),
+            "is_setup_dump": F.col("in_dump"),
+            "sxfy_type": sxfy_type(message),
+            "s6f11_rptids": F.when(~mmi, secs.message_rptids(message)).otherwise(F.array().cast("array<bigint>")),
+            "is_alarm": alarm_predicate(message, F.col("color_index"), F.col("level_name")),
+            "is_object_event": mmi & object_hint(message),
+        }
+    )
+
+
+def _excluded(ranges) -> Column:
+    """The three points at which an id drops an entry: in the header, as second number of the tail, at the end."""
+    if not ranges:
+        return F.lit(False)
     early = F.coalesce(
         secs.inline_ceid(F.col("first")),
         F.when(F.contains(F.col("first"), F.lit("S6F11")), secs.second_number(F.col("tail"))),
     )
-    excluded = F.lit(False)
-    if excluded_ceids:
-        excluded = ~mmi & (in_ranges(early, excluded_ceids) | in_ranges(F.col("ceid"), excluded_ceids))
-    dropped = (
+    return (F.col("dialect") != MMI) & (in_ranges(early, ranges) | in_ranges(F.col("ceid"), ranges))
+
+
+def parse_entries(
+    raw_lines: DataFrame,
+    dialects: DataFrame | None = None,
+    *,
+    skip_setup_dump: bool = True,
+    excluded_ceids=(),
+    levels: dict[int, str] | None = None,
+    default_date: str | None = None,
+    fallback: bool = True,
+    keep_all: bool = False,
+) -> DataFrame:
+    """Entries of all files, unordered. `keep_all` also returns dropped rows, with a `dropped` reason column."""
+    rows = dated_rows(
+        raw_lines, dialects, skip_setup_dump=skip_setup_dump, default_date=default_date, fallback=fallback
+    )
+    typed = typed_columns(rows, levels).withColumn("dropped", _dropped(skip_setup_dump, excluded_ceids))
+    if keep_all:
+        return typed.select(*ENTRY_COLUMNS, "dropped")
+    return typed.filter(F.col("dropped").isNull()).select(*ENTRY_COLUMNS)
+
+
+def _dropped(skip_setup_dump: bool, excluded_ceids) -> Column:
+    return (
         F.when(F.col("timestamp").isNull(), "bad timestamp")
         .when(F.col("in_dump") if skip_setup_dump else F.lit(False), "setup dump")
-        .when(excluded, "excluded ceid")
+        .when(_excluded(excluded_ceids), "excluded ceid")
     )
-    rows = rows.withColumn("dropped", dropped)
-    if not keep_all:
-        rows = rows.filter(F.col("dropped").isNull())
-    typed = rows.select(
-        "source_path",
-        "source_file",
-        "line_no",
-        "timestamp",
-        F.col("dialect").alias("log_type"),
-        "message",
-        "raw_line",
-        "color_index",
-        "seq_index",
-        "level_name",
-        "channel",
-        F.when(~mmi, F.col("message")).alias("secs_message"),
-        "ceid",
-        F.lit(None).cast("string").alias("event_name"),
-        F.col("in_dump").alias("is_setup_dump"),
-        "repeat_count",
-        sxfy_type(F.col("message")).alias("sxfy_type"),
-        F.when(~mmi, secs.message_rptids(F.col("message")))
-        .otherwise(F.array().cast("array<bigint>"))
-        .alias("s6f11_rptids"),
-        alarm_predicate(F.col("message"), F.col("color_index"), F.col("level_name")).alias("is_alarm"),
-        (mmi & object_hint(F.col("message"))).alias("is_object_event"),
-        "dropped",
+
+
+def parse_timeline(raw_lines: DataFrame, dialects: DataFrame | None = None, **options) -> DataFrame:
+    """`timeline(parse_entries(...))`, with the typed columns made only once, after the sort."""
+    if options.get("excluded_ceids"):
+        return timeline(parse_entries(raw_lines, dialects, **options))
+    levels = options.pop("levels", None)
+    options.pop("excluded_ceids", None)
+    skip = options.get("skip_setup_dump", True)
+    rows = dated_rows(raw_lines, dialects, **options).filter(F.col("timestamp").isNotNull())
+    rows = (rows.filter(~F.col("in_dump")) if skip else rows).withColumn("log_type", F.col("dialect"))
+    return dense_index(
+        rows,
+        order_columns(),
+        "timeline_index",
+        "timeline",
+        lambda sorted_rows: typed_columns(sorted_rows, levels).select(*ENTRY_COLUMNS, "_pos"),
     )
-    return typed if keep_all else typed.drop("dropped")
 
 
 def rejected_lines(raw_lines: DataFrame, dialects: DataFrame | None = None, **options) -> DataFrame:

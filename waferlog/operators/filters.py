@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import clean_keywords, display_time, gap_text, keyword_predicate, strip, to_millis
+from ..functions.text import clean_keywords, display_time, gap_text, keyword_predicate, moment, strip, to_millis
 from ..schema import ENTRY_KEY, SECS, entry_key, order_columns
 from ..spec import FilterSpec
 from .ordered import dense_index, with_previous
@@ -60,14 +60,14 @@ def within(entries: DataFrame, anchors: DataFrame, seconds: int) -> DataFrame:
 
 def around_time(entries: DataFrame, anchor, seconds: int) -> DataFrame:
     """The window of one anchor, given as a moment."""
-    at = F.lit(anchor).cast("timestamp_ntz")
+    at = moment(anchor)
     wide = F.make_dt_interval(secs=F.lit(seconds))
     return entries.filter(F.col("timestamp").between(at - wide, at + wide))
 
 
 def from_anchor(entries: DataFrame, anchor, direction: str) -> DataFrame:
     """Everything at or after, or at or before, the anchor."""
-    at = F.lit(anchor).cast("timestamp_ntz")
+    at = moment(anchor)
     return entries.filter(F.col("timestamp") >= at if direction == "after" else F.col("timestamp") <= at)
 
 
@@ -117,9 +117,9 @@ def apply_spec(
     if spec.sxfy is not None:
         keep = keep & sxfy_predicate(spec.sxfy)
     if spec.start is not None:
-        keep = keep & (F.col("timestamp") >= F.lit(spec.start).cast("timestamp_ntz"))
+        keep = keep & (F.col("timestamp") >= moment(spec.start))
     if spec.end is not None:
-        keep = keep & (F.col("timestamp") <= F.lit(spec.end).cast("timestamp_ntz"))
+        keep = keep & (F.col("timestamp") <= moment(spec.end))
     rows = rows.filter(keep)
 
     marked = F.lit(False)

@@ -20,17 +20,21 @@ def running_offset(totals: DataFrame, group: list[str], block: str, total: str,
     return totals.withColumn(out, F.coalesce(F.sum(total).over(before), F.lit(0).cast("long")))
 
 
-def dense_index(df: DataFrame, order: list[Column], out: str, label: str = "sorted") -> DataFrame:
+def dense_index(df: DataFrame, order: list[Column], out: str, label: str = "sorted", finish=None) -> DataFrame:
     """Add a 0-based dense position in the given total order.
 
     The sort is a range partitioning on the full (unique) key, so equal timestamps still split over tasks. Each
     sorted row keeps (partition, position in partition); it is staged once, and the position becomes global by
     adding the row counts of the earlier partitions - a table with one row per partition, hence the broadcast.
+
+    `finish` adds columns row by row after the sort: range partitioning evaluates its input twice (once to sample),
+    so costly columns belong there.
     """
     names = [f"_order{i}" for i in range(len(order))]
     keyed = df.select("*", *[c.alias(n) for c, n in zip(order, names)])
     ranged = keyed.repartitionByRange(*names).sortWithinPartitions(*names).drop(*names)
-    staged = stage(ranged.withColumn("_pos", F.monotonically_increasing_id()), label)
+    placed = ranged.withColumn("_pos", F.monotonically_increasing_id())
+    staged = stage(finish(placed) if finish else placed, label)
     part = F.shiftright("_pos", 33)
     counts = staged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.entries import parse_entries, timeline
+from ..operators.entries import parse_entries, parse_timeline
 from ..sources.manifest import ingest, stored_entries
 from ..sources.raw import lines_from_texts, read_log_files
 
 
 def load_files(spark: SparkSession, paths, **options) -> DataFrame:
     """Entries of all log files under the paths, with their timeline index."""
-    return timeline(parse_entries(read_log_files(spark, paths), **options))
+    return parse_timeline(read_log_files(spark, paths), **options)
 
 
 def load_texts(texts: DataFrame, **options) -> DataFrame:
     """The same over rows (source_file, content)."""
-    return timeline(parse_entries(lines_from_texts(texts), **options))
+    return parse_timeline(lines_from_texts(texts), **options)
 
 
 def load_incremental(spark: SparkSession, paths, store: str, **options) -> tuple[DataFrame, dict]:
