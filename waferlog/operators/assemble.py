@@ -83,14 +83,13 @@ def _settle(event: Column, header: Column, start_line: Column) -> Column:
     )
 
 
-def _running_marks(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Add the last MMI header and the last start marker of the block up to each line."""
+def _running_marks(lines: DataFrame, keys: list[str], flag_only: bool) -> DataFrame:
+    """Add the last MMI header and, where flags need it, the last start marker of the block up to each line."""
     inside = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     header = F.when(F.col("m_head"), F.struct("line_no", "finish"))
     start_line = F.when(F.col("start"), F.col("line_no"))
-    return lines.withColumns(
-        {"header": F.last(header, ignorenulls=True).over(inside), "start_line": F.max(start_line).over(inside)}
-    )
+    last_start = F.max(start_line).over(inside) if flag_only else F.lit(None).cast("long")
+    return lines.withColumns({"header": F.last(header, ignorenulls=True).over(inside), "start_line": last_start})
 
 
 def _block_carries(raw_lines: DataFrame, flag_only: bool) -> DataFrame:
@@ -102,7 +101,7 @@ def _block_carries(raw_lines: DataFrame, flag_only: bool) -> DataFrame:
         .withColumn("plain", F.col("m_head") & _plain_color(F.col("value")))
         .select(*BLOCK, "line_no", "m_head", "start", "finish", "plain", "s_mark")
     )
-    marks = _running_marks(marks, BLOCK)
+    marks = _running_marks(marks, BLOCK, flag_only)
     marks = marks.withColumn("event", _dump_event(F.col("header"), F.col("start_line"), flag_only))
     last = marks.groupBy(*BLOCK).agg(
         F.max(F.when(F.col("m_head"), F.struct("line_no", "finish"))).alias("header"),
@@ -170,7 +169,7 @@ def assemble(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     mark = F.last(F.when(F.col("s_mark").isNotNull(), F.struct("line_no", "s_mark")), ignorenulls=True).over(inside)
-    lines = _running_marks(lines, [*BLOCK, "dialect"]).withColumn("mark", mark)
+    lines = _running_marks(lines, [*BLOCK, "dialect"], not skip_setup_dump).withColumn("mark", mark)
     lines = lines.withColumn(
         "event", F.when(mmi, _dump_event(F.col("header"), F.col("start_line"), not skip_setup_dump))
     )

@@ -6,7 +6,7 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import display_time, normalize_sxfy
 from ..schema import type_order
@@ -18,20 +18,16 @@ def line_diff(pairs: DataFrame) -> DataFrame:
 
     The n-th occurrence of a line on one side meets the n-th on the other: equal; else it is deleted or inserted.
     """
-    def side(name: str):
-        # Occurrences are counted inside the row, so a line repeated many times makes no large group.
-        lines = F.col(name)
-        listed = F.transform(
-            F.array_sort(F.transform(F.split(lines, "\n"), lambda t, i: F.struct(t.alias("line"), i.alias("no")))),
-            lambda s, i: F.struct(s["line"].alias("line"), s["no"].alias("no"), i.alias("sorted")),
-        )
-        first = F.transform(listed, lambda s: s["line"])
-        table = pairs.select("pair_id", first.alias("_lines"), F.explode(listed).alias("s"))
-        return table.select(
+    # A group is the repeats of one line inside one message.
+    repeats = Window.partitionBy("pair_id", "line").orderBy("_no")
+
+    def side(name: str) -> DataFrame:
+        lines = pairs.select("pair_id", F.posexplode(F.split(name, "\n")).alias("_no", "line"))
+        return lines.select(
             "pair_id",
-            F.col("s.line").alias("line"),
-            (F.col("s.sorted") + 2 - F.array_position("_lines", F.col("s.line"))).cast("int").alias("occurrence"),
-            (F.col("s.no") + 1).cast("long").alias(f"{name}_no"),
+            "line",
+            F.row_number().over(repeats).alias("occurrence"),
+            (F.col("_no") + 1).cast("long").alias(f"{name}_no"),
         )
 
     mark = F.when(F.col("right_no").isNull(), "delete").when(F.col("left_no").isNull(), "insert").otherwise("equal")

@@ -92,31 +92,37 @@ def _targets(message: Column, extended: bool) -> Column:
 def line_suffixes(
     entries: DataFrame, event_names: DataFrame | None, report_variables: DataFrame | None, style: str = "plain"
 ) -> DataFrame:
-    """(source_path, line_no, item_line, suffix). Either dimension may be missing; the other still applies."""
+    """(source_path, line_no, item_line, suffix). One dimension may be missing; the other still applies."""
     extended = style == "extended"
     rows = entries.filter((F.col("sxfy_type") == "S6F11") & F.contains("message", F.lit("S6F11")))
     targets = rows.select(*ENTRY_KEY, F.explode(_targets(F.col("message"), extended)).alias("t")).select(*ENTRY_KEY, "t.*")
-    out = targets.select(*ENTRY_KEY, F.col("line").alias("item_line"), F.lit("").alias("suffix")).limit(0)
+    # Both dimensions become one lookup by (kind, id, ord), so that the item trees are built once.
+    parts = []
     if event_names is not None:
-        label = F.concat(F.lit(" // (CEID "), F.col("id").cast("string"), F.lit(") "), F.col("name"))
-        named = targets.filter("kind = 'ceid'").join(event_names.withColumnRenamed("ceid", "id"), "id")
-        out = out.unionByName(
-            named.filter("name <> ''").select(*ENTRY_KEY, F.col("line").alias("item_line"), label.alias("suffix"))
+        label = F.concat(F.lit(" // (CEID "), F.col("ceid").cast("string"), F.lit(") "), F.col("name"))
+        parts.append(
+            event_names.filter("name <> ''").select(
+                F.lit("ceid").alias("kind"), F.col("ceid").alias("id"), F.lit(0).alias("ord"), label.alias("suffix")
+            )
         )
     if report_variables is not None:
-        open_bracket = " // (VID " if extended else " // ("
-        label = rstrip(F.concat(F.lit(open_bracket), F.col("vid").cast("string"), F.lit(") "), F.col("name")))
-        if extended:
-            label = F.concat(F.lit(open_bracket), F.col("vid").cast("string"), F.lit(") "), F.col("name"))
-        variables = report_variables.select(F.col("rptid").alias("id"), F.col("position").alias("ord"), "vid", "name")
-        valued = targets.filter("kind = 'value'").join(variables, ["id", "ord"])
-        out = out.unionByName(valued.select(*ENTRY_KEY, F.col("line").alias("item_line"), label.alias("suffix")))
-    if extended:
-        label = F.concat(F.lit(" // (RPTID "), F.col("id").cast("string"), F.lit(")"))
-        out = out.unionByName(
-            targets.filter("kind = 'rptid'").select(*ENTRY_KEY, F.col("line").alias("item_line"), label.alias("suffix"))
+        label = F.concat(F.lit(" // (VID " if extended else " // ("), F.col("vid").cast("string"), F.lit(") "), F.col("name"))
+        parts.append(
+            report_variables.select(
+                F.lit("value").alias("kind"),
+                F.col("rptid").alias("id"),
+                F.col("position").cast("int").alias("ord"),
+                (label if extended else rstrip(label)).alias("suffix"),
+            )
         )
-    return out
+    lookup = parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
+    own = F.when(F.col("kind") == "rptid", F.concat(F.lit(" // (RPTID "), F.col("id").cast("string"), F.lit(")")))
+    return (
+        targets.join(lookup, ["kind", "id", "ord"], "left")
+        .withColumn("suffix", F.coalesce("suffix", own))
+        .filter("suffix IS NOT NULL")
+        .select(*ENTRY_KEY, F.col("line").alias("item_line"), "suffix")
+    )
 
 
 def annotate(

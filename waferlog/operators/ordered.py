@@ -39,6 +39,7 @@ def dense_index(df: DataFrame, order: list[Column], out: str, label: str = "sort
     counts = staged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    offsets = stage(offsets.coalesce(1), f"{label}-offsets")
     return (
         staged.withColumn("_part", part)
         .join(F.broadcast(offsets), "_part")

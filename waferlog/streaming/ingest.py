@@ -11,7 +11,8 @@ from ..sources.raw import SUPPORTED, read_log_files
 
 
 def follow_folder(
-    spark: SparkSession, folder: str, store: str, checkpoint: str, trigger: dict | None = None, **options
+    spark: SparkSession, folder: str, store: str, checkpoint: str, trigger: dict | None = None,
+    files_per_batch: int = 10_000, **options
 ) -> StreamingQuery:
     """Parse every log file that appears under `folder` and put its entries into `store`.
 
@@ -21,6 +22,7 @@ def follow_folder(
     names = (
         spark.readStream.format("binaryFile")
         .option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", files_per_batch)
         .schema("path string, modificationTime timestamp, length bigint, content binary")
         .load(folder)
         .select("path")
