@@ -258,6 +258,16 @@ N AS (SELECT *, CASE WHEN step = 0 THEN 'CENTER' WHEN step < 0 THEN 'before' ELS
 
 def sql() -> dict[str, str]:
     return {
+        "file_scan": _events(
+            "SELECT row_number() OVER (ORDER BY t, source_file, line_no) - 1 AS timeline_index, event_id AS seq_index, time, message FROM E WHERE NOT is_secs"
+        ),
+        "incremental_ingest": _events(
+            """, M AS (SELECT count(DISTINCT source_file || '/' || (event_id // 4096)) AS files, count(*) AS entries, CAST(sum(event_id) AS BIGINT) AS seq_sum
+ FROM E WHERE NOT is_secs)
+SELECT CAST(1 AS BIGINT) AS run, CAST(0 AS BIGINT) AS hits, files AS misses, entries, seq_sum FROM M
+UNION ALL SELECT 2, files, 0, entries, seq_sum FROM M"""
+        ),
+        "stream_ingest": _events("SELECT event_id AS seq_index, time, message FROM E WHERE NOT is_secs"),
         "text_lines": r"""
 WITH T AS (SELECT doc_id, string_split(text, chr(10)) AS parts, text FROM documents WHERE text <> ''),
 V AS (SELECT doc_id, CASE WHEN ends_with(text, chr(10)) THEN parts[1:len(parts) - 1] ELSE parts END AS parts FROM T)
@@ -445,8 +455,8 @@ GR AS (SELECT DISTINCT source_file, b, substring(m, CAST(i AS BIGINT), 3) AS gra
 SELECT gram, count(*) AS blocks FROM GR GROUP BY gram"""
         ),
         "indexed_search": _docs(f"SELECT seq_index FROM D WHERE {_has('theswh')}"),
-        "indexed_search_trigram": _docs("SELECT seq_index FROM D WHERE contains(message, 'Thand')"),
-        "indexed_search_short": _docs("SELECT seq_index FROM D WHERE contains(message, '&%')"),
+        "indexed_search_trigram": _docs("SELECT seq_index FROM D WHERE contains(message, 'Thent')"),
+        "indexed_search_short": _docs(f"SELECT seq_index FROM D WHERE {_has('xr')}"),
         "indexed_search_accented": _docs(f"SELECT seq_index FROM D WHERE {_has('éaux')}"),
         "used_ceids": _events("SELECT DISTINCT ceid FROM E WHERE is_secs"),
         "used_rptids": _events("SELECT DISTINCT rptid FROM E WHERE is_secs"),

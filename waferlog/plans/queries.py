@@ -14,10 +14,13 @@ from ..schema import order_columns
 from ..sources import dims, sinks, synth
 from ..sources.raw import line_counts, lines_from_texts
 from ..spec import FilterSpec, parse_ceid_ranges
-from ..staging import stage
+from ..staging import new_path, stage
+from ..streaming.ingest import follow_folder
 from . import report as rp
+from .load import load_files, load_incremental
 
 _parsed: dict[tuple, DataFrame] = {}
+_folders: dict[tuple, str] = {}
 
 
 def _once(name: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
@@ -189,6 +192,42 @@ def secs_items(spark, d):
     )
 
 
+def _log_folder(spark, d) -> str:
+    """The MMI lines of the event log as text files; their names (`part-*.txt`) tell nothing about the dialect."""
+    key = (spark.sparkContext.applicationId, "folder", d)
+    if key not in _folders:
+        folder = new_path(spark, "logs")
+        synth.write_log_files(event_raw(spark, d).filter("dialect = 'MMI'"), folder)
+        _folders[key] = folder
+    return _folders[key]
+
+
+def file_scan(spark, d):
+    rows = load_files(spark, _log_folder(spark, d))
+    return rows.select("timeline_index", "seq_index", at(), "message")
+
+
+def incremental_ingest(spark, d):
+    """Two runs over the same files: the first parses all of them, the second none."""
+    folder, store = _log_folder(spark, d), new_path(spark, "store")
+    out = None
+    for run in (1, 2):
+        rows, stats_ = load_incremental(spark, folder, store)
+        row = rows.agg(F.count("*").alias("entries"), F.sum("seq_index").alias("seq_sum")).select(
+            F.lit(run).cast("long").alias("run"), *[F.lit(stats_[k]).cast("long").alias(k) for k in ("hits", "misses")],
+            "entries", "seq_sum")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def stream_ingest(spark, d):
+    """The same files picked up as a stream, in several micro-batches."""
+    store = new_path(spark, "stream")
+    query = follow_folder(spark, _log_folder(spark, d), store, new_path(spark, "offsets"), files_per_batch=20)
+    query.awaitTermination()
+    return spark.read.parquet(f"{store}/entries").select("seq_index", at(), "message")
+
+
 # ---------------------------------------------------------------- timeline
 
 
@@ -455,11 +494,11 @@ def indexed_search(spark, d):
 
 
 def indexed_search_trigram(spark, d):
-    return _indexed(spark, d, "Thand", True, (3,))
+    return _indexed(spark, d, "Thent", True, (3,))
 
 
 def indexed_search_short(spark, d):
-    return _indexed(spark, d, "&%")
+    return _indexed(spark, d, "xr")
 
 
 def indexed_search_accented(spark, d):
@@ -692,6 +731,7 @@ def aligned_diff(spark, d):
 
 
 QUERIES = [
+    file_scan, incremental_ingest, stream_ingest,
     text_lines, file_line_counts, line_numbers, file_inventory, mmi_entries, secs_entries, conversation_entries,
     document_entries, dialects, dialects_strict, dialect_fallback, setup_dump_skip, setup_dump_flag, load_counters,
     ceid_exclusion, ceid_in_ranges, sxfy_catalogue, level_names, secs_items, timeline_index, position_lookup, gaps,

@@ -105,7 +105,10 @@ def ingest(spark: SparkSession, paths, store: str, parse, *, skip_setup_dump: bo
         # Cleared first: a file that no longer yields entries must not keep its old ones.
         _delete_buckets(spark, store, [row["bucket"] for row in changed])
         write_entries(parse([row["source_path"] for row in changed]), store)
-    current.write.mode("overwrite").parquet(f"{store}/manifest")
+    gone = 0 if previous is None else changed_files(previous, current).limit(1).count()
+    if changed or gone or previous is None:
+        # Unchanged stores are left alone, so results read from them earlier stay readable.
+        current.write.mode("overwrite").parquet(f"{store}/manifest")
     return {"hits": current.count() - len(changed), "misses": len(changed)}
 
 

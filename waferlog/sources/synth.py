@@ -210,6 +210,17 @@ def staged_lines(lines: DataFrame) -> DataFrame:
     return stage(lines.withColumn("dialect", by_name), "lines")
 
 
+def write_log_files(lines: DataFrame, folder: str) -> None:
+    """Raw lines as text files, one per block of each log; a block ends with a whole entry."""
+    (
+        lines.repartition("source_file", "block_no")
+        .sortWithinPartitions("source_file", "block_no", "line_no")
+        .select("source_file", "block_no", "value")
+        .write.partitionBy("source_file", "block_no")
+        .text(folder)
+    )
+
+
 # ---------------------------------------------------------------- reference dimensions and bookmarks
 
 

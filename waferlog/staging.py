@@ -26,12 +26,18 @@ def staging_root(spark: SparkSession) -> str:
     return root
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder; `drop_staged` deletes it."""
+    path = f"{staging_root(spark)}/waferlog/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def stage(df: DataFrame, label: str = "table") -> DataFrame:
     """Write `df` to the shared folder and return it read back, with its lineage cut."""
     spark = df.sparkSession
-    path = f"{staging_root(spark)}/waferlog/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
