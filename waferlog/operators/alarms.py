@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import extract, strip
-from ..schema import order_key
+from ..schema import first_seen
 from .search import time_range
 
 _CODE = r"(?iuU)Alarm Code \[(\d+)\]"
@@ -26,6 +26,7 @@ def extract_alarms(entries: DataFrame, start=None, end=None) -> DataFrame:
         "line_no",
         "repeat_count",
         F.coalesce(F.nullif("level_name", F.lit("")), F.lit("Alarm")).alias("level_name"),
+        *[c for c in ("timeline_index",) if c in entries.columns],
     )
 
 
@@ -34,7 +35,7 @@ def summarize_alarms(alarms: DataFrame, key_chars: int = 80, limit: int | None =
     key = F.coalesce(F.nullif("alarm_code", F.lit("")), F.substring("message", 1, key_chars))
     times = F.coalesce(F.nullif("repeat_count", F.lit(0).cast("long")), F.lit(1).cast("long"))
     totals = alarms.groupBy(key.alias("alarm")).agg(
-        F.sum(times).alias("occurrences"), F.min(order_key()).alias("_first")
+        F.sum(times).alias("occurrences"), F.min(first_seen(alarms)).alias("_first")
     )
     ranked = totals.orderBy(F.desc("occurrences"), "_first")
     return (ranked.limit(limit) if limit else ranked).drop("_first")

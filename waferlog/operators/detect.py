@@ -25,11 +25,11 @@ def is_secs_header(value: Column) -> Column:
     return value.rlike(SECS_HEADER)
 
 
-def file_heads(lines: DataFrame, position: Column) -> DataFrame:
-    """(source_path, line_count, first_line) per file; combines map-side, so a large file costs one row per task."""
-    return lines.groupBy("source_path").agg(
-        F.count("*").alias("line_count"), F.min_by("value", position).alias("first_line")
-    )
+def file_heads(raw_lines: DataFrame) -> DataFrame:
+    """(source_path, line_count, first_line) per file: a hash aggregation of numbers, and one row per file."""
+    counts = raw_lines.groupBy("source_path").agg(F.max("line_no").alias("line_count"))
+    first = raw_lines.filter("line_no = 1").select("source_path", F.col("value").alias("first_line"))
+    return counts.join(first, "source_path")
 
 
 def classify_heads(heads: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def classify_heads(heads: DataFrame) -> DataFrame:
 
 
 def detect_dialects(raw_lines: DataFrame) -> DataFrame:
-    return classify_heads(file_heads(raw_lines, F.col("line_no")))
+    return classify_heads(file_heads(raw_lines))
 
 
 def strict_dialects(raw_lines: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import all_sxfy
-from ..schema import MMI, SECS, order_key
+from ..schema import MMI, SECS, first_seen
 
 
 def statistics(entries: DataFrame, bookmarks: DataFrame | None = None) -> DataFrame:
@@ -33,7 +33,7 @@ def statistics(entries: DataFrame, bookmarks: DataFrame | None = None) -> DataFr
 def top_values(entries: DataFrame, value: Column, limit: int = 10) -> DataFrame:
     """(value, entries) of the most frequent non-blank values; ties keep the first-seen order."""
     counts = (
-        entries.select(value.cast("string").alias("value"), order_key().alias("_key"))
+        entries.select(value.cast("string").alias("value"), first_seen(entries).alias("_key"))
         .filter("value IS NOT NULL AND value <> ''")
         .groupBy("value")
         .agg(F.count("*").alias("entries"), F.min("_key").alias("_first"))

@@ -562,7 +562,7 @@ def alarms(spark, d):
 
 
 def alarm_summary(spark, d):
-    return al.summarize_alarms(alarms_of(spark, d))
+    return al.summarize_alarms(al.extract_alarms(event_timeline(spark, d)))
 
 
 def object_events(spark, d):
@@ -641,19 +641,19 @@ def statistics_bookmarked(spark, d):
 
 
 def top_sxfy(spark, d):
-    return stats.top_sxfy(event_entries(spark, d))
+    return stats.top_sxfy(event_timeline(spark, d))
 
 
 def top_ceids(spark, d):
-    return stats.top_ceids(event_entries(spark, d))
+    return stats.top_ceids(event_timeline(spark, d))
 
 
 def top_event_names(spark, d):
-    return stats.top_event_names(enrich.attach_event_names(event_entries(spark, d), names(spark, d)))
+    return stats.top_event_names(enrich.attach_event_names(event_timeline(spark, d), names(spark, d)))
 
 
 def top_ceid_hints(spark, d):
-    return rp.top_ceid_hints(event_entries(spark, d), names(spark, d)).select("ceid", "event_name", "entries")
+    return rp.top_ceid_hints(event_timeline(spark, d), names(spark, d)).select("ceid", "event_name", "entries")
 
 
 def log_span(spark, d):

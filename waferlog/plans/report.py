@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.text import display_time, report_gap_text, short_message, to_millis
 from ..operators.alarms import summarize_alarms
 from ..operators.search import keyword_counts
-from ..schema import MMI, SECS, order_key
+from ..schema import MMI, SECS, first_seen, order_key
 
 MAX_ALARMS = 20
 MAX_EVENTS = 200
@@ -145,7 +145,7 @@ def top_ceid_hints(entries: DataFrame, event_names: DataFrame | None = None, lim
     """(ceid, event_name, entries) of the most frequent pairs; ties keep the first-seen order."""
     rows = named(entries, event_names).filter("ceid IS NOT NULL")
     counts = rows.groupBy("ceid", F.coalesce("event_name", F.lit("")).alias("event_name")).agg(
-        F.count("*").alias("entries"), F.min(order_key()).alias("_first")
+        F.count("*").alias("entries"), F.min(first_seen(entries)).alias("_first")
     )
     return counts.orderBy(F.desc("entries"), "_first").limit(limit)
 

@@ -80,6 +80,14 @@ def order_key() -> Column:
     )
 
 
+def first_seen(df) -> Column:
+    """What to take the minimum of for "first seen": the timeline index if the rows have one, else the order key.
+
+    The index is a plain number, which hash aggregation can keep; the key is not, and makes Spark sort.
+    """
+    return F.col("timeline_index") if "timeline_index" in df.columns else order_key()
+
+
 def entry_key() -> Column:
     """Bookmark key: file|line|displayed time."""
     from .functions.text import display_time
