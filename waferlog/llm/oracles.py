@@ -40,5 +40,36 @@ FROM cut
 """
 
 
+#: White space of a line; trimmed lines that are empty are blank. Blank lines go with the line before them.
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+LINE_DEDUP = f"""
+WITH split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
+numbered AS (
+  SELECT doc_id, no, line, trim(line, {BLANKS}) AS bare,
+    sum(CASE WHEN trim(line, {BLANKS}) <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY no) AS k
+  FROM split
+),
+filled AS (SELECT doc_id, k, bare FROM numbered WHERE bare <> ''),
+windows AS (
+  SELECT doc_id, k, bare || chr(10) || lead(bare, 1) OVER w || chr(10) || lead(bare, 2) OVER w AS win FROM filled WINDOW w AS (PARTITION BY doc_id ORDER BY k)
+),
+later AS (
+  SELECT doc_id, k FROM (
+    SELECT doc_id, k, row_number() OVER (PARTITION BY win ORDER BY doc_id, k) AS seen FROM windows WHERE win IS NOT NULL
+  ) WHERE seen > 1
+),
+covered AS (SELECT DISTINCT doc_id, k + d AS k FROM later, (VALUES (0), (1), (2)) AS t(d)),
+kept AS (
+  SELECT n.doc_id, string_agg(n.line, chr(10) ORDER BY n.no) FILTER (WHERE c.k IS NULL) AS text, count(c.k) FILTER (WHERE n.bare <> '') AS n_removed,
+    count(*) FILTER (WHERE n.bare <> '') AS n_lines
+  FROM numbered n LEFT JOIN covered c ON n.doc_id = c.doc_id AND n.k = c.k GROUP BY n.doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(k.n_lines, 0)::INTEGER AS n_lines,
+  coalesce(k.n_removed, 0)::INTEGER AS n_removed
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
 def sql() -> dict[str, str]:
-    return {"op3_sharding": SHARDING}
+    return {"op3_sharding": SHARDING, "op10_line_dedup": LINE_DEDUP}

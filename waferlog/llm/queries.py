@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, sharding, tokens
+from . import language, linededup, packing, sharding, simhash, tokens
 from .common import table
 
 N_SHARDS = 40
@@ -28,10 +28,25 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.length_histogram(tokens.token_lengths(table(spark, sf_dir, "documents")))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "fingerprint", "component_id")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit_languages(docs.where(~language.held_out(F.col("doc_id"))))
+    rows = docs.select("doc_id", "text", language.held_out(F.col("doc_id")).alias("held_out"))
+    return language.identify(rows, model, carry=["doc_id", "held_out"])
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = packing.pieces(table(spark, sf_dir, "documents"), CAPACITY, carry=["doc_id"])
     return packing.pack(parts, CAPACITY)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
