@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import quality
+
 #: CRC-32 (reflected polynomial 0xEDB88320) of a list of bytes, by a table that the polynomial gives.
 CRC_TABLE = """
 crc_table AS (
@@ -71,5 +73,87 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
 
+EMBEDDINGS = """
+WITH RECURSIVE ok AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+near AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93
+),
+reach(id, other) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT r.id, n.b FROM reach r JOIN near n ON r.other = n.a
+),
+least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id),
+degree AS (SELECT a, count(*) AS n FROM near GROUP BY a)
+SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, l.component_id, e.vec_id = l.component_id AS kept
+FROM embeddings e JOIN least l ON e.vec_id = l.id LEFT JOIN degree d ON d.a = e.vec_id
+"""
+
+
+def _rule_cells() -> str:
+    return ", ".join(
+        f"('{r.name}', {i}, {c}::BIGINT)" for r in quality.RULES for i, c in enumerate(r.cutoffs))
+
+
+def _rule_values(source: str) -> str:
+    return " UNION ALL ".join(f"SELECT *, '{r.name}' AS rule, ({r.scale} * {r.measure}) // nullif({r.base}, 0) AS value FROM {source}" for r in quality.RULES)
+
+
+def quality_rules() -> str:
+    share = quality.MOST_REJECTED / len(quality.RULES)
+    return f"""
+WITH words AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+),
+lines AS (
+  SELECT doc_id, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS l FROM words
+),
+spots AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, w FROM words WHERE len(w) > 4),
+wins AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i + 4]) > 1 AS often FROM spots),
+cover AS (SELECT DISTINCT doc_id, i + d AS i FROM wins, range(5) AS t(d) WHERE often),
+repeats AS (SELECT doc_id, count(*) AS n FROM cover GROUP BY doc_id),
+measured AS (
+  SELECT w.doc_id, 's' || w.lang AS s, len(w.w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(w.text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(l.l) - len(list_distinct(l.l)))::BIGINT AS n_dup_lines,
+    coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(l.l)::BIGINT AS n_lines
+  FROM words w JOIN lines l ON w.doc_id = l.doc_id LEFT JOIN repeats r ON w.doc_id = r.doc_id
+),
+based AS (SELECT *, coalesce(s, 'n') AS stratum, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured),
+told AS (SELECT DISTINCT doc_id, quality = 1 AS good FROM labels WHERE quality IN (0, 1)),
+holdout AS (SELECT b.*, t.good FROM based b JOIN told t ON b.doc_id = t.doc_id WHERE NOT b.base_failed),
+cells(rule, strictness, cutoff) AS (VALUES {_rule_cells()}),
+tested AS (
+  SELECT h.stratum, c.rule, c.strictness, c.cutoff, count(*) FILTER (WHERE good) AS n_good, count(*) FILTER (WHERE NOT good) AS n_bad,
+    count(*) FILTER (WHERE good AND value > cutoff) AS k_good, count(*) FILTER (WHERE NOT good AND value > cutoff) AS k_bad
+  FROM ({_rule_values("holdout")}) h JOIN cells c ON h.rule = c.rule GROUP BY ALL
+),
+strata AS (SELECT greatest(1, count(DISTINCT stratum)) AS n FROM tested WHERE n_good > 0),
+tails AS (
+  SELECT t.*, (SELECT sum(exp(lgamma(n_good + 1) - lgamma(j + 1) - lgamma(n_good - j + 1) + j * ln({share!r}) + (n_good - j) * ln(1 - {share!r})))
+    FROM range(k_good + 1) AS r(j)) AS p_value
+  FROM tested t
+),
+sequence AS (SELECT *, max(p_value) OVER (PARTITION BY stratum, rule ORDER BY strictness) AS worst FROM tails),
+certified AS (
+  SELECT *, k_bad * n_good - k_good * n_bad AS gain FROM sequence, strata WHERE worst <= {quality.FAILURE!r} / (strata.n * {len(quality.RULES)})
+),
+chosen AS (
+  SELECT stratum, rule, cutoff FROM certified WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, strictness) = 1
+),
+hits AS (
+  SELECT v.doc_id, v.rule FROM ({_rule_values("based")}) v JOIN chosen c ON v.stratum = c.stratum AND v.rule = c.rule WHERE v.value > c.cutoff
+),
+reasons AS (SELECT doc_id, string_agg(rule, ',' ORDER BY list_position({[r.name for r in quality.RULES]!r}, rule)) AS reasons FROM hits GROUP BY doc_id)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, NOT base_failed AND r.reasons IS NULL AS kept,
+  coalesce(r.reasons, '') AS reasons
+FROM based b LEFT JOIN reasons r ON b.doc_id = r.doc_id
+"""
+
+
 def sql() -> dict[str, str]:
-    return {"op3_sharding": SHARDING, "op10_line_dedup": LINE_DEDUP}
+    return {"op1_quality_rules": quality_rules(), "op4_embedding_near_dedup": EMBEDDINGS, "op3_sharding": SHARDING, "op10_line_dedup": LINE_DEDUP}

@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import html, language, linededup, packing, pieces, sharding, simhash, tokens
+from . import embeddings, html, language, linededup, packing, pieces, quality, sharding, simhash, tokens
 from .common import table
 
 N_SHARDS = 40
 CAPACITY = 2048
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
+    return judged.withColumn("reasons", F.array_join("reasons", ","))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html.extract_text(table(spark, sf_dir, "pages"), carry=["page_id", "url"])
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -29,6 +34,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.embedding_groups(table(spark, sf_dir, "embeddings"), carry=["vec_id"])
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.length_histogram(tokens.token_lengths(table(spark, sf_dir, "documents")))
 
