@@ -29,7 +29,7 @@ SHORT_RUN = 24
 #: Shingles whose bits are counted at once.
 COUNTED = 1 << 16
 
-OUTPUTS = ["fingerprint", "component_id"]
+OUTPUTS = ["fingerprint", "component_id", "kept"]
 
 
 def fingerprint(text: str | None) -> int:
@@ -163,18 +163,21 @@ def near_links(distinct: DataFrame, n_fingerprints: int, max_bits: int = MAX_BIT
 
 
 def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS, carry: list[str] | None = None) -> DataFrame:
-    """Adds `fingerprint` (16 hex digits) and `component_id`, the smallest key that the row's group of near copies holds.
+    """Adds `fingerprint` (16 hex digits), `component_id`, the smallest key in the row's group of near copies, and `kept`, true for one row
+    of each group: the first with that key.
 
     Rows are in a group if fingerprints within `max_bits` bits lead from one to the other. Equal fingerprints are searched once, however
     many rows have them; texts without words, null ones too, have fingerprint zero and link like any other. Rows with a null key are
-    grouped like others; a group of null keys only has a null component_id. Rows may be repeated. An empty table gives no rows.
+    grouped like others and sort last; a group of null keys only has a null component_id. Rows may be repeated. An empty table gives no rows.
     """
-    rows = docs.select(F.col(f"`{key}`").alias("__key0"), packed(docs, carry), F.col(f"`{text}`").alias("__text"))
-    found = stage(fingerprints(rows, "__text", ["__key0", ROW]).select(f"{ROW}.__key0", f"{ROW}.{ROW}", "fp"), "fingerprints")
-    distinct = stage(found.groupBy("fp").agg(F.min("__key0").alias("first")), "distinct")
+    rows = docs.select(F.col(f"`{key}`").alias("k"), packed(docs, carry), F.col(f"`{text}`").alias("__text"))
+    found = fingerprints(rows, "__text", ["k", ROW]).select(f"{ROW}.k", F.col(f"{ROW}.{ROW}").alias(ROW), "fp")
+    found = stage(found.withColumn("u", F.monotonically_increasing_id()), "fingerprints")
+    distinct = stage(found.groupBy("fp").agg(F.min(F.struct(F.isnull("k").alias("none"), "k", "u")).alias("first")), "distinct")
     links = near_links(distinct, distinct.count(), max_bits)
     roots = components(links)
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = stage(rooted.join(firsts, "root").select("fp", "component_id"), "classes")
-    return unpacked(found.join(classes, "fp").withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0"))), OUTPUTS)
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    classes = stage(rooted.join(firsts, "root").select("fp", F.col("least.k").alias("component_id"), F.col("least.u").alias("least")), "classes")
+    return unpacked(found.join(classes, "fp").select(
+        ROW, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", (F.col("u") == F.col("least")).alias("kept")), OUTPUTS)
