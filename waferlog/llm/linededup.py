@@ -62,7 +62,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     hit = F.col("starts").isNotNull()
     joined = mine.join(covered, mine.k.eqNullSafe(covered.k) & (mine.t == covered.t), "left").select(
         ROW, mine.text, "starts", F.when(hit, mine.text).alias("touched"))
-    cleaned = F.pandas_udf(rebuild, "cleaned string, removed int")("touched", "starts")
+    # not deterministic for the planner only: a filter on the result must not make it run twice
+    cleaned = F.pandas_udf(rebuild, "cleaned string, removed int").asNondeterministic()("touched", "starts")
     rebuilt = joined.withColumn("c", cleaned)
     return unpacked(rebuilt.select(
         ROW, F.when(hit, F.col("c.cleaned")).otherwise(F.col("text")).alias("text"),
