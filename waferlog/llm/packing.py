@@ -39,9 +39,10 @@ def pieces(
     """The pieces of every document: `piece`, `start`, `length`, `ids_crc32` and, if wanted, `ids`.
 
     A document is the ids of its whole text and then `end_id`; a null text is empty, so that its only id is `end_id`. A document over
-    the capacity is cut into full pieces; the first takes the remainder. Documents that fit are one piece.
+    the capacity is cut into full pieces; the first takes the remainder. Documents that fit are one piece. All columns but the text are
+    carried by default, as each piece has them.
     """
-    row = packed(docs, carry)
+    row = packed(docs, [c for c in docs.columns if c != text] if carry is None else carry)
     fields = "piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
