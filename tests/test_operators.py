@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waferlog.functions.text import gap_text, report_gap_text
-from waferlog.operators import alarms as al, compare, enrich, entries as en, filters, ngram, objects, related, roundtrip, rowwin, search, stats
+from waferlog.operators import alarms as al, compare, enrich, entries as en, filters, objects, related, roundtrip, rowwin, search, stats
 from waferlog.plans import report as rp
 from waferlog.schema import entry_frame
 from waferlog.sources import dims, sinks
@@ -96,6 +96,7 @@ def test_spec_round_trip():
     assert again == spec
     assert spec.describe() == "AND: a / OR: b / 제외: c / 북마크 키워드 조건 예외 / 시간: 2026-07-01 01:00:00.000 ~ "
     assert parse_ceid_ranges("1-3, 7; 9 - 12") == [(1, 3), (7, 7), (9, 12)]
+    assert ceid_items([{"start": 5}, 3, {"end": 4}]) == [{"start": 5, "end": 5, "enabled": True, "name": "", "memo": ""}]
     with pytest.raises(ValueError):
         parse_ceid_ranges("3-1")
     assert enabled_ranges(ceid_items([{"start": 9, "end": 4}, {"start": "x"}, {"start": 1, "enabled": False}])) == [(4, 9)]
@@ -265,23 +266,41 @@ def test_keyword_table_ways_agree(spark):
     words = ["alpha", "AB", "a", "été", "zzz", "beta", "ta é", "xab", "Alpha"]
     want = sorted((i, w) for i, t in enumerate(texts) for w in words if w.lower() in t.lower())
     table = spark.createDataFrame([(w,) for w in words], "term string")
-    for limits in ({}, {"inline_limit": 2}, {"inline_limit": 2, "automaton_limit": 0}):
-        got = search.match_terms(rows, ["line_no"], [F.col("message")], table, **limits).collect()
-        assert sorted(tuple(r) for r in got) == want, limits
+    got = search.match_terms(rows, ["line_no"], [F.col("message")], table).collect()
+    assert sorted(tuple(r) for r in got) == want
+    assert search.match_terms(rows, ["line_no"], [F.col("message")], table.filter("false")).collect() == []
 
 
-def test_index_equals_scan(spark, tmp_path):
-    rows = frame(spark, *[entry(f"line {i} S{i % 7}F{i % 5}W unit é{i % 3}", i) for i in range(2000)])
-    key = ngram.index_key(spark.createDataFrame([("a", 1, 2)], "source_path string, size long, modified long"), True)
-    ngram.write_index(rows, str(tmp_path / "idx"), key)
-    assert ngram.index_is_valid(spark, str(tmp_path / "idx"), 2000, key)
-    assert not ngram.index_is_valid(spark, str(tmp_path / "idx"), 1999, key)
-    postings = spark.read.parquet(str(tmp_path / "idx/postings"))
-    for word in ("s6f4", "LINE 77", "7", "0 s", "é1", "absent", "F3W", " "):
-        for case in (True, False):
-            scan = search.search(rows, [word], case_sensitive=case)
-            assert lines(ngram.indexed_search(rows, postings, word, case)) == lines(scan), (word, case)
-    assert ngram.candidate_blocks(postings, "line 77").count() < postings.select("block").distinct().count()
+def test_named_groups_and_back_references(spark):
+    rows = frame(spark, entry("CARRIER_ID: LOT77 x", 1), entry("LOT78", 2), entry(r"(?P<a_b>", 3))
+    found = search.search(rows, [r"LOT(?P<a_b>\d)(?P=a_b)"], use_regex=True)
+    assert [(r["line_no"], r["matched_text"]) for r in found.collect()] == [(1, "LOT77")]
+    assert lines(search.search(rows, [r"\(\?P<a_b>"], use_regex=True)) == [3]
+    assert lines(search.search(rows, ["(?P<a_b>"], use_regex=True)) == [3]  # invalid: searched as text
+
+
+def test_shown_text_is_searched(spark):
+    rows = frame(spark, entry("plain", 1), entry("plain", 2)).withColumn("display_message", F.when(F.col("line_no") == 2, "plain // name").otherwise(F.col("message")))
+    assert lines(search.search(rows, ["name"])) == [2]
+    assert lines(filters.apply_spec(rows, FilterSpec(keywords=[("AND", "name")]))) == [2]
+
+
+def test_null_keys_find_nothing(spark):
+    rows = frame(spark, entry("a", 1, ceid=5), entry("b", 2), entry("c", 3, ceid=0))
+    names = spark.createDataFrame([(5, "five"), (0, "zero")], "ceid long, name string")
+    got = enrich.attach_event_names(rows, names).collect()
+    assert sorted((r["line_no"], r["event_name"], r["ceid"]) for r in got) == [(1, "five", 5), (2, None, None), (3, "zero", 0)]
+
+
+def test_gaps_with_and_without_an_index(spark):
+    rows = en.timeline(frame(spark, *[entry(str(i), i, i * i) for i in range(300)])).filter("line_no % 3 <> 0")
+    from waferlog.operators.ordered import gaps_on_index
+
+    want = {r["line_no"]: (r["position"], r["gap_ms"]) for r in filters.gap_table(rows.drop("timeline_index")).collect()}
+    assert {r["line_no"]: (r["position"], r["gap_ms"]) for r in filters.gap_table(rows).collect()} == want
+    small = gaps_on_index(rows, "timeline_index", F.col("line_no"), block_rows=7).collect()
+    kept = [i for i in range(300) if i % 3]
+    assert {r["line_no"]: (r["position"], r["_before"]) for r in small} == {n: (i, kept[i - 1] if i else None) for i, n in enumerate(kept)}
 
 
 def test_spans(spark):
@@ -301,6 +320,10 @@ def test_context_pages_and_order(spark):
     ]
     assert sorted(r["timeline_index"] for r in rowwin.page(rows, 1, 15).collect()) == list(range(15, 30))
     assert sorted(r["timeline_index"] for r in rowwin.centred(rows, 39, 10).collect()) == list(range(30, 40))
+    assert rowwin.page(rows, 0, 20_000).count() == 40
+    swapped = rows.withColumn("timeline_index", F.when(F.col("timeline_index") < 2, 1 - F.col("timeline_index")).otherwise(F.col("timeline_index")))
+    assert compare.timeline_digest(rows).first() != compare.timeline_digest(swapped).first()
+    assert compare.timeline_digest(rows).first() == compare.timeline_digest(rows.repartition(3)).first()
     assert compare.order_violations(rows).first().asDict() == {"entries": 40, "violations": 0}
 
 
@@ -321,19 +344,11 @@ def test_related_and_flow(spark):
         ("Carrier ID", "LOT1"), ("Substrate ID", "W9"), ("Substrate ID", "W10"), ("Location ID", "LP1"),
     ]
     assert [r["term"] for r in related.flow_terms(rows).orderBy("rank").collect()] == ["Load done", "LOT1", "W10", "LP1"]
-    assert related.add_related([("AND", "a")], "XOR", ["a", " b ", ""]) == [("AND", "a"), ("AND", "b")]
-
-
-def test_xml_fragments(spark):
-    rows = frame(spark, entry("x <item b='1'><c/></item> <a>9</a> <L [1] 2> <bad><d>1</d></bad x> <e><f>2</e> <U4 [1] 3> <f>ok</f>", 1), entry("<a>", 2))
-    got = [(r["tag"], r["fragment"]) for r in related.xml_fragments(rows).orderBy("line_no", "rank").collect()]
-    assert got == [("item", "<item b='1'><c/></item>"), ("d", "<d>1</d>"), ("f", "<f>ok</f>")]
+    assert related.spec_with_related(FilterSpec(keywords=[("AND", "a")]), "XOR", ["a", " b ", ""]).keywords == [("AND", "a"), ("AND", "b")]
 
 
 def test_diffs(spark):
     pairs = spark.createDataFrame([(1, "same\nbefore", "same\nafter"), (2, "a\na\nb", "a\nb\nc")], "pair_id long, left string, right string")
-    rows = compare.aligned_diff(pairs).orderBy("pair_id", "row_no").collect()
-    assert [tuple(r)[2:] for r in rows if r["pair_id"] == 1] == [("same", "same", "", ""), ("before", "after", "replace", "replace")]
     sets = sorted((r["mark"], r["line"]) for r in compare.line_diff(pairs).collect() if r["pair_id"] == 2)
     assert sets == [("delete", "a"), ("equal", "a"), ("equal", "b"), ("insert", "c")]
 

@@ -1,9 +1,6 @@
-import random
-
 import pytest
 from pyspark.sql import functions as F
 
-from model import item_tree, mmi_entries, secs_entries
 from waferlog.functions import secs
 from waferlog.operators import detect, entries as en
 from waferlog.plans.load import load_files, load_texts
@@ -21,71 +18,72 @@ def raw_lines(spark, files, block=7):
     return spark.createDataFrame(rows, RAW_LINES)
 
 
-def random_mmi(rng, count):
-    bodies = ["step one", "[Setup.ini] LOGGING", "[a.INI] finish", "x [b.ini] FINISH y", "note -->[Count:2]", ""]
-    tails = ["more", "  [c.ini] logging", "[c.ini] FINISH", "", "   ", "2026-99-99 nothing"]
-    lines = []
-    for i in range(count):
-        if rng.random() < 0.55:
-            color = rng.choice([1, 1, 1, 1, 3])
-            lines.append(f"2026-09-01 08:00:{i % 60:02d}:000|{color}|{i}|{rng.choice(bodies if rng.random() < 0.4 else bodies[:1])}")
-        else:
-            lines.append(rng.choice(tails))
-    return lines
+def mmi(number, text, color=1):
+    return f"2026-09-01 08:00:{number:02d}:000|{color}|{number}|{text}"
+
+
+# One file per case: its lines; the kept (line, message) with dumps skipped; the flagged lines with dumps kept.
+DUMPS = {
+    "no dump": ([mmi(1, "a"), "more", "   ", mmi(2, "b -->[Count:2]"), "tail"], [(1, "a\nmore"), (4, "b\ntail")], []),
+    "opened and closed by headers": ([mmi(1, "a"), mmi(2, "[Setup.ini] LOGGING"), mmi(3, "inside"), mmi(4, "[setup.INI] finish"), mmi(5, "b")], [(1, "a"), (5, "b")], [2, 3]),
+    "another colour ends it": ([mmi(1, "[Setup.ini] LOGGING"), mmi(2, "inside"), mmi(3, "out", 3), mmi(4, "after")], [(3, "out"), (4, "after")], [1, 2]),
+    "opened by a continuation": ([mmi(1, "a"), "  [c.ini] logging", mmi(2, "inside"), mmi(3, "x [b.ini] FINISH y"), mmi(4, "b")], [(5, "b")], [1, 3]),
+    "a finish inside an entry drops it": ([mmi(1, "a"), "[c.ini] FINISH", mmi(2, "b")], [(3, "b")], []),
+    "start and finish in one entry": ([mmi(1, "a"), "[c.ini] LOGGING", "[c.ini] FINISH", mmi(2, "b")], [], [1, 4]),
+    "dump across many lines": ([mmi(1, "[Setup.ini] LOGGING"), *["raw"] * 20, mmi(2, "inside"), *["raw"] * 20, mmi(3, "out", 3)], [(43, "out")], [1, 22]),
+    "lines before any header": (["[Setup.ini] LOGGING", "x", mmi(1, "a")], [(3, "a")], []),
+}
 
 
 @pytest.mark.parametrize("skip", [True, False])
-def test_setup_dump_equals_sequential_model(spark, skip):
-    rng = random.Random(5)
-    files = {f"f{i}_2026_09_01.log": random_mmi(rng, rng.randint(1, 60)) for i in range(60)}
-    rows = en.parse_entries(raw_lines(spark, files), skip_setup_dump=skip, keep_all=True).collect()
-    for name, lines in files.items():
-        kept, dropped = mmi_entries(lines, skip)
-        strip = lambda m: m
-        got = sorted(
-            (r["line_no"], r["message"], r["is_setup_dump"]) for r in rows if r["source_file"] == name and r["dropped"] is None
-        )
-        want = []
-        for number, text, flag in kept:
-            first, *rest = strip(text).split("\n")
-            if first.endswith("-->[Count:2]"):
-                first = first[: -len("-->[Count:2]")].rstrip()
-            want.append((number, "\n".join([first, *rest]), flag))
-        assert got == want, name
-        assert sum(r["source_file"] == name and r["dropped"] == "setup dump" for r in rows) == dropped
-
-
-def test_secs_assembly_equals_sequential_model(spark):
-    rng = random.Random(3)
-    pool = ["08:00:0{}:000: [1] SEND S1F{}", "  indented {}{}  ", "\ttab {}{}", "loose {}{}", "", "   "]
+def test_setup_dumps(spark, skip):
+    files = {f"{i}_2026_09_01.log": lines for i, (lines, _, _) in enumerate(DUMPS.values())}
+    rows = en.parse_entries(raw_lines(spark, files), skip_setup_dump=skip).collect()
+    for i, (case, (lines, kept, flagged)) in enumerate(DUMPS.items()):
+        own = [r for r in rows if r["source_file"] == f"{i}_2026_09_01.log"]
+        if skip:
+            assert sorted((r["line_no"], r["message"]) for r in own) == kept, case
+        else:
+            assert sorted(r["line_no"] for r in own if r["is_setup_dump"]) == flagged, case
+            assert len(own) == sum("|" in line for line in lines), case
+
+
+def test_secs_assembly(spark):
     files = {
-        f"2026-09-01 {h:02d}.log": [rng.choice(pool).format(rng.randint(0, 9), rng.randint(0, 9)) for _ in range(80)]
-        for h in range(20)
+        "2026-09-01 00.log": [" lost", "loose", "08:00:00:000: [1] SEND S1F1", "  indented  ", "", "\ttab ", "loose", "  lost too", "08:00:01:000: [2]  RECV S1F2 "],
+        "2026-09-01 01.log": ["08:00:00:000: [1] a", *[f"  line {i}" for i in range(20)], "x", "  lost", "08:00:02:000: [1] b"],
     }
-    rows = en.parse_entries(raw_lines(spark, files), fallback=False).collect()
-    for name, lines in files.items():
-        got = sorted((r["line_no"], r["message"]) for r in rows if r["source_file"] == name)
-        assert got == secs_entries(lines), name
-
-
-def test_item_tree_equals_stack(spark):
-    rng = random.Random(11)
-    messages = []
-    for _ in range(150):
-        lines = ["SEND S6F11"]
-        for _ in range(rng.randint(0, 25)):
-            kind = rng.choice(["L", "L", "U4", "A"])
-            lines.append(" " * rng.randint(0, 5) + (f"<{kind} [2]>" if kind == "L" else f"<{kind} [1] {rng.randint(0, 50)}>"))
-            if rng.random() < 0.1:
-                lines.append("   plain text")
-        messages.append("\n".join(lines))
-    df = spark.createDataFrame([(i, m) for i, m in enumerate(messages)], "i int, message string")
+    rows = en.parse_entries(raw_lines(spark, files)).collect()
+    assert sorted((r["source_file"][11:13], r["line_no"], r["message"]) for r in rows) == [
+        ("00", 3, "SEND S1F1\n  indented\n\ttab"), ("00", 9, "RECV S1F2"),
+        ("01", 1, "\n".join(["a", *[f"  line {i}" for i in range(20)]])), ("01", 24, "b"),
+    ]
+
+
+def test_item_trees(spark):
+    messages = [
+        # line, parent line, place among its siblings; report ids
+        ("SEND S6F11\n<L [3]>\n  <U4 [1] 0>\n  <U4 [1] 7>\n  <L [1]>\n    <L [2]>\n      <U4 [1] 10>\n      <L [1]>\n        <A [1] x>",
+         [[1, None, None], [2, 1, 1], [3, 1, 2], [4, 1, 3], [5, 4, 1], [6, 5, 1], [7, 5, 2], [8, 7, 1]], [10]),
+        ("S6F11\n <A [1] a>\n  <A [1] b>\n plain\n <A [1] c>", [[1, None, None], [2, 1, 1], [4, None, None]], []),
+        ("no items", [], []),
+    ]
+    df = spark.createDataFrame([(i, m) for i, (m, _, _) in enumerate(messages)], "i int, message string")
     nodes = F.transform(secs.item_nodes(F.col("message")), lambda n: F.array(n["line"], n["up1"], n["ord"]))
-    rows = df.select("i", nodes.alias("nodes"), secs.message_rptids(F.col("message")).alias("ids")).collect()
-    for row in rows:
-        tree, ids = item_tree(messages[row["i"]])
-        assert row["nodes"] == tree
-        assert row["ids"] == ids
+    for row in df.select("i", nodes.alias("nodes"), secs.message_rptids(F.col("message")).alias("ids")).collect():
+        _, tree, ids = messages[row["i"]]
+        assert [[n[0], n[1], None if n[1] is None else n[2]] for n in row["nodes"]] == tree and row["ids"] == ids
+
+
+def test_unknown_dialects_cost_no_further_pass(spark):
+    """The default settles unknown files in the block pass: no more scans or exchanges than without it."""
+    raw = raw_lines(spark, {"notes.txt": [mmi(1, "a"), "b"]})
+
+    def shape(**options):
+        plan = en.parse_entries(raw, **options)._jdf.queryExecution().executedPlan().toString()
+        return [plan.count(x) for x in ("Scan", "Exchange")]
+
+    assert shape() == shape(fallback=False)
 
 
 SAMPLE = (

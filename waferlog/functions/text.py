@@ -111,11 +111,29 @@ def valid_regex(pattern: str) -> bool:
         return False
 
 
+# Named groups and their back-references, beside what only looks like them (escapes and character classes).
+_GROUPS = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\(\?P<(\w+)>|\(\?P=(\w+)\)", re.S)
+
+
+def java_groups(pattern: str) -> str:
+    """Named groups as Java spells them. Java's names have no underscore, so groups are named by their order."""
+    names: dict[str, str] = {}
+
+    def rename(match: re.Match) -> str:
+        if match[1]:
+            return f"(?<{names.setdefault(match[1], f'g{len(names)}')}>"
+        if match[2]:
+            return rf"\k<{names.get(match[2], match[2])}>"
+        return match[0]
+
+    return _GROUPS.sub(rename, pattern)
+
+
 def java_pattern(keyword: str, case_sensitive: bool, use_regex: bool, strict: bool = False) -> str:
     """Java pattern of a keyword; an invalid regex turns into a literal unless `strict`."""
     flags = "(?U)" if case_sensitive else "(?iuU)"
     if use_regex:
-        body = keyword.replace("(?P<", "(?<")
+        body = java_groups(keyword)
         if valid_regex(flags + body):
             return flags + body
         if strict:
@@ -129,7 +147,7 @@ def keyword_predicate(
     """Does the text hold the (already cleaned) keyword? A blank keyword holds nowhere."""
     if not keyword:
         return F.lit(False)
-    if use_regex and (strict or valid_regex("(?U)" + keyword.replace("(?P<", "(?<"))):
+    if use_regex and (strict or valid_regex("(?U)" + java_groups(keyword))):
         return F.coalesce(normalize_sxfy(text).rlike(java_pattern(keyword, case_sensitive, True, strict)), F.lit(False))
     haystack = normalize_sxfy(text) if _touches_sxfy_w(keyword) else text
     if case_sensitive:

@@ -30,12 +30,13 @@ def extract_alarms(entries: DataFrame, start=None, end=None) -> DataFrame:
     )
 
 
-def summarize_alarms(alarms: DataFrame, key_chars: int = 80, limit: int | None = None) -> DataFrame:
-    """(alarm, occurrences), most first; ties keep the order of first occurrence. A count of 0 counts as 1."""
-    key = F.coalesce(F.nullif("alarm_code", F.lit("")), F.substring("message", 1, key_chars))
+def summarize_alarms(alarms: DataFrame, label_chars: int | None = None, limit: int | None = None) -> DataFrame:
+    """(alarm, occurrences) by code or whole message, most first; `label_chars` cuts only the shown text. Ties keep the order of first occurrence. A count of 0 counts as 1."""
+    key = F.coalesce(F.nullif("alarm_code", F.lit("")), F.col("message"))
     times = F.coalesce(F.nullif("repeat_count", F.lit(0).cast("long")), F.lit(1).cast("long"))
     totals = alarms.groupBy(key.alias("alarm")).agg(
         F.sum(times).alias("occurrences"), F.min(first_seen(alarms)).alias("_first")
     )
     ranked = totals.orderBy(F.desc("occurrences"), "_first")
-    return (ranked.limit(limit) if limit else ranked).drop("_first")
+    ranked = (ranked.limit(limit) if limit else ranked).drop("_first")
+    return ranked if label_chars is None else ranked.withColumn("alarm", F.substring("alarm", 1, label_chars))

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import is_blank, rstrip
+from ..functions.text import is_blank, parse_time, rstrip
 from ..schema import MMI, SECS, UNKNOWN
-from .detect import detect_dialects, is_mmi_header, is_secs_header
+from .detect import dialect_of, is_mmi_header, is_secs_header
 
 BLOCK = ["source_path", "block_no"]
 
@@ -93,39 +93,66 @@ def _running_marks(lines: DataFrame, keys: list[str], flag_only: bool) -> DataFr
 
 
 def _block_carries(raw_lines: DataFrame, flag_only: bool) -> DataFrame:
-    """Per block: what the file's earlier blocks leave open. Only marker lines are shuffled for it."""
+    """Per block: what the file's earlier blocks leave open, whether the file keeps an MMI entry (`keeps_mmi`), and what its
+    length and first line say about its dialect. Only marker lines are shuffled for it."""
+    value = F.col("value")
     marks = (
         _flags(raw_lines)
         .withColumn("s_mark", _secs_mark())
         .filter("m_head OR start OR finish OR s_mark IS NOT NULL")
-        .withColumn("plain", F.col("m_head") & _plain_color(F.col("value")))
-        .select(*BLOCK, "line_no", "m_head", "start", "finish", "plain", "s_mark")
+        .withColumns({"plain": F.col("m_head") & _plain_color(value), "timed": F.col("m_head") & parse_time(F.substring(value, 1, 23)).isNotNull()})
+        .select(*BLOCK, "line_no", "m_head", "start", "finish", "plain", "timed", "s_mark")
     )
     marks = _running_marks(marks, BLOCK, flag_only)
     marks = marks.withColumn("event", _dump_event(F.col("header"), F.col("start_line"), flag_only))
+    # TRUE on a header, FALSE on another dump marker: an entry is closed by a header, and marked by the latter.
+    kind = F.when(F.col("m_head"), True).when(F.col("start") | F.col("finish"), False)
+    ordered = Window.partitionBy(*BLOCK).orderBy("line_no")
+    marks = marks.withColumn("kind", kind).withColumns({
+        "state": F.last("event", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0)),
+        "next_kind": F.first("kind", ignorenulls=True).over(ordered.rowsBetween(1, Window.unboundedFollowing)),
+    })
+    candidate = F.col("timed") & (F.lit(flag_only) | ~(F.col("start") | F.col("finish")))
     last = marks.groupBy(*BLOCK).agg(
         F.max(F.when(F.col("m_head"), F.struct("line_no", "finish"))).alias("header"),
         F.max(F.when(F.col("start"), F.col("line_no"))).alias("start_line"),
         F.max(F.when(F.col("event").isNotNull(), F.struct("line_no", "event")))["event"].alias("event"),
         F.max(F.when(F.col("s_mark").isNotNull(), F.struct("line_no", "s_mark"))).alias("s_mark"),
+        F.min(F.when(F.col("kind").isNotNull(), F.struct("line_no", "kind")))["kind"].alias("first_kind"),
+        # Four states and three kinds at most.
+        F.collect_set(F.when(candidate, F.struct("state", "next_kind"))).alias("candidates"),
+    )
+    opening = F.col("line_no") == 1
+    blocks = raw_lines.groupBy(*BLOCK).agg(
+        F.max("line_no").alias("last_line"),
+        F.bool_or(opening & is_mmi_header(value)).alias("opens_mmi"),
+        F.bool_or(opening & is_secs_header(value)).alias("opens_secs"),
     )
-    blocks = raw_lines.groupBy(*BLOCK).agg(F.count("*").alias("lines"))
-    earlier = Window.partitionBy("source_path").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
+    file = Window.partitionBy("source_path")
+    earlier = file.orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
+    later = file.orderBy("block_no").rowsBetween(1, Window.unboundedFollowing)
     carried = blocks.join(last, BLOCK, "left").select(
         *BLOCK,
         "event",
+        "candidates",
+        F.max("last_line").over(file).alias("line_count"),
+        F.max("opens_mmi").over(file).alias("opens_mmi"),
+        F.max("opens_secs").over(file).alias("opens_secs"),
+        F.first("first_kind", ignorenulls=True).over(later).alias("next_first"),
         F.last("header", ignorenulls=True).over(earlier).alias("c_header"),
         F.max("start_line").over(earlier).alias("c_start"),
         F.last("s_mark", ignorenulls=True).over(earlier).alias("c_s_mark"),
     )
     settled = _settle(F.col("event"), F.col("c_header"), F.col("c_start"))
-    return carried.withColumn("event", settled).select(
-        *BLOCK,
-        "c_header",
-        "c_start",
-        "c_s_mark",
-        F.last("event", ignorenulls=True).over(earlier).alias("c_dump"),
-    )
+    carried = carried.withColumn("event", settled).withColumn("c_dump", F.last("event", ignorenulls=True).over(earlier))
+
+    def kept(entry: Column) -> Column:
+        state = F.coalesce(_settle(entry["state"], F.col("c_header"), F.col("c_start")), F.col("c_dump"), F.lit(0))
+        return F.lit(flag_only) | ((state == 0) & F.coalesce(entry["next_kind"], F.col("next_first"), F.lit(True)))
+
+    keeps = F.coalesce(F.exists("candidates", kept), F.lit(False))
+    return carried.select(
+        *BLOCK, "c_header", "c_start", "c_s_mark", "c_dump", "line_count", "opens_mmi", "opens_secs", F.max(keeps).over(file).alias("keeps_mmi"))
 
 
 def assemble(
@@ -134,25 +161,23 @@ def assemble(
     skip_setup_dump: bool = True,
     fallback: bool = True,
 ) -> DataFrame:
-    """One row per header line: (source_path, source_file, dialect, line_no, head, tail, in_dump, is_fallback).
+    """One row per header line: (source_path, source_file, dialect, line_no, head, tail, in_dump).
 
     `head` is the header line, `tail` its continuation lines joined by a line feed (NULL without any). `in_dump`
-    says that the entry belongs to a setup dump. A file of unknown dialect is tried as both dialects: MMI wins if
-    it keeps at least one entry. Pass `fallback=False` when every file's dialect is known. A `dialect` column of
-    `raw_lines` is used as it is; else `dialects`, else the detected ones are joined in.
+    says that the entry belongs to a setup dump. A file of unknown dialect is read as MMI if that keeps at least one
+    entry, else as SECS; the block pass already knows which, so its lines are read once. `fallback=False` leaves such
+    files as they are. A `dialect` column of `raw_lines` is used as it is; else `dialects`, else the detected ones.
     """
     named = "dialect" in raw_lines.columns
-    options = F.when(F.col("dialect") == UNKNOWN, F.array(F.lit(MMI), F.lit(SECS))).otherwise(F.array("dialect"))
     blocks = _block_carries(raw_lines, not skip_setup_dump)
     if not named:
-        # Files and blocks are joined first: the lines then meet the dialect per block, not per (maybe huge) file.
-        blocks = blocks.join(detect_dialects(raw_lines) if dialects is None else dialects, "source_path")
+        # The dialect is settled per block, so that lines never meet on a (maybe huge) file.
+        blocks = blocks.join(dialects, "source_path") if dialects is not None else blocks.withColumn("dialect", dialect_of(blocks))
     # One row per block is the build side; the lines move once, and stay in place for the block windows.
-    lines = _flags(raw_lines).join(blocks.hint("shuffle_hash"), BLOCK)
+    lines = _flags(raw_lines).join(blocks.drop("line_count", "opens_mmi", "opens_secs").hint("shuffle_hash"), BLOCK)
     if fallback:
-        lines = lines.withColumn("is_fallback", F.col("dialect") == UNKNOWN).withColumn("dialect", F.explode(options))
-    else:
-        lines = lines.withColumn("is_fallback", F.lit(False))
+        settled = F.when(F.col("dialect") != UNKNOWN, F.col("dialect")).when(F.col("keeps_mmi"), MMI).otherwise(SECS)
+        lines = lines.withColumn("dialect", settled)
 
     mmi = F.col("dialect") == MMI
     lines = lines.withColumns(
@@ -180,11 +205,11 @@ def assemble(
     lines = (
         lines.withColumns({"owner": owner, "dump": F.coalesce(event, "c_dump", F.lit(0))})
         .filter(F.col("owner").isNotNull() & (is_head | ~is_blank(F.col("value"))))
-        .select("source_path", "source_file", "dialect", "is_fallback", "owner", "line_no", "value", "dump",
+        .select("source_path", "source_file", "dialect", "owner", "line_no", "value", "dump",
                 (F.col("start") | F.col("finish")).alias("marked"))
     )
     piece = F.when(mmi, F.col("value")).otherwise(rstrip(F.col("value")))
-    grouped = lines.groupBy("source_path", "source_file", "dialect", "is_fallback", "owner").agg(
+    grouped = lines.groupBy("source_path", "source_file", "dialect", "owner").agg(
         F.max(F.when(is_head, F.col("value"))).alias("head"),
         F.collect_list(F.when(~is_head, F.struct("line_no", piece.alias("piece")))).alias("tail"),
         F.max(F.when(is_head, F.col("dump"))).alias("dump_before"),
@@ -198,7 +223,6 @@ def assemble(
         "source_path",
         "source_file",
         "dialect",
-        "is_fallback",
         F.col("owner").alias("line_no"),
         "head",
         F.when(
@@ -207,13 +231,3 @@ def assemble(
         in_dump.alias("in_dump"),
     )
 
-
-def settle_fallback(assembled: DataFrame, skip_setup_dump: bool = True) -> DataFrame:
-    """Keep the MMI reading of an unknown file if it has a kept entry, else the SECS reading."""
-    kept = F.col("timestamp").isNotNull() & (~F.col("in_dump") if skip_setup_dump else F.lit(True))
-    as_mmi = (
-        assembled.filter(F.col("is_fallback") & (F.col("dialect") == MMI) & kept).select("source_path").distinct()
-    )
-    sure = assembled.filter(~F.col("is_fallback") | (F.col("dialect") == MMI))
-    maybe = assembled.filter(F.col("is_fallback") & (F.col("dialect") == SECS))
-    return sure.unionByName(maybe.join(as_mmi, "source_path", "left_anti"))

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import display_time, normalize_sxfy
@@ -34,37 +30,6 @@ def line_diff(pairs: DataFrame) -> DataFrame:
     return side("left").join(side("right"), ["pair_id", "line", "occurrence"], "full_outer").withColumn("mark", mark)
 
 
-def aligned_diff(pairs: DataFrame) -> DataFrame:
-    """Aligned lines of `pairs(pair_id, left, right)`: (pair_id, row_no, left_line, right_line, left_mark, right_mark).
-
-    The alignment is the longest-matching-block one, which no set operation expresses; each pair is independent, so
-    it runs over Arrow batches. A side without a line shows '' and carries the opposite mark.
-    """
-    schema = "pair_id bigint, row_no bigint, left_line string, right_line string, left_mark string, right_mark string"
-    marks = {"equal": ("", ""), "replace": ("replace", "replace"), "delete": ("delete", "insert"), "insert": ("delete", "insert")}
-
-    def rows_of(left: list[str], right: list[str]) -> Iterator[tuple]:
-        for kind, a, b, c, d in difflib.SequenceMatcher(None, left, right).get_opcodes():
-            for i in range(max(b - a, d - c)):
-                has_left, has_right = a + i < b, c + i < d
-                left_mark, right_mark = marks[kind]
-                if kind == "replace":
-                    left_mark = left_mark if has_left else "insert"
-                    right_mark = right_mark if has_right else "delete"
-                yield (left[a + i] if has_left else "", right[c + i] if has_right else "", left_mark, right_mark)
-
-    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [
-                (pair_id, number, *row)
-                for pair_id, left, right in zip(batch["pair_id"], batch["left"], batch["right"])
-                for number, row in enumerate(rows_of(left.split("\n"), right.split("\n")), 1)
-            ]
-            yield pd.DataFrame(out, columns=["pair_id", "row_no", "left_line", "right_line", "left_mark", "right_mark"])
-
-    return pairs.select("pair_id", "left", "right").mapInPandas(align, schema)
-
-
 def digest_line():
     """The text of an entry that a digest covers."""
     kind = F.initcap(F.lower("log_type"))
@@ -82,10 +47,15 @@ def entry_digests(entries: DataFrame) -> DataFrame:
     return entries.select("source_path", "line_no", F.sha2(F.concat(digest_line(), F.lit("\n")), 256).alias("sha256"))
 
 
-def timeline_digest(entries: DataFrame) -> DataFrame:
-    """(entries, digest): a count, and the sum of the entry digests' first 60 bits, which no row order changes."""
-    part = F.conv(F.substring("sha256", 1, 15), 16, 10).cast("decimal(38,0)")
-    return entry_digests(entries).agg(F.count("*").alias("entries"), F.sum(part).cast("string").alias("digest"))
+def timeline_digest(indexed: DataFrame) -> DataFrame:
+    """(entries, digest) of an indexed timeline: a count, and the sums of the eight words of the rows' SHA-256.
+
+    The digested line starts with the row's place in the timeline, so two timelines of the same rows in another order differ.
+    """
+    placed = F.sha2(F.concat(F.col("timeline_index").cast("string"), F.lit("|"), digest_line(), F.lit("\n")), 256)
+    words = [F.conv(F.substring("sha256", 8 * i + 1, 8), 16, 10).cast("decimal(38,0)") for i in range(8)]
+    sums = F.concat_ws("-", *[F.sum(w).cast("string") for w in words])
+    return indexed.select(placed.alias("sha256")).agg(F.count("*").alias("entries"), sums.alias("digest"))
 
 
 def order_violations(indexed: DataFrame) -> DataFrame:

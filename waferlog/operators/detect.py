@@ -12,10 +12,6 @@ SECS_HEADER = r"(?s)^(\d{2}:\d{2}:\d{2}:\d{3}):\s+\[(\d+)\]\s*(.*)$"
 MMI_NAME = r"(?i)\d{4}_\d{2}_\d{2}\.(?:log|tslog)$"
 SECS_NAME = r"(?i)\d{4}-\d{2}-\d{2} \d{1,2}\.(?:log|tslog)$"
 
-# The content test looks at this many leading characters as one string, without line mode.
-MMI_SAMPLE = 5000
-SECS_SAMPLE = 8000
-
 
 def is_mmi_header(value: Column) -> Column:
     return value.rlike(MMI_HEADER)
@@ -26,31 +22,30 @@ def is_secs_header(value: Column) -> Column:
 
 
 def file_heads(raw_lines: DataFrame) -> DataFrame:
-    """(source_path, line_count, first_line) per file: a hash aggregation of numbers, and one row per file."""
-    counts = raw_lines.groupBy("source_path").agg(F.max("line_no").alias("line_count"))
-    first = raw_lines.filter("line_no = 1").select("source_path", F.col("value").alias("first_line"))
-    return counts.join(first, "source_path")
+    """(source_path, line_count, opens_mmi, opens_secs) per file, one aggregation without any text."""
+    opening = F.col("line_no") == 1
+    return raw_lines.groupBy("source_path").agg(
+        F.max("line_no").alias("line_count"),
+        F.bool_or(opening & is_mmi_header(F.col("value"))).alias("opens_mmi"),
+        F.bool_or(opening & is_secs_header(F.col("value"))).alias("opens_secs"),
+    )
 
 
-def classify_heads(heads: DataFrame) -> DataFrame:
-    """(source_path, dialect) per file.
+def dialect_of(heads: DataFrame) -> Column:
+    """The dialect of a file from its name, or from its only line; a file that passes both tests is MMI.
 
-    Content decides only when the sampled head of the file is a single line; otherwise the name does. A file that
-    passes both tests is MMI.
+    Content of more lines doesn't decide here: such a file is tried as both when it is assembled.
     """
-    name = F.element_at(F.split("source_path", "/"), -1)
-
-    def content(header: Column, sample: int) -> Column:
-        single = (F.col("line_count") == 1) | (F.length("first_line") >= sample - 1)
-        return F.coalesce(single & header, F.lit(False))
-
-    mmi = name.rlike(MMI_NAME) | content(is_mmi_header(F.col("first_line")), MMI_SAMPLE)
-    secs = name.rlike(SECS_NAME) | content(is_secs_header(F.col("first_line")), SECS_SAMPLE)
-    return heads.select("source_path", F.when(mmi, MMI).when(secs, SECS).otherwise(UNKNOWN).alias("dialect"))
+    name = F.element_at(F.split(heads["source_path"], "/"), -1)
+    single = heads["line_count"] == 1
+    mmi = name.rlike(MMI_NAME) | (single & heads["opens_mmi"])
+    secs = name.rlike(SECS_NAME) | (single & heads["opens_secs"])
+    return F.when(mmi, MMI).when(secs, SECS).otherwise(UNKNOWN)
 
 
 def detect_dialects(raw_lines: DataFrame) -> DataFrame:
-    return classify_heads(file_heads(raw_lines))
+    heads = file_heads(raw_lines)
+    return heads.select("source_path", dialect_of(heads).alias("dialect"))
 
 
 def strict_dialects(raw_lines: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import secs
 from ..functions.text import rstrip
 from ..schema import ENTRY_KEY
+from .ordered import looked_up
 
 _TARGETS = "array<struct<kind:string,line:int,id:bigint,ord:int>>"
 
@@ -24,7 +25,7 @@ def attach_event_names(entries: DataFrame, event_names: DataFrame | None) -> Dat
     if event_names is None:
         return entries
     names = event_names.select("ceid", F.col("name").alias("event_name"))
-    return entries.drop("event_name").join(names, "ceid", "left")
+    return looked_up(entries.drop("event_name"), names, "ceid")
 
 
 def item_table(entries: DataFrame) -> DataFrame:
@@ -89,12 +90,17 @@ def _targets(message: Column, extended: bool) -> Column:
     return secs.bind(secs.item_nodes(message), lambda nodes: secs.bind(secs.body_line(nodes), lambda b: all_targets(nodes, b)))
 
 
+def reports() -> Column:
+    """Rows whose lines can take a name at all."""
+    return F.coalesce((F.col("sxfy_type") == "S6F11") & F.contains("message", F.lit("S6F11")), F.lit(False))
+
+
 def line_suffixes(
     entries: DataFrame, event_names: DataFrame | None, report_variables: DataFrame | None, style: str = "plain"
 ) -> DataFrame:
     """(source_path, line_no, item_line, suffix). One dimension may be missing; the other still applies."""
     extended = style == "extended"
-    rows = entries.filter((F.col("sxfy_type") == "S6F11") & F.contains("message", F.lit("S6F11")))
+    rows = entries.filter(reports())
     targets = rows.select(*ENTRY_KEY, F.explode(_targets(F.col("message"), extended)).alias("t")).select(*ENTRY_KEY, "t.*")
     # Both dimensions become one lookup by (kind, id, ord), so that the item trees are built once.
     parts = []
@@ -116,6 +122,8 @@ def line_suffixes(
             )
         )
     lookup = parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
+    # A dimension may name an id twice; a line takes one suffix.
+    lookup = lookup.groupBy("kind", "id", "ord").agg(F.max("suffix").alias("suffix"))
     own = F.when(F.col("kind") == "rptid", F.concat(F.lit(" // (RPTID "), F.col("id").cast("string"), F.lit(")")))
     return (
         targets.join(lookup, ["kind", "id", "ord"], "left")
@@ -145,8 +153,11 @@ def annotate(
         ),
         "\n",
     )
-    return (
-        entries.join(per_entry, ENTRY_KEY, "left")
+    # Only report messages change; the rest of the log is passed on without a shuffle.
+    changed = (
+        entries.filter(reports())
+        .join(per_entry, ENTRY_KEY, "left")
         .withColumn("display_message", F.when(F.col("_suffix").isNull(), F.col("message")).otherwise(shown))
         .drop("_suffix")
     )
+    return changed.unionByName(entries.filter(~reports()).withColumn("display_message", F.col("message")))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import secs
 from ..functions.text import extract, parse_time, rstrip, strip, sxfy_type
 from ..schema import ENTRIES, MMI, SECS, order_columns
-from .assemble import assemble, settle_fallback
+from .assemble import assemble
 from .detect import SECS_HEADER
 from .ordered import dense_index
 
@@ -79,8 +79,7 @@ def dated_rows(
     day = F.coalesce(extract(F.col("source_file"), r"(\d{4}-\d{2}-\d{2})", 1), F.lit(default_date).cast("string"))
     clock = F.substring("head", 1, 12)
     written = F.when(F.col("dialect") == MMI, F.substring("head", 1, 23)).otherwise(F.concat(day, F.lit(" "), clock))
-    rows = rows.withColumn("timestamp", parse_time(written))
-    return settle_fallback(rows, skip_setup_dump) if fallback else rows
+    return rows.withColumn("timestamp", parse_time(written))
 
 
 def typed_columns(rows: DataFrame, levels: dict[int, str] | None = None) -> DataFrame:

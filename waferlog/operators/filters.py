@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import clean_keywords, display_time, gap_text, keyword_predicate, moment, strip, to_millis
-from ..schema import ENTRY_KEY, SECS, entry_key, order_columns
+from ..schema import ENTRY_KEY, SECS, entry_key, order_columns, shown
 from ..spec import FilterSpec
-from .ordered import dense_index, with_previous
+from .ordered import dense_index, gaps_on_index, with_previous
 from .search import combine, joined
 
 
@@ -132,13 +132,19 @@ def apply_spec(
         rows = rows.filter(F.lit(False))
 
     extra: dict[str, Column] = {}
-    for number, (word, keys) in enumerate((named or {}).items()):
-        rows = rows.join(keys.withColumn(f"_named{number}", F.lit(True)), ENTRY_KEY, "left")
-        extra[word] = F.coalesce(F.col(f"_named{number}"), F.lit(False))
+    if named:
+        # All words' hits become one row per entry, so that entries are joined once.
+        hits = None
+        for word, keys in named.items():
+            part = keys.select(*ENTRY_KEY, F.lit(word).alias("_word"))
+            hits = part if hits is None else hits.unionByName(part)
+        rows = rows.join(hits.groupBy(*ENTRY_KEY).agg(F.collect_set("_word").alias("_named")), ENTRY_KEY, "left")
+        extra = {word: F.coalesce(F.array_contains("_named", word), F.lit(False)) for word in named}
+    text = shown(entries)
 
     def hit(word: str) -> Column:
         clean = clean_keywords([word])
-        own = keyword_predicate(F.col("message"), clean[0], spec.case_sensitive, spec.use_regex) if clean else F.lit(False)
+        own = keyword_predicate(text, clean[0], spec.case_sensitive, spec.use_regex) if clean else F.lit(False)
         return own | extra[word] if word in extra else own
 
     must, may, never = spec.mode("AND"), spec.mode("OR"), spec.exclude_keywords
@@ -150,7 +156,7 @@ def apply_spec(
         label = F.when(decided, joined([hit(w) for w in words], [F.lit(w) for w in words])).otherwise("")
         excused = marked if spec.always_include_bookmarks else F.lit(False)
         rows = rows.filter(decided | excused).withColumn("matched_keywords", label)
-    return rows.drop(*[f"_named{n}" for n in range(len(extra))])
+    return rows.drop("_named")
 
 
 def matches_of(filtered: DataFrame) -> DataFrame:
@@ -163,30 +169,39 @@ def matches_of(filtered: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- display
 
 
-def with_gap(entries: DataFrame) -> DataFrame:
-    """Add `position` (0-based, timeline order of the given rows), `gap_ms` and `gap` to the previous row."""
-    indexed = dense_index(entries, order_columns(), "position", "filtered")
+def gap_table(entries: DataFrame) -> DataFrame:
+    """(source_path, line_no, source_file, timestamp, position, gap_ms, gap) of the given rows in timeline order: `position` from 0,
+    and the gap to the row before. Only keys and times are moved; rows that carry the timeline's index aren't sorted anew."""
     ms = to_millis(F.col("timestamp"))
-    return (
-        with_previous(indexed, "position", {"_before": ms})
-        .withColumn("gap_ms", ms - F.col("_before"))
-        .withColumn("gap", gap_text(F.col("gap_ms")))
-        .drop("_before")
-    )
+    slim = entries.select(*ENTRY_KEY, "source_file", "timestamp", "log_type", *[c for c in ("timeline_index",) if c in entries.columns])
+    if "timeline_index" in entries.columns:
+        placed = gaps_on_index(slim, "timeline_index", ms)
+    else:
+        placed = with_previous(dense_index(slim, order_columns(), "position", "filtered"), "position", {"_before": ms})
+    placed = placed.withColumn("gap_ms", ms - F.col("_before"))
+    return placed.select(*ENTRY_KEY, "source_file", "timestamp", "position", "gap_ms", gap_text(F.col("gap_ms")).alias("gap"))
 
 
-def display_rows(rows: DataFrame, message_limit: int = 1000, memo_limit: int = 80) -> DataFrame:
-    """The twelve display columns. Optional inputs (bookmark, memo, gap, keywords, names) default to blank."""
+def with_gap(entries: DataFrame) -> DataFrame:
+    """The rows themselves with `position`, `gap_ms` and `gap`."""
+    return entries.drop("position", "gap_ms", "gap").join(gap_table(entries).drop("source_file", "timestamp"), ENTRY_KEY)
+
+
+def display_rows(rows: DataFrame, message_limit: int | None = None, memo_limit: int | None = None) -> DataFrame:
+    """The twelve display columns, texts whole unless a limit of characters is given. Optional inputs (bookmark, memo, gap, keywords, names) default to blank."""
     def column(name: str, default="") -> Column:
         return F.col(name) if name in rows.columns else F.lit(default)
 
-    message = column("display_message") if "display_message" in rows.columns else F.col("message")
+    def cut(text: Column, limit: int | None) -> Column:
+        return text if limit is None else F.substring(text, 1, limit)
+
+    message = shown(rows)
     level = F.coalesce(
         F.nullif(F.col("level_name"), F.lit("")), F.concat(F.lit("CH "), F.col("channel").cast("string")), F.lit("")
     )
     return rows.select(
         F.when(column("bookmarked", False), "★").otherwise("").alias("bookmark"),
-        F.substring(F.replace(column("memo"), F.lit("\n"), F.lit(" ")), 1, memo_limit).alias("memo"),
+        cut(F.replace(column("memo"), F.lit("\n"), F.lit(" ")), memo_limit).alias("memo"),
         display_time(F.col("timestamp")).alias("time"),
         column("gap").alias("time_delta"),
         F.col("log_type").alias("type"),
@@ -196,7 +211,7 @@ def display_rows(rows: DataFrame, message_limit: int = 1000, memo_limit: int = 8
         F.coalesce("event_name", F.lit("")).alias("event_name"),
         F.col("source_file").alias("file"),
         F.col("line_no").cast("string").alias("line"),
-        F.substring(F.replace(message, F.lit("\n"), F.lit(" | ")), 1, message_limit).alias("message"),
+        cut(F.replace(message, F.lit("\n"), F.lit(" | ")), message_limit).alias("message"),
     )
 
 

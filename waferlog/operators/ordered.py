@@ -62,3 +62,28 @@ def with_previous(df: DataFrame, index: str, values: dict[str, Column], block_ro
     w = Window.partitionBy("_block").orderBy(index)
     lagged = spread.select("*", *[F.lag(expr).over(w).alias(name) for name, expr in values.items()])
     return lagged.filter(F.col("_block") == F.col("_home")).drop("_block", "_home")
+
+
+def gaps_on_index(df: DataFrame, index: str, ms: Column, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Adds `position` (0-based) and `_before` (`ms` of the row before) to rows that are some of an indexed timeline's.
+
+    Rows are numbered inside blocks of the index; one row per block carries counts and last values from block to block. Nothing is sorted
+    anew or written.
+    """
+    rows = df.withColumns({"_block": F.floor(F.col(index) / block_rows), "_ms": ms})
+    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy("_block").agg(F.count("*").alias("_n"), F.max(F.struct(index, "_ms"))["_ms"].alias("_last")).select(
+        "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"), F.last("_last").over(earlier).alias("_carried"))
+    inside = Window.partitionBy("_block").orderBy(index)
+    return rows.join(carried, "_block").withColumns({
+        "position": F.col("_start") + F.row_number().over(inside) - 1,
+        "_before": F.coalesce(F.lag("_ms").over(inside), "_carried"),
+    }).drop("_block", "_ms", "_start", "_carried")
+
+
+def looked_up(rows: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
+    """Left join with a dimension on a key that most rows may lack: rows with a NULL key are spread, not sent to one task."""
+    spread = F.when(F.col(key).isNull(), 1 + F.pmod(F.xxhash64("source_path", "line_no"), F.lit(4096))).otherwise(F.lit(0).cast("long"))
+    keyed = dimension.withColumnRenamed(key, "_key").withColumn("_spread", F.lit(0).cast("long"))
+    joined = rows.withColumns({"_key": F.coalesce(F.col(key), F.lit(0)), "_spread": spread}).join(keyed, ["_key", "_spread"], "left")
+    return joined.drop("_key", "_spread")

@@ -20,16 +20,16 @@ def context(indexed: DataFrame, anchors: DataFrame, n: int, index: str = "timeli
     return indexed.join(wanted, index).withColumn("marker", marker)
 
 
-def page(indexed: DataFrame, number: int, size: int, index: str = "timeline_index", cap: int = 10_000) -> DataFrame:
-    """Page `number` (0-based) of a numbered result; the page size is held between 1 and the cap."""
-    size = min(max(1, size), cap)
+def page(indexed: DataFrame, number: int, size: int, index: str = "timeline_index") -> DataFrame:
+    """Page `number` (0-based) of a numbered result, of at least one row."""
+    size = max(1, size)
     return indexed.filter(F.col(index).between(number * size, number * size + size - 1))
 
 
-def centred(indexed: DataFrame, focus: int, size: int, index: str = "timeline_index", cap: int = 10_000) -> DataFrame:
+def centred(indexed: DataFrame, focus: int, size: int, index: str = "timeline_index") -> DataFrame:
     """A window of `size` rows around a position, moved inwards at both ends."""
     total = indexed.agg(F.count("*").alias("n")).scalar()
-    width = F.least(F.lit(min(max(1, size), cap)).cast("long"), total)
+    width = F.least(F.lit(max(1, size)).cast("long"), total)
     start = F.greatest(F.lit(0), F.least(F.lit(focus) - F.floor(width / 2), total - width))
     return indexed.filter((F.col(index) >= start) & (F.col(index) < start + width))
 

@@ -91,10 +91,9 @@ P AS (
            WHEN 2 THEN 'notes.TXT' ELSE '2024-03-05.log' END AS source_path,
          CASE doc_id % 3 WHEN 0 THEN '2024-03-05 07:00:00:001|1|1|' WHEN 1 THEN '07:00:00:001: [2] ' ELSE '' END AS head,
          string_split(text, chr(10)) AS parts, doc_id % 3 AS h, doc_id % 4 AS f FROM documents),
-Q AS (SELECT *, len(parts) - CASE WHEN len(parts) > 1 AND parts[len(parts)] = '' THEN 1 ELSE 0 END AS n,
-             length(head) + length(parts[1]) AS first_chars FROM P),
-R AS (SELECT *, CASE WHEN f = 0 OR (h = 0 AND (n = 1 OR first_chars >= 4999)) THEN 'MMI'
-                     WHEN f = 1 OR (h = 1 AND (n = 1 OR first_chars >= 7999)) THEN 'SECS' ELSE 'UNKNOWN' END AS dialect FROM Q)
+Q AS (SELECT *, len(parts) - CASE WHEN len(parts) > 1 AND parts[len(parts)] = '' THEN 1 ELSE 0 END AS n FROM P),
+R AS (SELECT *, CASE WHEN f = 0 OR (h = 0 AND n = 1) THEN 'MMI'
+                     WHEN f = 1 OR (h = 1 AND n = 1) THEN 'SECS' ELSE 'UNKNOWN' END AS dialect FROM Q)
 """
 
 # --- the setup-dump log -------------------------------------------------------------------------------------------
@@ -196,7 +195,7 @@ R0 AS (
   FROM E JOIN SP ON t BETWEEN a - INTERVAL 5 MINUTE AND b + INTERVAL 5 MINUTE
   WHERE is_alarm AND (contains(lower(first_line), carrier) OR t BETWEEN a AND b)
   UNION ALL
-  SELECT carrier, 2, event_id, NULL, 'OK', CASE WHEN ceid IS NOT NULL THEN 'CEID ' || ceid ELSE 'Carrier Related Log' END, substring(trim(message), 1, 500)
+  SELECT carrier, 2, event_id, NULL, 'OK', CASE WHEN ceid IS NOT NULL THEN 'CEID ' || ceid ELSE 'Carrier Related Log' END, trim(message)
   FROM X),
 R1 AS (SELECT *, row_number() OVER (PARTITION BY carrier, event_id ORDER BY rank) AS pick FROM R0),
 R2 AS (
@@ -333,6 +332,10 @@ SELECT source_file, line_no, CAST(x.l AS BIGINT) AS item_line, x.ty AS item_type
         "gaps": _events(
             f""", G AS (SELECT source_file, line_no, row_number() OVER (ORDER BY timeline_index) - 1 AS position,
  epoch_ms(t) - epoch_ms(lag(t) OVER (ORDER BY timeline_index)) AS gap_ms FROM E WHERE is_secs)
+SELECT source_file, line_no, position, gap_ms, {_gap_text('gap_ms')} AS gap FROM G"""
+        ),
+        "gaps_unindexed": _events(
+            f""", G AS (SELECT source_file, line_no, timeline_index AS position, epoch_ms(t) - epoch_ms(lag(t) OVER (ORDER BY timeline_index)) AS gap_ms FROM E)
 SELECT source_file, line_no, position, gap_ms, {_gap_text('gap_ms')} AS gap FROM G"""
         ),
         "report_gaps": _events(
@@ -357,9 +360,9 @@ SELECT timeline_index, source_file, line_no FROM E, V WHERE timeline_index >= s
  || '|' || replace(message, 'S6F11W', 'S6F11') || chr(10)) AS sha256 FROM E"""
         ),
         "timeline_digest": _events(
-            """, H AS (SELECT substring(sha256(time || '|' || CASE WHEN is_secs THEN 'Secs' ELSE 'Mmi' END || '|' || source_file || '|' || line_no
- || '|' || replace(message, 'S6F11W', 'S6F11') || chr(10)), 1, 15) AS h FROM E)
-SELECT count(*) AS entries, CAST(sum(CAST('0x' || h AS BIGINT)) AS VARCHAR) AS digest FROM H"""
+            """, H AS (SELECT sha256(timeline_index || '|' || time || '|' || CASE WHEN is_secs THEN 'Secs' ELSE 'Mmi' END || '|' || source_file || '|' || line_no
+ || '|' || replace(message, 'S6F11W', 'S6F11') || chr(10)) AS h FROM E)
+SELECT count(*) AS entries, """ + " || '-' || ".join(f"CAST(sum(CAST('0x' || substring(h, {8 * i + 1}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8)) + """ AS digest FROM H"""
         ),
         "type_filter": _events("SELECT source_file, line_no, log_type FROM E WHERE is_secs"),
         "sxfy_filter": _events("SELECT log_type, count(*) AS entries FROM E WHERE NOT is_secs GROUP BY log_type"),
@@ -387,7 +390,7 @@ WHERE ({_has('tion')} AND NOT {_has('que')}) OR bookmarked"""
         "display_rows": _docs(
             """SELECT CASE WHEN bookmarked THEN 'yes' ELSE '' END AS bookmark, replace(memo, chr(10), ' ') AS memo, time, '' AS time_delta, 'MMI' AS type,
  '' AS matched_keywords, 'Info' AS level_channel, '' AS ceid, '' AS event_name, source_file AS file, CAST(line_no AS VARCHAR) AS line,
- substring(replace(message, chr(10), ' | '), 1, 1000) AS message FROM B"""
+ replace(message, chr(10), ' | ') AS message FROM B"""
         ),
         "log_text": _events(
             """SELECT source_file, line_no, CASE WHEN suffix <> '' THEN raw_line ELSE prefix || message END AS text FROM E"""
@@ -409,6 +412,13 @@ WHERE t BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-20' AND NOT {_has(
  THEN 'LOT' || u END AS lot FROM E)
 SELECT source_file, line_no, w AS matched_text FROM M WHERE lot IS NOT NULL AND regexp_full_match(w, 'LOT1[0-4]+')"""
         ),
+        "keyword_named_group": _events(
+            """, M AS (SELECT source_file, line_no, u, event_type IN ('CarrierObject::StateChange', 'CarrierObject::ClearCarrierInfo') OR is_secs AS has FROM E)
+SELECT source_file, line_no, 'LOT' || u AS matched_text FROM M WHERE coalesce(has, false) AND u BETWEEN 11 AND 99 AND u % 11 = 0"""
+        ),
+        "keyword_annotated": "SELECT source_file, line_no, 'NATION_7' AS matched_text FROM ("
+        + _events(_annotated(_CEID_TEXT, "''", "coalesce(rtrim(' // (' || a.vid || ') ' || a.name), '')", "coalesce(rtrim(' // (' || b.vid || ') ' || b.name), '')"), DIMS)
+        + ") WHERE contains(lower(display_message), 'nation_7')",
         "keyword_bad_regex": _events("SELECT source_file, line_no, '[ALARM' AS matched_text FROM E WHERE is_alarm"),
         "keyword_sxfy": _events("SELECT source_file, line_no, 'S6F11' AS matched_text, 's6f11' AS keyword FROM E WHERE is_secs"),
         "keyword_and_or_exclude": _docs(
@@ -418,7 +428,7 @@ WHERE (({_has('tion')} AND {_has('and')}) OR {_has('sch')} OR {_has('leaux')}) A
         "keyword_any_of": _docs(f"SELECT seq_index, {_matched(['schen', 'ellex'])} AS keyword FROM D WHERE {_has('schen')} OR {_has('ellex')}"),
         "keyword_exclude_only": _docs(f"SELECT seq_index, '' AS matched_text, '' AS keyword FROM D WHERE NOT {_has('and')}"),
         "keyword_matrix": _docs(
-            """, W AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS keyword FROM benchmark), LD AS (SELECT lower(message) AS m FROM D)
+            """, W AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+')) AS keyword FROM benchmark), LD AS (SELECT lower(message) AS m FROM D)
 SELECT keyword, count(*) AS documents FROM W JOIN LD ON contains(m, keyword) GROUP BY keyword"""
         ),
         "keyword_matrix_list": _events(
@@ -462,8 +472,8 @@ SELECT gram, count(*) AS blocks FROM GR GROUP BY gram"""
         "used_rptids": _events("SELECT DISTINCT rptid FROM E WHERE is_secs"),
         "event_name_dimension": _events("SELECT ceid, name FROM EN WHERE ceid IN (SELECT ceid FROM E WHERE is_secs)", DIMS),
         "report_variable_dimension": _events("SELECT rptid, position, index_no, vid, name FROM RV WHERE rptid IN (SELECT rptid FROM E WHERE is_secs)", DIMS),
-        "event_lookup": f"WITH {DIMS} SELECT ceid, name FROM EN WHERE contains(lower(name), 'ring') ORDER BY ceid LIMIT 200",
-        "event_lookup_wildcard": f"WITH {DIMS} SELECT ceid, name FROM EN WHERE CAST(ceid AS VARCHAR) LIKE '%1_5%' OR name ILIKE '%1_5%' ORDER BY ceid LIMIT 500",
+        "event_lookup": f"WITH {DIMS} SELECT ceid, name FROM EN WHERE contains(lower(name), 'ring') ORDER BY ceid",
+        "event_lookup_wildcard": f"WITH {DIMS} SELECT ceid, name FROM EN WHERE CAST(ceid AS VARCHAR) LIKE '%1_5%' OR name ILIKE '%1_5%' ORDER BY ceid",
         "attach_names": _events("SELECT source_file, line_no, E.ceid, EN.name AS event_name FROM E LEFT JOIN EN ON EN.ceid = E.ceid WHERE is_secs", DIMS),
         "annotated_messages": _events(
             _annotated(_CEID_TEXT, "''", "coalesce(rtrim(' // (' || a.vid || ') ' || a.name), '')", "coalesce(rtrim(' // (' || b.vid || ') ' || b.name), '')"), DIMS

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import display_time, normalize_sxfy, report_gap_text
 from ..operators import (
-    alarms as al, compare, detect, enrich, entries as en, filters, ngram, objects, ordered, related, roundtrip, rowwin, search, stats,
+    alarms as al, compare, detect, enrich, entries as en, filters, objects, ordered, related, roundtrip, rowwin, search, stats,
 )
 from ..schema import order_columns
 from ..sources import dims, sinks, synth
@@ -243,12 +243,17 @@ def position_lookup(spark, d):
 
 def gaps(spark, d):
     """Gap to the previous row among SECS rows."""
-    rows = filters.with_gap(event_entries(spark, d).filter("log_type = 'SECS'"))
+    rows = filters.gap_table(event_timeline(spark, d).filter("log_type = 'SECS'"))
     return rows.select(*KEY, "position", "gap_ms", "gap")
 
 
+def gaps_unindexed(spark, d):
+    """The same for all entries, before they have an index."""
+    return filters.gap_table(event_entries(spark, d)).select(*KEY, "position", "gap_ms", "gap")
+
+
 def report_gaps(spark, d):
-    rows = filters.with_gap(event_entries(spark, d))
+    rows = filters.gap_table(event_timeline(spark, d))
     return rows.select(*KEY, report_gap_text(F.col("gap_ms")).alias("gap"))
 
 
@@ -281,7 +286,7 @@ def digests(spark, d):
 
 
 def timeline_digest(spark, d):
-    return compare.timeline_digest(event_entries(spark, d))
+    return compare.timeline_digest(event_timeline(spark, d))
 
 
 # ---------------------------------------------------------------- filters
@@ -398,6 +403,18 @@ def keyword_regex(spark, d):
     return search.search(event_entries(spark, d), [r"LOT1[0-4]+\b"], use_regex=True).select(*KEY, "matched_text")
 
 
+def keyword_named_group(spark, d):
+    """A named group, whose name Java would refuse, and its back-reference: carriers of two equal digits."""
+    pattern = r"LOT(?P<first_digit>\d)(?P=first_digit)\b"
+    return search.search(event_entries(spark, d), [pattern], use_regex=True).select(*KEY, "matched_text")
+
+
+def keyword_annotated(spark, d):
+    """A word that only the names beside the values hold."""
+    rows = enrich.annotate(event_entries(spark, d), names(spark, d), variables(spark, d))
+    return search.search(rows, ["nation_7"]).select(*KEY, "matched_text")
+
+
 def keyword_bad_regex(spark, d):
     """An invalid pattern is searched as text."""
     return search.search(event_entries(spark, d), ["[ALARM"], use_regex=True).select(*KEY, "matched_text")
@@ -422,12 +439,12 @@ def keyword_exclude_only(spark, d):
 
 
 def _benchmark_words(spark, d) -> DataFrame:
-    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{5,})"), F.lit(1)))
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
     return spark.read.parquet(f"{d}/benchmark.parquet").select(words.alias("keyword")).distinct()
 
 
 def keyword_matrix(spark, d):
-    """Every word of five or more letters of the benchmark texts against every document."""
+    """Every word of the benchmark texts against every document."""
     rows = doc_entries(spark, d)
     hits = search.match_keyword_table(rows, _benchmark_words(spark, d))
     return hits.groupBy("keyword").agg(F.count("*").alias("documents"))
@@ -478,31 +495,27 @@ def highlight(spark, d):
 
 
 def gram_postings(spark, d):
-    """How many blocks of the event log each gram of three characters occurs in."""
-    postings = ngram.build_postings(event_entries(spark, d), (3,))
-    return postings.groupBy("gram").agg(F.count("*").alias("blocks"))
-
-
-def _indexed(spark, d, word, case_sensitive=False, sizes=(1, 2, 3)):
-    rows = doc_entries(spark, d)
-    postings = _once("postings" + "".join(map(str, sizes)), spark, d, lambda: ngram.build_postings(rows, sizes))
-    return ngram.indexed_search(rows, postings, word, case_sensitive, sizes).select("seq_index")
+    """In how many blocks of 256 lines of the event log each run of three characters occurs."""
+    text = F.lower(normalize_sxfy(F.col("message")))
+    found = event_entries(spark, d).select(
+        "source_path", F.floor(F.col("line_no") / 256).alias("block"), F.explode(F.array_distinct(search.text_grams(text, 3))).alias("gram"))
+    return found.distinct().groupBy("gram").agg(F.count("*").alias("blocks"))
 
 
 def indexed_search(spark, d):
-    return _indexed(spark, d, "theswh")
+    return search.search(doc_entries(spark, d), ["theswh"]).select("seq_index")
 
 
 def indexed_search_trigram(spark, d):
-    return _indexed(spark, d, "Thent", True, (3,))
+    return search.search(doc_entries(spark, d), ["Thent"], case_sensitive=True).select("seq_index")
 
 
 def indexed_search_short(spark, d):
-    return _indexed(spark, d, "xr")
+    return search.search(doc_entries(spark, d), ["xr"]).select("seq_index")
 
 
 def indexed_search_accented(spark, d):
-    return _indexed(spark, d, "éaux")
+    return search.search(doc_entries(spark, d), ["éaux"]).select("seq_index")
 
 
 # ---------------------------------------------------------------- enrichment
@@ -527,11 +540,11 @@ def report_variable_dimension(spark, d):
 
 
 def event_lookup(spark, d):
-    return dims.search_events(synth.event_table(spark, d), "RING", 200)
+    return dims.search_events(synth.event_table(spark, d), "RING")
 
 
 def event_lookup_wildcard(spark, d):
-    return dims.search_events(synth.event_table(spark, d), "1_5", 500)
+    return dims.search_events(synth.event_table(spark, d), "1_5")
 
 
 def attach_names(spark, d):
@@ -623,12 +636,6 @@ def related_search(spark, d):
     return hits.groupBy("keyword").agg(F.count("*").alias("entries"))
 
 
-def xml_fragments(spark, d):
-    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html")
-    found = related.xml_fragments(pages, "html", ("page_id",))
-    return found.select("page_id", F.col("rank").cast("long").alias("rank"), "tag", F.length("fragment").cast("long").alias("chars"), F.md5("fragment").alias("fragment"))
-
-
 # ---------------------------------------------------------------- statistics and report
 
 
@@ -726,29 +733,25 @@ def line_diff(spark, d):
     return out.select("pair_id", "mark", "line", F.col("occurrence").cast("long").alias("occurrence"), "left_no", "right_no")
 
 
-def aligned_diff(spark, d):
-    return compare.aligned_diff(_pairs(spark, d))
-
-
 QUERIES = [
     file_scan, incremental_ingest, stream_ingest,
     text_lines, file_line_counts, line_numbers, file_inventory, mmi_entries, secs_entries, conversation_entries,
     document_entries, dialects, dialects_strict, dialect_fallback, setup_dump_skip, setup_dump_flag, load_counters,
-    ceid_exclusion, ceid_in_ranges, sxfy_catalogue, level_names, secs_items, timeline_index, position_lookup, gaps,
+    ceid_exclusion, ceid_in_ranges, sxfy_catalogue, level_names, secs_items, timeline_index, position_lookup, gaps, gaps_unindexed,
     report_gaps, context_rows, page, centred_window, first_rows, order_check, digests, timeline_digest, type_filter,
     sxfy_filter, time_range, time_inputs, time_windows, time_window_one, after_anchor, before_anchor, bookmark_only,
     bookmark_exception, bookmark_decoration, bookmark_timeline, display_rows, log_text, composed_filter,
     composed_without_keywords, sxfy_normalised, keyword_literal, keyword_case_sensitive, keyword_accented,
-    keyword_regex, keyword_bad_regex, keyword_sxfy, keyword_and_or_exclude, keyword_any_of, keyword_exclude_only,
+    keyword_regex, keyword_named_group, keyword_annotated, keyword_bad_regex, keyword_sxfy, keyword_and_or_exclude, keyword_any_of, keyword_exclude_only,
     keyword_matrix, keyword_matrix_list, keyword_hits, reference_name_search, reference_variable_search,
     find_in_results, find_next, highlight, gram_postings, indexed_search, indexed_search_trigram,
     indexed_search_short, indexed_search_accented, used_ceids, used_rptids, event_name_dimension,
     report_variable_dimension, event_lookup, event_lookup_wildcard, attach_names, annotated_messages,
     annotated_extended, annotated_without_variables, alarms, alarm_summary, object_events, object_event_filter,
     events_per_type, carrier_roundtrip, carrier_roundtrips, related_candidates, flow_terms, related_search,
-    xml_fragments, statistics, statistics_bookmarked, top_sxfy, top_ceids, top_event_names, top_ceid_hints, log_span,
+    statistics, statistics_bookmarked, top_sxfy, top_ceids, top_event_names, top_ceid_hints, log_span,
     first_alarm, problem_entry, problem_context, pre_problem_signals, largest_gap, report_scope,
-    investigation_report, line_diff, aligned_diff,
+    investigation_report, line_diff,
 ]
 
 

@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.text import display_time, report_gap_text, short_message, to_millis
 from ..operators.alarms import summarize_alarms
 from ..operators.search import keyword_counts
-from ..schema import MMI, SECS, first_seen, order_key
+from ..staging import stage
+from ..operators.ordered import looked_up
+from ..schema import MMI, SECS, first_seen, order_key, shown
 
-MAX_ALARMS = 20
-MAX_EVENTS = 200
-MAX_MATCHES = 100
+# Defaults of the report's own limits; each is a parameter of the functions below.
 CONTEXT_ROWS = 5
 MAX_SIGNALS = 8
 
@@ -27,22 +27,18 @@ SIGNALS = (
 )
 
 
-def shown(entries: DataFrame) -> Column:
-    return F.col("display_message") if "display_message" in entries.columns else F.col("message")
-
-
 def named(entries: DataFrame, event_names: DataFrame | None) -> DataFrame:
     """Fill missing event names from the dimension."""
     if event_names is None:
         return entries
     names = event_names.select("ceid", F.col("name").alias("_name"))
     own = F.nullif("event_name", F.lit(""))
-    return entries.join(names, "ceid", "left").withColumn("event_name", F.coalesce(own, "_name")).drop("_name")
+    return looked_up(entries, names, "ceid").withColumn("event_name", F.coalesce(own, "_name")).drop("_name")
 
 
 def scoped(rows: DataFrame, entries: DataFrame) -> DataFrame:
     """Only the rows that belong to a reported entry, by (timestamp, file, line)."""
-    return rows.join(entries.select("timestamp", "source_file", "line_no").distinct(), ["timestamp", "source_file", "line_no"], "left_semi")
+    return rows.join(entries.select("timestamp", "source_file", "line_no"), ["timestamp", "source_file", "line_no"], "left_semi")
 
 
 def problem_predicate(entries: DataFrame) -> Column:
@@ -83,10 +79,10 @@ def _labels(title: str, values: Column) -> Column:
     )
 
 
-def signals(context: DataFrame, event_names: DataFrame | None = None) -> DataFrame:
+def signals(context: DataFrame, event_names: DataFrame | None = None, most: int = MAX_SIGNALS) -> DataFrame:
     """One row `signals`: labelled values of the rows before the problem, in order of appearance; NULL without any.
 
-    The list is closed by the first pattern match at which it has eight entries.
+    The list is closed by the first pattern match at which it has `most` entries.
     """
     rows = named(context.filter("step < 0"), event_names)
     name = F.nullif("event_name", F.lit(""))
@@ -106,7 +102,7 @@ def signals(context: DataFrame, event_names: DataFrame | None = None) -> DataFra
     def add(acc: Column, item: Column) -> Column:
         fresh = F.array_distinct(F.concat(acc["labels"], F.array(item["label"])))
         labels = F.when(acc["done"], acc["labels"]).otherwise(fresh)
-        done = acc["done"] | (item["closes"] & (F.size(labels) >= MAX_SIGNALS))
+        done = acc["done"] | (item["closes"] & (F.size(labels) >= most))
         return F.struct(labels.alias("labels"), done.alias("done"))
 
     start = F.struct(F.array().cast("array<string>").alias("labels"), F.lit(False).alias("done"))
@@ -154,8 +150,18 @@ def _spot() -> Column:
     return F.concat(F.lit("["), F.col("log_type"), F.lit("] "), F.col("source_file"), F.lit(":"), F.col("line_no").cast("string"))
 
 
-def hints(entries: DataFrame, alarms: DataFrame, matches: DataFrame, event_names: DataFrame | None = None) -> DataFrame:
+def around_problem(entries: DataFrame, alarms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The problem entry and the rows around it, a dozen rows, written once for all that reads them."""
+    problem = stage(problem_entry(entries, alarms), "problem")
+    return problem, stage(problem_context(entries, problem), "context")
+
+
+def hints(
+    entries: DataFrame, alarms: DataFrame, matches: DataFrame, event_names: DataFrame | None = None,
+    around: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
     """(ord, text): the investigation hints that apply."""
+    around = around or around_problem(entries, alarms)
     span = log_span(entries).filter("first IS NOT NULL").select(
         F.lit(1).alias("ord"),
         F.concat(
@@ -168,8 +174,7 @@ def hints(entries: DataFrame, alarms: DataFrame, matches: DataFrame, event_names
         F.lit(2).alias("ord"),
         F.concat(F.lit("First alarm: "), display_time(F.col("timestamp")), code, F.lit(" | "), short_message(F.col("message"))).alias("text"),
     )
-    problem = problem_entry(entries, alarms)
-    context = problem_context(entries, problem)
+    problem, context = around
     first = problem.select(
         F.lit(3).alias("ord"),
         F.concat(
@@ -222,10 +227,19 @@ def report(
     markdown: bool = True,
     event_names: DataFrame | None = None,
     generated: datetime | None = None,
+    max_alarms: int = 20,
+    max_events: int = 200,
+    max_matches: int = 100,
+    message_chars: int = 160,
+    match_chars: int = 120,
 ) -> DataFrame:
-    """(section, ord, text): the report's lines. Everything is restricted to the reported entries."""
+    """(section, ord, text): the report's lines. Everything is restricted to the reported entries.
+
+    A report shows the most frequent alarms, the first events and the first matches, as many as its limits say, and counts the rest.
+    """
     spark = entries.sparkSession
-    alarms, events, matches = (scoped(df, entries) for df in (alarms, events, matches))
+    # Read by every section: the scoped rows are written once.
+    alarms, events, matches = (stage(scoped(df, entries), "report") for df in (alarms, events, matches))
     bullet = "- " if markdown else "  * "
 
     def fixed(section: int, start: float, lines: list[str]) -> DataFrame:
@@ -269,12 +283,12 @@ def report(
     ]
     if files:
         parts.append(fixed(2, 0, heading("Uploaded Files") + [f"{bullet}{name} ({kind})" for name, kind in files] + [""]))
+    around = around_problem(entries, alarms)
     parts.append(fixed(3, 0, heading("Investigation Hints")))
-    parts.append(bullets(3, hints(entries, alarms, matches, event_names), F.col("ord") + 10, F.col("text")))
+    parts.append(bullets(3, hints(entries, alarms, matches, event_names, around), F.col("ord") + 10, F.col("text")))
     parts.append(fixed(3, 100, [""]))
 
-    problem = problem_entry(entries, alarms)
-    context = problem_context(entries, problem)
+    problem, context = around
     has_problem = problem.agg(F.count("*").alias("n")).filter("n > 0")
     for i, line in enumerate(heading("Problem Context")):
         parts.append(has_problem.select(F.lit(4).alias("section"), F.lit(float(i) - 100).alias("ord"), F.lit(line).alias("text")))
@@ -282,7 +296,7 @@ def report(
     line = F.concat(
         F.col("marker"), F.lit(": "), display_time(F.col("timestamp")), F.lit(" "),
         F.when(gap != "", F.concat(gap, F.lit(" | "))).otherwise(""), _spot(), F.lit(" | "),
-        F.coalesce("level_name", F.lit("")), F.lit(" | "), short_message(shown(entries), 160),
+        F.coalesce("level_name", F.lit("")), F.lit(" | "), short_message(shown(entries), message_chars),
     )
     parts.append(bullets(4, context, F.col("step"), line))
     parts.append(has_problem.select(F.lit(4).alias("section"), F.lit(100.0).alias("ord"), F.lit("").alias("text")))
@@ -294,7 +308,7 @@ def report(
             (0, "n > 0", F.concat(F.lit("Total alarm events: "), F.col("n"))),
         ])
     )
-    ranked = summarize_alarms(alarms, 60, MAX_ALARMS).withColumn("_rank", F.monotonically_increasing_id())
+    ranked = summarize_alarms(alarms, 60, max_alarms).withColumn("_rank", F.monotonically_increasing_id())
     parts.append(bullets(5, ranked, F.col("_rank") + 1, F.concat(F.lit("["), F.col("occurrences"), F.lit("x] "), F.col("alarm"))))
     parts.append(fixed(5, 1e18, [""]))
 
@@ -303,10 +317,10 @@ def report(
         counted(6, events, [
             (0, "n = 0", F.lit("No object events detected in the reported entries.")),
             (0, "n > 0", F.concat(F.lit("Total object events: "), F.col("n"))),
-            (1e17, f"n > {MAX_EVENTS}", F.concat(F.lit("... and "), F.col("n") - MAX_EVENTS, F.lit(" more events"))),
+            (1e17, f"n > {max_events}", F.concat(F.lit("... and "), F.col("n") - max_events, F.lit(" more events"))),
         ])
     )
-    top_events = events.orderBy(order_key()).limit(MAX_EVENTS).withColumn("_rank", F.monotonically_increasing_id())
+    top_events = events.orderBy(order_key()).limit(max_events).withColumn("_rank", F.monotonically_increasing_id())
     parts.append(
         bullets(6, top_events, F.col("_rank") + 1,
                 F.concat(display_time(F.col("timestamp")), F.lit(" | "), F.col("event_type"), F.lit(" | "), F.col("details")))
@@ -321,11 +335,11 @@ def report(
             counted(7, matches, [
                 (0, "n = 0", F.lit(f"No matches for: {keyword}")),
                 (0, "n > 0", F.concat(F.lit("Matches: "), F.col("n"))),
-                (1e17, f"n > {MAX_MATCHES}", F.concat(F.lit("... and "), F.col("n") - MAX_MATCHES, F.lit(" more matches"))),
+                (1e17, f"n > {max_matches}", F.concat(F.lit("... and "), F.col("n") - max_matches, F.lit(" more matches"))),
             ])
         )
-        top = matches.orderBy(order_key()).limit(MAX_MATCHES).withColumn("_rank", F.monotonically_increasing_id())
-        text = F.concat(display_time(F.col("timestamp")), F.lit(" "), _spot(), F.lit(" - "), F.substring(shown(matches), 1, 120))
+        top = matches.orderBy(order_key()).limit(max_matches).withColumn("_rank", F.monotonically_increasing_id())
+        text = F.concat(display_time(F.col("timestamp")), F.lit(" "), _spot(), F.lit(" - "), F.substring(shown(matches), 1, match_chars))
         parts.append(bullets(7, top, F.col("_rank") + 1, text))
     out = parts[0]
     for part in parts[1:]:

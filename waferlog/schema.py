@@ -59,6 +59,11 @@ def entry_frame(spark, rows) -> "DataFrame":  # noqa: F821
     return spark.createDataFrame(data, ENTRIES)
 
 
+def shown(entries) -> Column:
+    """The text that users see and search: the annotated message where there is one."""
+    return F.col("display_message") if "display_message" in entries.columns else F.col("message")
+
+
 def type_order() -> Column:
     """MMI sorts before every other dialect on an equal timestamp."""
     return F.when(F.col("log_type") == MMI, 0).otherwise(1)

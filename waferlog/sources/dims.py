@@ -40,18 +40,15 @@ def report_variables(reports: DataFrame, variables: DataFrame, used: DataFrame |
     )
 
 
-def search_events(events: DataFrame, term: str, limit: int = 100) -> DataFrame:
-    """Ids or names that contain the term (`%` and `_` act as wildcards), by id, at most 500; a blank term finds none."""
+def search_events(events: DataFrame, term: str, limit: int | None = None) -> DataFrame:
+    """Ids or names that contain the term (`%` and `_` act as wildcards), by id, all of them or the first `limit`; a blank term finds none."""
     term = term.strip()
     found = event_names(events)
     if not term:
         return found.limit(0)
     like = "%" + term.replace("\\", "\\\\") + "%"
-    return (
-        found.filter(F.col("ceid").cast("string").like(like) | F.col("name").ilike(like))
-        .orderBy("ceid")
-        .limit(max(1, min(500, int(limit))))
-    )
+    found = found.filter(F.col("ceid").cast("string").like(like) | F.col("name").ilike(like)).orderBy("ceid")
+    return found if limit is None else found.limit(max(1, int(limit)))
 
 
 def read_reference(spark: SparkSession, url: str, table: str, **options) -> DataFrame:

@@ -7,9 +7,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.ordered import BLOCK_ROWS, running_offset
 from ..staging import stage
 
-# About 100 MB of split rows; a larger table is joined by shuffle.
-MAX_BROADCAST_SPLITS = 1_000_000
-
 SUPPORTED = r"(?i)\.(log|txt|tslog)$"
 
 
@@ -44,10 +41,8 @@ def number_scan(scan: DataFrame) -> DataFrame:
     """(source_path, block_no, value, _id) to numbered raw lines."""
     totals = scan.groupBy("source_path", "block_no").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
     starts = running_offset(totals, ["source_path"], "block_no", "_n", "_start").drop("_n")
-    # One row per split: written once, counted, and broadcast only while it is small.
+    # One row per split, written once: its size is then known, and Spark broadcasts it only while that is small.
     starts = stage(starts, "splits")
-    if starts.count() <= MAX_BROADCAST_SPLITS:
-        starts = F.broadcast(starts)
     return scan.join(starts, ["source_path", "block_no"]).select(
         "source_path",
         F.element_at(F.split("source_path", "/"), -1).alias("source_file"),

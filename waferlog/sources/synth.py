@@ -242,9 +242,9 @@ def report_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def variable_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`nation` as Variables(VId, Name), without the last five."""
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").filter("n_nationkey < 20")
-    return nation.select((F.col("n_nationkey") + 2000).alias("VId"), F.col("n_name").alias("Name"))
+    """`nation` as Variables(VId, Name); the last five have no name."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    return nation.select((F.col("n_nationkey") + 2000).alias("VId"), F.when(F.col("n_nationkey") < 20, F.col("n_name")).alias("Name"))
 
 
 def bookmark_table(spark: SparkSession, sf_dir: str, document_entries: DataFrame) -> DataFrame:
