@@ -26,7 +26,7 @@ def test_only_changed_files_are_parsed(spark, tmp_path):
     assert first == {"hits": 0, "misses": 2} and contents(entries) == [("2026_09_01.log", 3, "a"), ("2026_09_02.log", 2, "b")]
     assert load_incremental(spark, str(logs), store)[1] == {"hits": 2, "misses": 0}
 
-    before = spark.createDataFrame(spark.read.parquet(f"{store}/manifest").collect())
+    before = spark.createDataFrame(mf.stored_manifest(spark, store).collect())
     time.sleep(0.02)
     write(logs / "2026_09_02.log", 5, "c")
     with pytest.raises(RuntimeError):
@@ -38,7 +38,7 @@ def test_only_changed_files_are_parsed(spark, tmp_path):
     (logs / "2026_09_01.log").unlink()
     entries, last = load_incremental(spark, str(logs), store, skip_setup_dump=False)
     assert last == {"hits": 1, "misses": 0} and contents(entries) == [("2026_09_02.log", 5, "c")]
-    assert len(mf.drop_superseded(spark, store)) == 1 and contents(mf.stored_entries(spark, store)) == [("2026_09_02.log", 5, "c")]
+    assert mf.drop_superseded(spark, store) == [1, 2] and contents(mf.stored_entries(spark, store)) == [("2026_09_02.log", 5, "c")]
 
 
 def test_emptied_file_loses_its_entries(spark, tmp_path):
@@ -64,5 +64,40 @@ def test_stream_picks_up_new_files_once(spark, tmp_path):
         query = follow_folder(spark, str(logs), store, checkpoint)
         query.awaitTermination(120)
         query.stop()
-    entries = spark.read.parquet(f"{store}/entries")
+    entries = mf.stored_entries(spark, store)
     assert contents(entries) == [("2026_09_01.log", 3, "01"), ("2026_09_02.log", 4, "02")]
+
+    write(logs / "2026_09_01.log", 6, "changed")
+    write(logs / "2026_09_03.log", 1, "new")
+    query = follow_folder(spark, str(logs), store, checkpoint)
+    query.awaitTermination(120)
+    assert contents(mf.stored_entries(spark, store)) == [("2026_09_01.log", 6, "changed"), ("2026_09_02.log", 4, "02"), ("2026_09_03.log", 1, "new")]
+
+
+def test_file_names_are_no_patterns(spark, tmp_path):
+    logs, store = tmp_path / "logs", str(tmp_path / "store")
+    logs.mkdir()
+    names = ["tool[1] 2026_09_01.log", "tool1 2026_09_01.log", "a{b,c}* 2026_09_02.log", "50% 2026_09_03.log"]
+    for i, name in enumerate(names):
+        write(logs / name, i + 1, f"w{i}")
+    assert contents(load_incremental(spark, str(logs), store)[0]) == sorted((n, i + 1, f"w{i}") for i, n in enumerate(names))
+
+
+def test_a_failed_run_leaves_the_store_as_it_was(spark, tmp_path):
+    logs, store = tmp_path / "logs", str(tmp_path / "store")
+    logs.mkdir()
+    write(logs / "2026_09_01.log", 3, "a")
+    entries, _ = load_incremental(spark, str(logs), store)
+    time.sleep(0.02)
+    write(logs / "2026_09_01.log", 4, "b")
+
+    def touched_meanwhile(paths):
+        time.sleep(0.02)
+        write(logs / "2026_09_01.log", 5, "c")
+        return entries.limit(0)
+
+    with pytest.raises(RuntimeError, match="changed since"):
+        mf.ingest(spark, str(logs), store, touched_meanwhile)
+    assert contents(mf.stored_entries(spark, store)) == contents(entries) == [("2026_09_01.log", 3, "a")]
+    assert load_incremental(spark, str(logs), store)[1] == {"hits": 0, "misses": 1}
+    assert contents(mf.stored_entries(spark, store)) == [("2026_09_01.log", 5, "c")]

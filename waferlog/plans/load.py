@@ -23,7 +23,7 @@ def load_incremental(spark: SparkSession, paths, store: str, **options) -> tuple
     """(entries, {hits, misses}): only new or changed files are parsed, the others come from the store."""
 
     def parse(changed):
-        return parse_entries(read_log_files(spark, changed), **options)
+        return parse_entries(read_log_files(spark, changed, literal=True), **options)
 
     keyed = {k: v for k, v in options.items() if k in ("skip_setup_dump", "excluded_ceids")}
     stats = ingest(spark, paths, store, parse, **keyed)

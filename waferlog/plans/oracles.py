@@ -126,6 +126,31 @@ PR AS (SELECT a.conv_id * 1000 + a.turn AS pair_id, a.text AS l, b.text AS r
 """
 
 
+# --- the log of the rarer forms -------------------------------------------------------------------------------------
+
+MIXED = r"""
+X0 AS (
+  SELECT event_id, date_trunc('milliseconds', ts) AS t, user_id AS u, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k, event_type = 'purchase' AS is_secs FROM events),
+X1 AS (
+  SELECT *, 'mixed ' || CASE WHEN is_secs THEN strftime(t, '%Y-%m-%d %H') ELSE strftime(t, '%Y_%m_%d') END || '.log' AS source_file,
+         CASE WHEN is_secs AND k % 4 = 2 THEN 3 ELSE 1 END AS n FROM X0),
+X2 AS (
+  SELECT *, CAST(1 + coalesce(sum(n) OVER (PARTITION BY source_file ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line_no,
+         strftime(t, '%Y-%m-%d %H:%M:%S:%g') AS time, CASE WHEN is_secs THEN 'SECS' ELSE 'MMI' END AS log_type,
+         CASE WHEN NOT is_secs THEN NULL WHEN k % 4 = 1 THEN k + 5 WHEN k % 4 < 3 THEN k + 1000 END AS ceid,
+         CASE WHEN is_secs THEN CASE k % 4 WHEN 0 THEN 'S1F3' WHEN 1 THEN 'S2F41' WHEN 2 THEN 'S6F11' ELSE 'S6F12' END END AS sxfy_type,
+         CASE WHEN is_secs THEN CASE k % 4 WHEN 0 THEN 'SEND S1F3W CEID = ' || (k + 1000) WHEN 1 THEN 'RECV S2F41 ceid=' || (k + 5)
+                WHEN 2 THEN 'SEND S6F11W' || chr(10) || '  <U4 [1] 1>' || chr(10) || '  <U4 [1] ' || (k + 1000) || '>' ELSE 'RECV S6F12' END
+              ELSE CASE k % 3 WHEN 0 THEN '[CMS] job J' || k || ' for unit ' || u WHEN 1 THEN 'DeletejobList count=' || k ELSE 'plain ' || k END END AS message
+  FROM X1),
+X AS (SELECT *, row_number() OVER (ORDER BY t, is_secs, source_file, line_no) AS place FROM X2)
+"""
+
+
+def _mixed(body: str) -> str:
+    return f"WITH {MIXED}{body}"
+
+
 def _gap_text(ms: str) -> str:
     one = f"printf('%.1f', {ms} / 1000.0)"
     return f"""CASE WHEN {ms} IS NULL THEN '' ELSE (CASE WHEN {ms} < 0 THEN '-' ELSE '+' END) ||
@@ -258,15 +283,30 @@ N AS (SELECT *, CASE WHEN step = 0 THEN 'CENTER' WHEN step < 0 THEN 'before' ELS
 def sql() -> dict[str, str]:
     return {
         "file_scan": _events(
-            "SELECT row_number() OVER (ORDER BY t, source_file, line_no) - 1 AS timeline_index, event_id AS seq_index, time, message FROM E WHERE NOT is_secs"
+            """, L AS (SELECT *, event_id // 4096 AS b, line_no - min(line_no) OVER (PARTITION BY source_file, event_id // 4096) AS own FROM E)
+SELECT row_number() OVER (ORDER BY t, is_secs, source_file, own, b) - 1 AS timeline_index, log_type, source_file, CASE WHEN is_secs THEN NULL ELSE event_id END AS seq_index,
+ time, message FROM L"""
         ),
         "incremental_ingest": _events(
-            """, M AS (SELECT count(DISTINCT source_file || '/' || (event_id // 4096)) AS files, count(*) AS entries, CAST(sum(event_id) AS BIGINT) AS seq_sum
- FROM E WHERE NOT is_secs)
-SELECT CAST(1 AS BIGINT) AS run, CAST(0 AS BIGINT) AS hits, files AS misses, entries, seq_sum FROM M
-UNION ALL SELECT 2, files, 0, entries, seq_sum FROM M"""
-        ),
-        "stream_ingest": _events("SELECT event_id AS seq_index, time, message FROM E WHERE NOT is_secs"),
+            """, Z AS (SELECT min(source_file) AS f FROM E WHERE NOT is_secs AND event_id < 4096),
+M AS (SELECT count(DISTINCT source_file || '/' || (event_id // 4096)) AS files, count(*) AS entries, CAST(sum(event_id) FILTER (NOT is_secs) AS BIGINT) AS s,
+  CAST(sum(ceid) AS BIGINT) AS c, count(*) FILTER (source_file = f AND event_id < 4096) AS gone, CAST(coalesce(sum(event_id) FILTER (source_file = f AND event_id < 4096), 0) AS BIGINT) AS gs
+  FROM E, Z)
+SELECT CAST(1 AS BIGINT) AS run, CAST(0 AS BIGINT) AS hits, files AS misses, entries, s AS seq_sum, c AS ceid_sum FROM M
+UNION ALL SELECT 2, files, 0, entries, s, c FROM M UNION ALL SELECT 3, 0, files, entries, s, c FROM M
+UNION ALL SELECT 4, files - 1, 1, entries - gone + 1, s - gs + 7, c FROM M UNION ALL SELECT 5, files - 1, 0, entries - gone, s - gs, c FROM M"""
+        ),
+        "stream_ingest": _events("SELECT time, log_type, source_file, message FROM E"),
+        "mixed_entries": _mixed("SELECT source_file, line_no, time, log_type, message, ceid, sxfy_type, NOT is_secs AND k % 3 < 2 AS is_object_event FROM X"),
+        "header_exclusion": _mixed(
+            "SELECT source_file, line_no, ceid, sxfy_type FROM X WHERE is_secs AND NOT coalesce(ceid BETWEEN 10 AND 40 OR ceid BETWEEN 1000 AND 1050, false)"),
+        "object_events_mixed": _mixed(
+            """SELECT source_file, line_no, time, CASE k % 3 WHEN 0 THEN '[CMS]' ELSE 'DeletejobList' END AS event_type, CASE k % 3 WHEN 0 THEN '[CMS]' ELSE 'DeletejobList' END AS object_name,
+ CASE k % 3 WHEN 0 THEN substring(message, 7) ELSE message END AS details FROM X WHERE NOT is_secs AND k % 3 < 2"""),
+        "sxfy_catalogue_mixed": _mixed("SELECT DISTINCT sxfy_type FROM X WHERE is_secs"),
+        "sxfy_filter_mixed": _mixed("SELECT source_file, line_no, log_type, sxfy_type FROM X WHERE NOT is_secs OR sxfy_type IN ('S1F3', 'S6F12')"),
+        "top_sxfy_mixed": _mixed(
+            "SELECT sxfy_type AS value, count(*) AS entries FROM X WHERE is_secs GROUP BY sxfy_type ORDER BY count(*) DESC, min(place) LIMIT 10"),
         "text_lines": r"""
 WITH T AS (SELECT doc_id, string_split(text, chr(10)) AS parts, text FROM documents WHERE text <> ''),
 V AS (SELECT doc_id, CASE WHEN ends_with(text, chr(10)) THEN parts[1:len(parts) - 1] ELSE parts END AS parts FROM T)

@@ -12,9 +12,10 @@ from ..operators import (
 )
 from ..schema import order_columns
 from ..sources import dims, sinks, synth
+from ..sources.manifest import drop_superseded, stored_entries
 from ..sources.raw import line_counts, lines_from_texts
 from ..spec import FilterSpec, parse_ceid_ranges
-from ..staging import new_path, stage
+from ..staging import generation, new_path, stage
 from ..streaming.ingest import follow_folder
 from . import report as rp
 from .load import load_files, load_incremental
@@ -25,7 +26,7 @@ _folders: dict[tuple, str] = {}
 
 def _once(name: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
     """A parse result is stored once per session and read by the queries, as a user stores it after loading."""
-    key = (spark.sparkContext.applicationId, name, sf_dir)
+    key = (spark.sparkContext.applicationId, generation(), name, sf_dir)
     if key not in _parsed:
         _parsed[key] = stage(build(), name)
     return _parsed[key]
@@ -41,7 +42,7 @@ def event_entries(spark, d) -> DataFrame:
 
 
 def event_timeline(spark, d) -> DataFrame:
-    key = (spark.sparkContext.applicationId, "timeline", d)
+    key = (spark.sparkContext.applicationId, generation(), "timeline", d)
     if key not in _parsed:
         _parsed[key] = en.timeline(event_entries(spark, d))
     return _parsed[key]
@@ -192,40 +193,89 @@ def secs_items(spark, d):
     )
 
 
+def _write_logs(spark, d) -> str:
+    folder = new_path(spark, "logs")
+    synth.write_named_files(event_raw(spark, d), folder)
+    return folder
+
+
 def _log_folder(spark, d) -> str:
-    """The MMI lines of the event log as text files; their names (`part-*.txt`) tell nothing about the dialect."""
-    key = (spark.sparkContext.applicationId, "folder", d)
+    """The event log as text files, both dialects; their names tell the dialect and, for SECS, the day."""
+    key = (spark.sparkContext.applicationId, generation(), "folder", d)
     if key not in _folders:
-        folder = new_path(spark, "logs")
-        synth.write_log_files(event_raw(spark, d).filter("dialect = 'MMI'"), folder)
-        _folders[key] = folder
+        _folders[key] = _write_logs(spark, d)
     return _folders[key]
 
 
 def file_scan(spark, d):
     rows = load_files(spark, _log_folder(spark, d))
-    return rows.select("timeline_index", "seq_index", at(), "message")
+    return rows.select("timeline_index", "log_type", "source_file", "seq_index", at(), "message")
 
 
 def incremental_ingest(spark, d):
-    """Two runs over the same files: the first parses all of them, the second none."""
-    folder, store = _log_folder(spark, d), new_path(spark, "store")
+    """Five runs over the same files: all are parsed; none; all under another option; one that was replaced; none, one being gone."""
+    folder, store = _write_logs(spark, d), new_path(spark, "store")
+    first = event_raw(spark, d).filter("dialect = 'MMI' AND block_no = 0").agg(F.min("source_file")).first()[0]
+    file = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/block 0/{first}")
+    system = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     out = None
-    for run in (1, 2):
-        rows, stats_ = load_incremental(spark, folder, store)
-        row = rows.agg(F.count("*").alias("entries"), F.sum("seq_index").alias("seq_sum")).select(
-            F.lit(run).cast("long").alias("run"), *[F.lit(stats_[k]).cast("long").alias(k) for k in ("hits", "misses")],
-            "entries", "seq_sum")
-        out = row if out is None else out.unionByName(row)
+    for run in range(1, 6):
+        if run == 4:
+            stream = system.create(file, True)
+            stream.write(bytearray(b"2024-02-01 00:00:00:000|1|7|replaced\n"))
+            stream.close()
+        elif run == 5:
+            system.delete(file, False)
+        rows, stats_ = load_incremental(spark, folder, store, skip_setup_dump=run < 3)
+        # Each run's rows are counted now: the next one publishes another version.
+        found = rows.agg(F.count("*").alias("entries"), F.sum("seq_index").alias("seq_sum"), F.sum("ceid").alias("ceid_sum")).first()
+        row = (run, stats_["hits"], stats_["misses"], found["entries"], found["seq_sum"], found["ceid_sum"])
+        one = spark.createDataFrame([row], "run long, hits long, misses long, entries long, seq_sum long, ceid_sum long")
+        out = one if out is None else out.unionByName(one)
+    drop_superseded(spark, store)
     return out
 
 
 def stream_ingest(spark, d):
-    """The same files picked up as a stream, in several micro-batches."""
+    """The same files picked up as a stream."""
     store = new_path(spark, "stream")
-    query = follow_folder(spark, _log_folder(spark, d), store, new_path(spark, "offsets"), files_per_batch=20)
+    query = follow_folder(spark, _log_folder(spark, d), store, new_path(spark, "offsets"))
     query.awaitTermination()
-    return spark.read.parquet(f"{store}/entries").select("seq_index", at(), "message")
+    return stored_entries(spark, store).select(at(), "log_type", "source_file", "message")
+
+
+def mixed_raw(spark, d) -> DataFrame:
+    return _once("mixed_raw", spark, d, lambda: synth.mixed_lines(spark, d))
+
+
+def mixed_of(spark, d) -> DataFrame:
+    return _once("mixed_entries", spark, d, lambda: en.parse_entries(mixed_raw(spark, d)))
+
+
+def mixed_entries(spark, d):
+    """The log of the rarer forms: dialects by name, event ids in headers and bodies."""
+    return mixed_of(spark, d).select(*KEY, at(), "log_type", "message", "ceid", "sxfy_type", "is_object_event")
+
+
+def header_exclusion(spark, d):
+    rows = en.parse_entries(mixed_raw(spark, d), excluded_ceids=parse_ceid_ranges("10-40; 1000-1050"))
+    return rows.filter("log_type = 'SECS'").select(*KEY, "ceid", "sxfy_type")
+
+
+def object_events_mixed(spark, d):
+    return objects.extract_object_events(mixed_of(spark, d)).select(*KEY, at(), "event_type", "object_name", "details")
+
+
+def sxfy_catalogue_mixed(spark, d):
+    return stats.sxfy_catalogue(mixed_of(spark, d))
+
+
+def sxfy_filter_mixed(spark, d):
+    return filters.by_sxfy(mixed_of(spark, d), ["S1F3", "S6F12"]).select(*KEY, "log_type", "sxfy_type")
+
+
+def top_sxfy_mixed(spark, d):
+    return stats.top_sxfy(mixed_of(spark, d))
 
 
 # ---------------------------------------------------------------- timeline
@@ -734,7 +784,8 @@ def line_diff(spark, d):
 
 
 QUERIES = [
-    file_scan, incremental_ingest, stream_ingest,
+    file_scan, incremental_ingest, stream_ingest, mixed_entries, header_exclusion, object_events_mixed, sxfy_catalogue_mixed,
+    sxfy_filter_mixed, top_sxfy_mixed,
     text_lines, file_line_counts, line_numbers, file_inventory, mmi_entries, secs_entries, conversation_entries,
     document_entries, dialects, dialects_strict, dialect_fallback, setup_dump_skip, setup_dump_flag, load_counters,
     ceid_exclusion, ceid_in_ranges, sxfy_catalogue, level_names, secs_items, timeline_index, position_lookup, gaps, gaps_unindexed,

@@ -5,13 +5,15 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..schema import ENTRIES
 from ..staging import stage
 from .raw import SUPPORTED
 
 SCHEMA_VERSION = 1
-LINES_PER_TASK = 4_000_000
+#: Keys that a file's rows are spread over when they meet the manifest.
+SPREAD = 16
 FINGERPRINT = ["source_path", "size", "modified", "options"]
 
 
@@ -56,72 +58,74 @@ def require_unchanged(parsed: DataFrame, current: DataFrame) -> None:
         raise RuntimeError(f"files changed since they were analysed, e.g. {changed}")
 
 
-def file_bucket():
-    """Storage partition of a file: a 64-bit hash of its path, so that a file can be replaced on its own."""
-    return F.substring(F.sha2("source_path", 256), 1, 16)
+def _versions(spark: SparkSession, store: str) -> list[int]:
+    """Published manifests of a store, oldest first: those whose writing has been completed."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/manifests")
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return []
+    names = [status.getPath() for status in system.listStatus(folder)]
+    done = [p.getName() for p in names if system.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(n.removeprefix("version=")) for n in done if n.startswith("version="))
 
 
-def write_entries(entries: DataFrame, store: str) -> None:
-    """Replace the stored entries of the files in `entries`; a large file is written by several tasks."""
-    (
-        entries.withColumn("bucket", file_bucket())
-        .repartition("bucket", F.floor(F.col("line_no") / LINES_PER_TASK))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
-        .parquet(f"{store}/entries")
-    )
-
-
-def _delete_buckets(spark: SparkSession, store: str, buckets) -> None:
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for bucket in buckets:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/entries/bucket={bucket}")
-        path.getFileSystem(conf).delete(path, True)
-
-
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return None
-        raise
+def stored_manifest(spark: SparkSession, store: str) -> DataFrame | None:
+    """(source_path, size, modified, options, run): the files of the store and the run that holds each one's entries."""
+    versions = _versions(spark, store)
+    return spark.read.parquet(f"{store}/manifests/version={versions[-1]}") if versions else None
 
 
 def ingest(spark: SparkSession, paths, store: str, parse, *, skip_setup_dump: bool = True, excluded_ceids=()) -> dict:
-    """Parse only new or changed files and replace just their entries in `store`. Returns hits and misses.
+    """Parse only new or changed files and publish a store in which just their entries are replaced. Returns hits and misses.
 
-    `parse(paths) -> entries` reads the given files. Entries are partitioned by a hash of the file path and swapped by
-    dynamic partition overwrite; files that are gone from the listing keep no entries.
+    `parse(paths) -> entries` reads the given files. The entries of a run go to a folder of their own; nothing stored before is touched. A
+    manifest that names each file's run is then written as a new version, and from that moment readers see it; a run that
+    fails, or whose files changed while it read them, publishes nothing. Files that are gone from the listing aren't in the new manifest.
     """
     options = options_signature(skip_setup_dump, excluded_ceids)
-    current = stage(file_manifest(spark, paths, options).withColumn("bucket", file_bucket()), "manifest")
-    previous = _read(spark, f"{store}/manifest")
+    current = stage(file_manifest(spark, paths, options), "manifest")
+    previous = stored_manifest(spark, store)
     todo = changed_files(current, previous)
     # The list of changed files is driver metadata, as any file listing is.
-    changed = todo.select("source_path", "bucket").collect()
+    changed = [row["source_path"] for row in todo.select("source_path").collect()]
+    total = current.count()
+    versions = _versions(spark, store)
+    run = versions[-1] + 1 if versions else 1
     if changed:
-        # Cleared first: a file that no longer yields entries must not keep its old ones.
-        _delete_buckets(spark, store, [row["bucket"] for row in changed])
-        write_entries(parse([row["source_path"] for row in changed]), store)
-    gone = 0 if previous is None else changed_files(previous, current).limit(1).count()
-    if changed or gone or previous is None:
-        # Unchanged stores are left alone, so results read from them earlier stay readable.
-        current.write.mode("overwrite").parquet(f"{store}/manifest")
-    return {"hits": current.count() - len(changed), "misses": len(changed)}
+        parse(changed).write.mode("overwrite").parquet(f"{store}/entries/run={run}")
+        require_unchanged(todo, file_manifest(spark, paths, options))
+    if changed or previous is None or previous.count() != total:
+        kept = current.withColumn("run", F.lit(run)) if previous is None else current.join(
+            previous.select(*FINGERPRINT, "run"), FINGERPRINT, "left").withColumn("run", F.coalesce("run", F.lit(run)))
+        kept.write.mode("overwrite").parquet(f"{store}/manifests/version={run}")
+    return {"hits": total - len(changed), "misses": len(changed)}
 
 
 def stored_entries(spark: SparkSession, store: str) -> DataFrame:
-    """The persisted entries of the files in the manifest; superseded files are left out."""
-    manifest = spark.read.parquet(f"{store}/manifest").select("source_path").distinct()
-    return spark.read.parquet(f"{store}/entries").drop("bucket").join(manifest, "source_path", "left_semi")
-
+    """The entries of the files in the newest manifest, each from the run it names.
 
-def drop_superseded(spark: SparkSession, store: str) -> list[str]:
-    """Delete the stored buckets of files that the manifest no longer names."""
-    kept = spark.read.parquet(f"{store}/manifest").select("bucket").distinct()
-    stored = spark.read.parquet(f"{store}/entries").select(F.col("bucket").cast("string").alias("bucket")).distinct()
-    gone = [row["bucket"] for row in stored.join(kept, "bucket", "left_anti").collect()]
-    _delete_buckets(spark, store, gone)
+    The manifest has a row per file. Where it is too large to be broadcast, a huge file's rows are spread over `SPREAD` keys.
+    """
+    manifest = stored_manifest(spark, store)
+    if manifest is None:
+        raise FileNotFoundError(f"no published manifest in {store}")
+    named = stage(manifest.select("source_path", "run", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_spread")), "files")
+    spread = F.pmod(F.hash("line_no"), F.lit(SPREAD))
+    stored = spark.read.schema(T.StructType([*ENTRIES.fields, T.StructField("run", T.IntegerType())])).parquet(f"{store}/entries")
+    return stored.withColumn("_spread", spread).join(named, ["source_path", "run", "_spread"], "left_semi").drop("run", "_spread")
+
+
+def drop_superseded(spark: SparkSession, store: str) -> list[int]:
+    """Delete older manifests, and the runs that the newest one no longer names; no reader of older versions may be active."""
+    manifest = stored_manifest(spark, store)
+    live = {row["run"] for row in manifest.select("run").distinct().collect()} if manifest is not None else set()
+    versions = _versions(spark, store)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    runs = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/entries")
+    system = runs.getFileSystem(conf)
+    stored = [int(s.getPath().getName().removeprefix("run=")) for s in system.listStatus(runs) if s.getPath().getName().startswith("run=")]
+    gone = sorted(set(stored) - live)
+    for folder in [*(f"entries/run={r}" for r in gone), *(f"manifests/version={v}" for v in versions[:-1])]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/{folder}")
+        system.delete(path, True)
     return gone

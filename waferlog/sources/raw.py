@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.ordered import BLOCK_ROWS, running_offset
@@ -15,14 +17,20 @@ def _decode(name):
     return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
 
 
-def read_log_files(spark: SparkSession, paths: list[str] | str, recursive: bool = True) -> DataFrame:
-    """Numbered lines of all supported log files under the given paths.
+def literal_path(path: str) -> str:
+    """A path whose characters stand for themselves, where Hadoop would read a pattern."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
+def read_log_files(spark: SparkSession, paths: list[str] | str, recursive: bool = True, literal: bool = False) -> DataFrame:
+    """Numbered lines of all supported log files under the given paths, which may be patterns unless `literal`.
 
     Files are read as splits, and each scanned line gets an id that rises inside its split. The scan is staged once,
     without a shuffle, so that the splits stay as they are; a line's number is then the line count of the file's
     earlier splits plus its distance from the first id of its own split. Bad UTF-8 turns into U+FFFD.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
+    paths = [literal_path(p) for p in paths] if literal else paths
     scan = (
         spark.read.option("recursiveFileLookup", str(recursive).lower())
         .text(paths)

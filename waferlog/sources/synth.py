@@ -210,6 +210,40 @@ def staged_lines(lines: DataFrame) -> DataFrame:
     return stage(lines.withColumn("dialect", by_name), "lines")
 
 
+def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`events` as a log of the rarer forms: job and CMS events, several message types, event ids in headers."""
+    k = F.regexp_extract("props", r"(\d+)", 1).cast("long")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        "event_id", F.col("user_id").alias("u"), (F.col("event_type") == "purchase").alias("secs"), k.alias("k"),
+        F.date_format("ts", "yyyy-MM-dd").alias("day"), F.date_format("ts", "HH:mm:ss:SSS").alias("clock"))
+    k, u = F.col("k"), F.col("u")
+    body = F.when(k % 3 == 0, _text("[CMS] job J", k, " for unit ", u)).when(k % 3 == 1, _text("DeletejobList count=", k)).otherwise(_text("plain ", k))
+    head = (
+        F.when(k % 4 == 0, _text("SEND S1F3W CEID = ", k + 1000)).when(k % 4 == 1, _text("RECV S2F41 ceid=", k + 5))
+        .when(k % 4 == 2, F.lit("SEND S6F11W")).otherwise(F.lit("RECV S6F12"))
+    )
+    report = F.array(F.lit("  <U4 [1] 1>"), _text("  <U4 [1] ", k + 1000, ">"))
+    pieces = F.when(
+        F.col("secs"), F.concat(F.array(_text(F.col("clock"), ": [2] ", head)), F.when(k % 4 == 2, report).otherwise(F.array().cast("array<string>")))
+    ).otherwise(F.array(_text(F.col("day"), " ", F.col("clock"), "|1|", F.col("event_id"), "|", body)))
+    name = F.when(F.col("secs"), F.concat(F.col("day"), F.lit(" "), F.substring("clock", 1, 2))).otherwise(F.replace(F.col("day"), F.lit("-"), F.lit("_")))
+    return number_pieces(rows.select("event_id", F.concat(F.lit("mixed "), name, F.lit(".log")).alias("source_file"), pieces.alias("pieces")), "event_id")
+
+
+def write_named_files(lines: DataFrame, folder: str) -> None:
+    """Raw lines as text files `block <n>/<source file>`, so that names tell the dialect and the day; a block ends with a whole entry."""
+    spark = lines.sparkSession
+    write_log_files(lines, f"{folder}-parts")
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}-parts")
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for r in lines.select("source_file", "block_no").distinct().collect():
+        part = path(f"{folder}-parts/source_file={r['source_file']}/block_no={r['block_no']}")
+        file = next(f.getPath() for f in system.listStatus(part) if f.getPath().getName().startswith("part-"))
+        system.mkdirs(path(f"{folder}/block {r['block_no']}"))
+        system.rename(file, path(f"{folder}/block {r['block_no']}/{r['source_file']}"))
+
+
 def write_log_files(lines: DataFrame, folder: str) -> None:
     """Raw lines as text files, one per block of each log; a block ends with a whole entry."""
     (

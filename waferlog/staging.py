@@ -12,6 +12,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+_generation = 0
+
+
+def generation() -> int:
+    """Rises whenever staged tables are deleted; what was kept of an earlier one must be made anew."""
+    return _generation
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -43,6 +49,8 @@ def stage(df: DataFrame, label: str = "table") -> DataFrame:
 
 def drop_staged(spark: SparkSession) -> int:
     """Delete what this session staged; call it when the results have been consumed."""
+    global _generation
+    _generation += 1
     count = 0
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     while _written:

@@ -1,23 +1,22 @@
-"""Finished log files picked up as a stream, each micro-batch running the batch parser."""
+"""Finished log files picked up as a stream; each micro-batch runs the incremental load."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.entries import parse_entries
-from ..sources.manifest import write_entries
-from ..sources.raw import SUPPORTED, read_log_files
+from ..plans.load import load_incremental
+from ..sources.raw import SUPPORTED
 
 
 def follow_folder(
     spark: SparkSession, folder: str, store: str, checkpoint: str, trigger: dict | None = None,
     files_per_batch: int = 10_000, **options
 ) -> StreamingQuery:
-    """Parse every log file that appears under `folder` and put its entries into `store`.
+    """Keep `store` up to date with the log files under `folder`.
 
-    The stream carries only the names of new files; the batch reads them as splittable text, so a file's size is not
-    limited. A batch that is run again replaces the same partitions, so entries appear once.
+    The stream carries only the names of new files and says when to look. What is parsed is decided by the store's manifest, as in any
+    incremental load: files that are new, changed since they were parsed, or gone. A batch that is run again finds nothing to do.
     """
     names = (
         spark.readStream.format("binaryFile")
@@ -29,11 +28,9 @@ def follow_folder(
         .filter(F.col("path").rlike(SUPPORTED))
     )
 
-    def parse_batch(batch: DataFrame, _: int) -> None:
-        paths = [row["path"] for row in batch.collect()]
-        if not paths:
-            return
-        write_entries(parse_entries(read_log_files(batch.sparkSession, paths), **options), store)
+    def look(batch: DataFrame, _: int) -> None:
+        if not batch.isEmpty():
+            load_incremental(batch.sparkSession, folder, store, **options)
 
-    writer = names.writeStream.foreachBatch(parse_batch).option("checkpointLocation", checkpoint)
+    writer = names.writeStream.foreachBatch(look).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
