@@ -51,7 +51,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     windows = _windows(source, width)
     place = F.struct("k", "t", "at")
     first = stage(windows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n"), "windows")
-    later = windows.join(first, ["a", "b"]).where(~place.eqNullSafe(F.col("first")))
+    # Joined by sorting at every size, so that plans and costs of small inputs tell those of large ones.
+    later = windows.join(first.hint("merge"), ["a", "b"]).where(~place.eqNullSafe(F.col("first")))
     covered = stage(later.groupBy("k", "t").agg(F.sort_array(F.collect_set("at")).alias("starts")), "covered")
 
     def rebuild(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -60,7 +61,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
     mine = docs.select(packed(docs, carry), F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").alias("k"), F.xxhash64(F.col(f"`{text}`")).alias("t"))
     hit = F.col("starts").isNotNull()
-    joined = mine.join(covered, mine.k.eqNullSafe(covered.k) & (mine.t == covered.t), "left").select(
+    joined = mine.join(covered.hint("merge"), mine.k.eqNullSafe(covered.k) & (mine.t == covered.t), "left").select(
         ROW, mine.text, "starts", F.when(hit, mine.text).alias("touched"))
     # not deterministic for the planner only: a filter on the result must not make it run twice
     cleaned = F.pandas_udf(rebuild, "cleaned string, removed int").asNondeterministic()("touched", "starts")
