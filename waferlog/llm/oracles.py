@@ -140,7 +140,7 @@ tails AS (
 ),
 sequence AS (SELECT *, max(p_value) OVER (PARTITION BY stratum, rule ORDER BY strictness) AS worst FROM tails),
 certified AS (
-  SELECT *, k_bad * n_good - k_good * n_bad AS gain FROM sequence, strata WHERE worst <= {quality.FAILURE!r} / (strata.n * {len(quality.RULES)})
+  SELECT *, k_bad * n_good - {quality.GOOD_COST} * k_good * n_bad AS gain FROM sequence, strata WHERE worst <= {quality.FAILURE!r} / (strata.n * {len(quality.RULES)})
 ),
 chosen AS (
   SELECT stratum, rule, cutoff FROM certified WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY gain DESC, strictness) = 1

@@ -24,6 +24,8 @@ WINDOW = 5
 #: Of the good documents of a stratum, the share that all rules together may reject, and the probability that this fails anywhere.
 MOST_REJECTED = 0.05
 FAILURE = 0.05
+#: A rejected good document counts as much as so many bad ones when a cutoff is chosen among the certified ones.
+GOOD_COST = 10
 
 OUTPUTS = [*MEASURES, "base_failed", "kept", "reasons"]
 
@@ -111,15 +113,15 @@ def stratum_key(column: str) -> Column:
     return F.when(F.col(f"`{column}`").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(f"`{column}`").cast("string")))
 
 
-def choose_cutoffs(labelled: DataFrame, rules: Sequence[Rule] = RULES, most_rejected: float = MOST_REJECTED, failure: float = FAILURE) -> DataFrame:
+def choose_cutoffs(labelled: DataFrame, rules: Sequence[Rule] = RULES, most_rejected: float = MOST_REJECTED, failure: float = FAILURE, good_cost: int = GOOD_COST) -> DataFrame:
     """One row per stratum (`stratum`) and rule (`rule`) whose chosen `cutoff` is certified, with the counts it rests on.
 
     `labelled` has `stratum`, `good` (boolean) and the measures of the holdout. For each stratum and rule, cutoffs are tested from mild to
     strict: the exact binomial test must reject that the rule loses more than `most_rejected` / rules of the good documents, at level
     `failure` / (strata * rules). The sequence stops at the first cutoff that isn't certified, which keeps the error of the whole sequence
     at its level; the division over strata and rules (Bonferroni) keeps all of them at `failure`. Of the certified cutoffs, the one
-    with the largest difference of the rejected shares of bad and good documents is chosen, the mildest of equals, if it rejects more bad
-    ones. A stratum with too few good documents has no certified cutoff, and its documents are rejected by no rule.
+    that rejects the largest share of bad documents less `good_cost` times the share of good ones is chosen, the mildest of equals; a rule
+    without a gain rejects nothing. A stratum with too few good documents has no certified cutoff, and its documents are rejected by no rule.
 
     Holdout rows meet as counts per stratum, so their number doesn't matter.
     """
@@ -144,7 +146,7 @@ def choose_cutoffs(labelled: DataFrame, rules: Sequence[Rule] = RULES, most_reje
 
     milder = Window.partitionBy("stratum", "rule").orderBy("strictness").rowsBetween(Window.unboundedPreceding, 0)
     certified = tested.withColumn("p_value", tail("k_good", "n_good")).withColumn("worst", F.max("p_value").over(milder)).where(F.col("worst") <= level)
-    gain = F.col("k_bad") * F.col("n_good") - F.col("k_good") * F.col("n_bad")
+    gain = F.col("k_bad") * F.col("n_good") - good_cost * F.col("k_good") * F.col("n_bad")
     pick = certified.withColumn("gain", gain).where("gain > 0").groupBy("stratum", "rule").agg(
         F.max_by(F.struct("cutoff", "n_good", "k_good", "n_bad", "k_bad", "p_value"), F.struct("gain", -F.col("strictness"))).alias("c"))
     return pick.select("stratum", "rule", "c.*")
