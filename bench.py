@@ -1,8 +1,8 @@
 """Times the headline work and prints one JSON line.
 
-The event log of the scale factor is written as raw lines first (not timed). `load_cold` parses, sorts and indexes it;
-the searches and analyses then run on the stored timeline, as the published baseline does. Each query runs twice and
-the faster run counts, which matches the baseline's warm file cache.
+The event log of the scale factor is written as log files first (not timed). `load_cold` is what users call: it lists and reads the
+files, numbers their lines, settles their dialects, parses, sorts and indexes; the searches and analyses then run on the stored
+timeline, as the published baseline does. Each query runs twice and the faster run counts, which matches the baseline's warm file cache.
 """
 
 from __future__ import annotations
@@ -10,17 +10,19 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession, functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from waferlog.operators import alarms as al, entries as en, filters, objects, roundtrip, search, stats  # noqa: E402
+from waferlog.operators import alarms as al, filters, objects, roundtrip, search, stats  # noqa: E402
 from waferlog.plans import queries as registry  # noqa: E402
+from waferlog.plans.load import load_files  # noqa: E402
 from waferlog.sources import synth  # noqa: E402
 from waferlog.spec import FilterSpec  # noqa: E402
-from waferlog.staging import drop_staged  # noqa: E402
+from waferlog.staging import drop_staged, new_path  # noqa: E402
 
 
 def main() -> None:
@@ -33,6 +35,7 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
+        .config("spark.checkpoint.dir", os.environ.get("BENCH_SCRATCH") or tempfile.mkdtemp(prefix="bench-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -40,10 +43,13 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     raw = synth.staged_lines(synth.event_lines(spark, sf_dir))
     lines = raw.count()
+    folder = new_path(spark, "logs")
+    # One file per day (MMI) and hour (SECS), as the equipment writes them.
+    synth.write_named_files(raw.withColumn("block_no", F.lit(0).cast("long")), folder)
     store = {}
 
     def load_cold():
-        store["timeline"] = en.parse_timeline(raw, fallback=False)
+        store["timeline"] = load_files(spark, folder)
         return store["timeline"]
 
     def warm():
@@ -72,7 +78,7 @@ def main() -> None:
         "carrier_roundtrip": trip,
         "statistics": lambda: stats.statistics(warm()),
         "top_ceids": lambda: stats.top_ceids(warm()),
-        "gaps": lambda: filters.with_gap(warm()),
+        "gaps": lambda: filters.gap_table(warm()),
         "annotated_messages": lambda: registry.enrich.annotate(
             warm(), registry.names(spark, sf_dir), registry.variables(spark, sf_dir)
         ),

@@ -368,7 +368,7 @@ def test_log_text_and_sinks(spark, tmp_path):
     assert sorted(r["간격"] or "" for r in back.collect()) == ["", "+1s", "+1s"]
 
 
-def test_levels_file(tmp_path):
+def test_levels_file(spark, tmp_path):
     path = tmp_path / "levels.yaml"
     path.write_text("# map\nlevels:\n  0: Plain\n  7: \"Big one\"\n")
     assert dims.load_levels(str(path)) == {0: "Plain", 7: "Big one"}

@@ -270,9 +270,9 @@ _CEID_TEXT = "CASE WHEN coalesce(EN.name, '') <> '' THEN ' // (CEID ' || E.ceid
 
 
 def _near(select: str) -> str:
-    """Rows around the first entry that was repeated three times."""
+    """Rows around the first alarm of the second day and later."""
     return _events(
-        f""", Z AS (SELECT min(timeline_index) AS c FROM E WHERE repeat_count = 3),
+        f""", Z AS (SELECT min(timeline_index) AS c FROM E WHERE is_alarm AND t >= TIMESTAMP '2024-01-02'),
 G AS (SELECT E.*, epoch_ms(t) - epoch_ms(lag(t) OVER (ORDER BY timeline_index)) AS gap_ms, timeline_index - c AS step FROM E, Z),
 N AS (SELECT *, CASE WHEN step = 0 THEN 'CENTER' WHEN step < 0 THEN 'before' ELSE 'after' END AS marker FROM G WHERE step BETWEEN -5 AND 5)
 {select}""",
@@ -297,6 +297,16 @@ UNION ALL SELECT 2, files, 0, entries, s, c FROM M UNION ALL SELECT 3, 0, files,
 UNION ALL SELECT 4, files - 1, 1, entries - gone + 1, s - gs + 7, c FROM M UNION ALL SELECT 5, files - 1, 0, entries - gone, s - gs, c FROM M"""
         ),
         "stream_ingest": _events("SELECT time, log_type, source_file, message FROM E"),
+        "bookmark_store": _docs("SELECT seq_index, memo FROM B WHERE bookmarked"),
+        "csv_round_trip": _docs(
+            "SELECT time, 'MMI' AS type, source_file AS file, CAST(line_no AS VARCHAR) AS line, replace(message, chr(10), ' | ') AS message FROM D"),
+        "level_file": """SELECT DISTINCT CAST(p_size AS BIGINT) AS color, coalesce(r_name, 'Level' || p_size) AS level_name FROM part LEFT JOIN region ON r_regionkey = p_size""",
+        "context_all_alarms": _events(
+            """, A AS (SELECT timeline_index AS anchor, CAST(unnest(range(-3, 4)) AS BIGINT) AS "offset" FROM E WHERE is_alarm)
+SELECT anchor, "offset", CASE WHEN "offset" = 0 THEN 'CENTER' WHEN "offset" < 0 THEN 'before' ELSE 'after' END AS marker, source_file, line_no
+FROM A JOIN E ON timeline_index = anchor + "offset" """),
+        "time_windows_all_alarms": _events(
+            "SELECT source_file, line_no, time FROM E WHERE EXISTS (SELECT 1 FROM E a WHERE a.is_alarm AND a.t BETWEEN E.t - INTERVAL 60 SECOND AND E.t + INTERVAL 60 SECOND)"),
         "mixed_entries": _mixed("SELECT source_file, line_no, time, log_type, message, ceid, sxfy_type, NOT is_secs AND k % 3 < 2 AS is_object_event FROM X"),
         "header_exclusion": _mixed(
             "SELECT source_file, line_no, ceid, sxfy_type FROM X WHERE is_secs AND NOT coalesce(ceid BETWEEN 10 AND 40 OR ceid BETWEEN 1000 AND 1050, false)"),
@@ -443,7 +453,7 @@ WHERE t BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-20' AND NOT {_has(
         "composed_without_keywords": _events(
             "SELECT source_file, line_no, '' AS matched_keywords FROM E WHERE NOT is_secs AND t >= TIMESTAMP '2024-01-30'"
         ),
-        "sxfy_normalised": _events("SELECT source_file, line_no, replace(message, 'S6F11W', 'S6F11') AS message FROM E WHERE is_secs"),
+        "sxfy_normalised": _events("SELECT source_file, line_no, replace(message, 'S6F11W', 'S6F11') AS message FROM E"),
         "keyword_literal": _docs(f"SELECT seq_index, {_spelled(['der'])} AS matched_text, 'der' AS keyword FROM D WHERE {_has('der')}"),
         "keyword_case_sensitive": _docs("SELECT seq_index, 'The' AS keyword FROM D WHERE contains(message, 'The')"),
         "keyword_accented": _docs(f"SELECT seq_index, 'ÉTION' AS keyword FROM D WHERE {_has('étion')}"),

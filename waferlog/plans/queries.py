@@ -398,6 +398,43 @@ def bookmark_decoration(spark, d):
     return rows.select("seq_index", "bookmarked", "memo")
 
 
+def bookmark_store(spark, d):
+    """Bookmarks written and read back, each on its entry."""
+    path = new_path(spark, "bookmarks")
+    sinks.write_bookmarks(bookmarks(spark, d), path)
+    rows = filters.with_bookmarks(doc_entries(spark, d), sinks.read_bookmarks(spark, path))
+    return rows.filter("bookmarked").select("seq_index", "memo")
+
+
+def csv_round_trip(spark, d):
+    """The display rows as CSV, read back: line feeds, quotes and commas of whole messages survive."""
+    path = new_path(spark, "csv")
+    rows = filters.with_bookmarks(doc_entries(spark, d), bookmarks(spark, d))
+    sinks.write_csv(filters.display_rows(rows), path)
+    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    label = sinks.LABELS
+    return back.select(*[F.col(label[c]).alias(c) for c in ("time", "type", "file", "line", "message")])
+
+
+def level_file(spark, d):
+    """Level names read from a file that holds one line per region and a comment."""
+    path = new_path(spark, "levels")
+    lines = spark.read.parquet(f"{d}/region.parquet").select(F.concat(F.lit("  "), F.col("r_regionkey").cast("string"), F.lit(': "'), F.col("r_name"), F.lit('"  # name')))
+    lines.write.text(path)
+    part = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_size").cast("int").alias("color")).distinct()
+    return part.select(F.col("color").cast("long").alias("color"), en.level_name(F.col("color"), dims.load_levels(path)).alias("level_name"))
+
+
+def context_all_alarms(spark, d):
+    t = event_timeline(spark, d)
+    anchors = t.filter("is_alarm").select(F.col("timeline_index").alias("anchor"))
+    return rowwin.context(t, anchors, 3).select("anchor", F.col("offset").cast("long").alias("offset"), "marker", *KEY)
+
+
+def time_windows_all_alarms(spark, d):
+    return filters.within(event_entries(spark, d), alarms_of(spark, d).select("timestamp"), 60).select(*KEY, at())
+
+
 def bookmark_timeline(spark, d):
     indexed = ordered.dense_index(doc_entries(spark, d), order_columns(), "position")
     return rowwin.bookmark_timeline(filters.with_bookmarks(indexed, bookmarks(spark, d)))
@@ -433,7 +470,7 @@ def composed_without_keywords(spark, d):
 
 
 def sxfy_normalised(spark, d):
-    rows = event_entries(spark, d).filter("log_type = 'SECS'")
+    rows = event_entries(spark, d)
     return rows.select(*KEY, normalize_sxfy(F.col("message")).alias("message"))
 
 
@@ -731,10 +768,10 @@ def problem_entry(spark, d):
     return rp.problem_entry(_late(spark, d), rp.scoped(alarms_of(spark, d), _late(spark, d))).select(*KEY, at(), "message")
 
 
-def _problem_context(spark, d, pick="LOT9"):
-    rows = event_entries(spark, d)
-    centre = rows.filter("repeat_count = 3").orderBy(*order_columns()).limit(1)
-    return rp.problem_context(rows, centre)
+def _problem_context(spark, d):
+    """The rows around the first problem entry of the second day and later."""
+    late = _late(spark, d)
+    return rp.problem_context(event_entries(spark, d), stage(rp.problem_entry(late, rp.scoped(alarms_of(spark, d), late)), "problem"))
 
 
 def problem_context(spark, d):
@@ -785,7 +822,7 @@ def line_diff(spark, d):
 
 QUERIES = [
     file_scan, incremental_ingest, stream_ingest, mixed_entries, header_exclusion, object_events_mixed, sxfy_catalogue_mixed,
-    sxfy_filter_mixed, top_sxfy_mixed,
+    sxfy_filter_mixed, top_sxfy_mixed, bookmark_store, csv_round_trip, level_file, context_all_alarms, time_windows_all_alarms,
     text_lines, file_line_counts, line_numbers, file_inventory, mmi_entries, secs_entries, conversation_entries,
     document_entries, dialects, dialects_strict, dialect_fallback, setup_dump_skip, setup_dump_flag, load_counters,
     ceid_exclusion, ceid_in_ranges, sxfy_catalogue, level_names, secs_items, timeline_index, position_lookup, gaps, gaps_unindexed,

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import strip
@@ -57,15 +56,18 @@ def read_reference(spark: SparkSession, url: str, table: str, **options) -> Data
 
 
 def load_levels(path: str | None = None) -> dict[int, str]:
-    """`levels:` with `index: name` lines. No path gives the built-in names, an unreadable one the short default."""
+    """Level names from a file in any store Spark reads: `index: name` lines, indented under a heading. No path gives the built-in names,
+    an unreadable one the short default."""
     from ..operators.entries import LEVELS
 
     if path is None:
         return dict(LEVELS)
+    spark = SparkSession.getActiveSession()
+    pattern = r"^\s+(\d+)\s*:\s*[\"']?(.*?)[\"']?\s*(?:#.*)?$"
     try:
-        with open(path, encoding="utf-8") as handle:
-            text = handle.read()
-    except OSError:
+        lines = spark.read.text(path)
+    except AnalysisException:
         return dict(DEFAULT_LEVELS)
-    pairs = re.findall(r"^\s+(\d+)\s*:\s*[\"']?(.*?)[\"']?\s*(?:#.*)?$", text, re.M)
-    return {int(index): name for index, name in pairs}
+    found = lines.filter(F.col("value").rlike(pattern)).select(
+        F.regexp_extract("value", pattern, 1).cast("int").alias("level"), F.regexp_extract("value", pattern, 2).alias("name"))
+    return {row["level"]: row["name"] for row in found.collect()}

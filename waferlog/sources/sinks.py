@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 # Labels of the display columns.
@@ -59,4 +59,14 @@ def write_report(report: DataFrame, path: str) -> None:
     lines.coalesce(1).write.mode("overwrite").text(path)
 
 
-__all__ = ["LABELS", "as_log_text", "log_text", "write_csv", "write_log_text", "write_report"]
+def write_bookmarks(bookmarks: DataFrame, path: str) -> None:
+    """`bookmarks(entry_key, memo)` as JSON lines; an entry that is marked twice keeps one memo, the larger text."""
+    marks = bookmarks.filter("entry_key IS NOT NULL").groupBy("entry_key").agg(F.max(F.coalesce("memo", F.lit(""))).alias("memo"))
+    marks.write.mode("overwrite").json(path)
+
+
+def read_bookmarks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("entry_key string, memo string").json(path)
+
+
+__all__ = ["LABELS", "as_log_text", "log_text", "read_bookmarks", "write_bookmarks", "write_csv", "write_log_text", "write_report"]
