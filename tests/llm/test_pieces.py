@@ -36,6 +36,18 @@ def test_heap_and_scan_agree(monkeypatch):
     assert [model.merged(w) for w in words] == scanned
 
 
+def test_words_merged_together_and_one_by_one(spark, monkeypatch):
+    model = pieces.PieceModel(PATH)
+    words = {u for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() for u in model.units(model.normalise(r["text"])[0])}
+    words |= {u for t in TEXTS for u in model.units(model.normalise(t)[0])}
+    model.learn(words)
+    assert all(model.memory[w] == model.unit_ids(w) for w in words if len(w) <= pieces.LONGEST_REMEMBERED)
+    monkeypatch.setattr(pieces, "REMEMBERED", 5)
+    monkeypatch.setattr(pieces, "TOGETHER", 2)
+    few = pieces.PieceModel(PATH)
+    assert [ids.tolist() for ids, _ in few.encode_many([*TEXTS, None, *TEXTS])] == [model.encode(t)[0].tolist() for t in [*TEXTS, None, *TEXTS]]
+
+
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc", "nmt_nfkc_cf"])
 def test_compiled_character_maps(rule):
     library = sentencepiece.SentencePieceNormalizer(rule_name=rule)

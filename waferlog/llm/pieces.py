@@ -23,6 +23,8 @@ REMEMBERED = 300_000
 LONGEST_REMEMBERED = 40
 #: Words up to this length are merged by scanning their pairs, longer ones by a heap.
 SCANNED = 200
+#: Documents whose new words are merged together.
+TOGETHER = 256
 # The piece types of the model file.
 NORMAL, UNK, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -86,6 +88,43 @@ class CharacterMap:
         return (unit >> 10) << ((unit & 512) >> 6)
 
 
+class PairTable:
+    """Which neighbouring symbols merge: an open hash table of pairs in arrays, with the merged symbol and its rank (low is early)."""
+
+    BITS = 19
+    NONE = np.int32(2**31 - 1)
+
+    def __init__(self, pairs: dict[tuple[int, int], tuple[int, int]]):
+        while len(pairs) * 3 > 1 << self.BITS:
+            self.BITS += 1
+        self.keys = np.full(1 << self.BITS, -1, dtype="int64")
+        self.ranks = np.full(1 << self.BITS, self.NONE, dtype="int32")
+        self.merged = np.zeros(1 << self.BITS, dtype="int32")
+        left = np.array([self._key(np.int64(a), np.int64(b)) for a, b in pairs], dtype="int64")
+        for key, slot, (rank, symbol) in zip(left.tolist(), self._slots(left).tolist(), pairs.values()):
+            while self.keys[slot] != -1:
+                slot = (slot + 1) & ((1 << self.BITS) - 1)
+            self.keys[slot], self.ranks[slot], self.merged[slot] = key, rank, symbol
+
+    @staticmethod
+    def _key(a, b):
+        return (a << 24) | b
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype("uint64") * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype("int64")
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks (`NONE` without a merge) and merged symbols of pairs."""
+        keys = self._key(a, b)
+        slots = self._slots(keys)
+        open_ = np.flatnonzero((self.keys[slots] != keys) & (self.keys[slots] != -1))
+        while len(open_):
+            slots[open_] = (slots[open_] + 1) & ((1 << self.BITS) - 1)
+            at = self.keys[slots[open_]]
+            open_ = open_[(at != keys[open_]) & (at != -1)]
+        return self.ranks[slots], self.merged[slots]
+
+
 class PieceModel:
     """A BPE model file: pieces, merge scores, the normaliser's rules. Models with user-defined or unused pieces aren't supported."""
 
@@ -121,6 +160,19 @@ class PieceModel:
         #: Bytes of the normalised text that a piece stands for; unknown characters are found otherwise.
         self.widths = np.array([len(n.encode()) if t == NORMAL else int(t == BYTE) for n, t in zip(self.names, types)])
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        #: A symbol is a piece's id, or, for a character that is no piece, the number of pieces and the code point.
+        self.characters = np.arange(0x110000, dtype="int64") + len(self.names)
+        for name, i in self.ids.items():
+            if len(name) == 1:
+                self.characters[ord(name)] = i
+        rank = {score: r for r, score in enumerate(sorted(set(self.scores.values()), reverse=True))}
+
+        def symbol(text: str) -> int | None:
+            return int(self.characters[ord(text)]) if len(text) == 1 else self.ids.get(text)
+
+        splits = ((name, i, symbol(name[:at]), symbol(name[at:])) for name, i in self.ids.items() for at in range(1, len(name)))
+        self.pairs = PairTable({(a, b): (rank[self.scores[name]], i) for name, i, a, b in splits if a is not None and b is not None})
 
     def read_rules(self, rules: dict) -> None:
         self.map = CharacterMap(rules.get(2, b""))
@@ -235,37 +287,112 @@ class PieceModel:
                 ids += [self.bytes[b] for b in symbol.encode()]
             else:
                 ids.append(self.unknown)
-        found = array("I", ids).tobytes()
-        if len(unit) < LONGEST_REMEMBERED:
-            if len(self.memory) >= REMEMBERED:
-                self.memory.clear()
-            self.memory[unit] = found
-        return found
+        return array("I", ids).tobytes()
+
+    def learn(self, units) -> None:
+        """Remembers the ids of units; those of one length are merged together, one merge per unit and round."""
+        if len(self.memory) >= REMEMBERED:
+            # Frequent words come back from the older half.
+            self.older, self.memory = self.memory, {}
+        by_length: dict[int, list[str]] = {}
+        for unit in units:
+            found = self.older.get(unit)
+            if found is not None:
+                self.memory[unit] = found
+            elif len(unit) <= LONGEST_REMEMBERED:
+                by_length.setdefault(len(unit), []).append(unit)
+        for length, words in by_length.items():
+            codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").reshape(len(words), length)
+            symbols, alive = self.merged_together(self.characters[codes])
+            sizes = alive.sum(axis=1)
+            ends = (4 * np.cumsum(sizes)).tolist()
+            data = symbols[alive].astype("<u4").tobytes()
+            odd = (symbols >= len(self.names)).any(axis=1).tolist()
+            start = 0
+            for word, end, other in zip(words, ends, odd):
+                self.memory[word] = self.unit_ids(word) if other else data[start:end]
+                start = end
+
+    def merged_together(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """`merged` for rows of symbols of one length: the symbols left, and which places hold them."""
+        n, length = symbols.shape
+        symbols = symbols.copy()
+        alive = np.ones((n, length), dtype=bool)
+        ranks = np.full((n, length), PairTable.NONE, dtype="int32")
+        if length < 2:
+            return symbols, alive
+        following = np.tile(np.arange(1, length + 1), (n, 1))
+        before = np.tile(np.arange(-1, length), (n, 1))
+        ranks[:, :-1] = self.pairs.find(symbols[:, :-1].ravel(), symbols[:, 1:].ravel())[0].reshape(n, length - 1)
+        rows = np.arange(n)
+        while True:
+            at = ranks[rows].argmin(axis=1)
+            going = ranks[rows, at] != PairTable.NONE
+            rows, at = rows[going], at[going]
+            if not len(rows):
+                return symbols, alive
+            right = following[rows, at]
+            symbols[rows, at] = self.pairs.find(symbols[rows, at], symbols[rows, right])[1]
+            alive[rows, right] = False
+            ranks[rows, right] = PairTable.NONE
+            after = following[rows, right]
+            following[rows, at] = after
+            before[rows, after] = at
+            self._rank(symbols, ranks, rows, at, after, after < length)
+            earlier = before[rows, at]
+            self._rank(symbols, ranks, rows, earlier, at, earlier >= 0)
+
+    def _rank(self, symbols, ranks, rows, left, right, has) -> None:
+        """Ranks of pairs at `left`; none where there is no neighbour."""
+        if not has.all():
+            lone = ~has & (left >= 0)
+            ranks[rows[lone], left[lone]] = PairTable.NONE
+            rows, left, right = rows[has], left[has], right[has]
+        ranks[rows, left] = self.pairs.find(symbols[rows, left], symbols[rows, right])[0]
+
+    def units(self, text: str) -> list[str]:
+        """Parts of a normalised text that are merged by themselves: no piece reaches over the start of a word."""
+        if not text or not self.by_word:
+            return [text] if text else []
+        if SPACE * 2 not in text and text[0] == SPACE and text[-1] != SPACE:
+            return [SPACE + w for w in text[1:].split(SPACE)]
+        return _UNITS.findall(text)
 
     def encode_normalised(self, text: str) -> np.ndarray:
-        """Ids without begin and end. No piece reaches over the start of a word, so words are merged one by one and remembered."""
-        if not text:
-            return np.zeros(0, dtype="<u4")
-        if not self.by_word:
-            return np.frombuffer(self.unit_ids(text), dtype="<u4")
-        if SPACE * 2 not in text and text[0] == SPACE and text[-1] != SPACE:
-            units = [SPACE + w for w in text[1:].split(SPACE)]
-        else:
-            units = _UNITS.findall(text)
+        """Ids without begin and end."""
         known = self.memory.get
-        return np.frombuffer(b"".join([known(u) or self.unit_ids(u) for u in units]), dtype="<u4")
+        return np.frombuffer(b"".join([known(u) or self.recall(u) for u in self.units(text)]), dtype="<u4")
+
+    def recall(self, unit: str) -> bytes:
+        found = self.older.get(unit) or self.unit_ids(unit)
+        if len(unit) <= LONGEST_REMEMBERED:
+            self.memory[unit] = found
+        return found
 
-    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    def encode_many(self, texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """`encode` for many texts, whose new words are learnt together."""
+        for start in range(0, len(texts), TOGETHER):
+            part = [t or "" for t in texts[start : start + TOGETHER]]
+            norms = [self.normalise(t) for t in part]
+            new = {u for norm, _ in norms for u in self.units(norm)}
+            self.learn(new.difference(self.memory))
+            for text, (norm, starts) in zip(part, norms):
+                yield self.encode(text, norm, starts)
+
+    def encode(self, text: str | None, norm: str | None = None, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids without begin and end, and the original byte where each piece starts, with the last one's end.
 
         A byte piece that doesn't end its character is empty and stands at the character's start; the last one has it whole.
         """
-        norm, starts = self.normalise(text or "")
+        if norm is None or starts is None:
+            norm, starts = self.normalise(text or "")
         ids = self.encode_normalised(norm)
         widths = self.widths[ids]
-        if self.unknown in ids:
+        if not self.bytes and self.unknown in ids:
             widths = self.unknown_widths(norm, ids)
-        edges = starts[np.concatenate([[0], np.cumsum(widths)])]
+        edges = np.empty(len(ids) + 1, dtype="int64")
+        edges[0] = starts[0]
+        edges[1:] = starts[np.cumsum(widths)]
         if self.is_byte[ids].any():
             raw = np.frombuffer((text or "").encode() + b"\0", dtype="uint8")
             for _ in range(3):
@@ -316,8 +443,7 @@ def encode_documents(docs: DataFrame, text: str = "text", model: str = "piece_bp
         known = piece_model(vocabulary_path(model))
         for texts in batches:
             out = []
-            for value in texts:
-                ids, edges = known.encode(value)
+            for ids, edges in known.encode_many(texts.tolist()):
                 whole = np.concatenate([[known.begin], ids, [known.end]]).astype("<u4")
                 if digest:
                     decoded = known.decode(whole).encode()
