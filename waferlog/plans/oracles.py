@@ -280,6 +280,81 @@ N AS (SELECT *, CASE WHEN step = 0 THEN 'CENTER' WHEN step < 0 THEN 'before' ELS
     )
 
 
+#: Labelled values of the rows before the problem, in order of appearance.
+_SIGNALS = """S0 AS (SELECT step, unnest([CASE WHEN N.ceid IS NOT NULL THEN 'CEID ' || N.ceid || CASE WHEN coalesce(EN.name, '') <> '' THEN ' (' || EN.name || ')' ELSE '' END END,
+  CASE WHEN is_secs THEN 'SxFy S6F11W' END, CASE WHEN event_type LIKE 'Carrier%' THEN 'Carrier LOT' || u END,
+  CASE WHEN event_type = 'SubstrateObject::Initialize' THEN 'Substrate W' || u END, CASE WHEN event_type = 'SubstrateObject::Initialize' THEN 'Acquired A' || k END,
+  CASE WHEN event_type = 'LoadPortObject::StateChange' THEN 'Port ' || port END, CASE WHEN event_type = 'LoadPortObject::StateChange' THEN 'Port LP' || port END]) AS label,
+  generate_subscripts([1, 2, 3, 4, 5, 6, 7], 1) AS i FROM N LEFT JOIN EN ON EN.ceid = N.ceid WHERE step < 0),
+S1 AS (SELECT label, min(step * 10 + i) AS o FROM S0 WHERE label IS NOT NULL GROUP BY label ORDER BY o LIMIT 8)"""
+
+
+def _short(text: str, limit: int) -> str:
+    flat = f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
+    return f"CASE WHEN length({flat}) <= {limit} THEN {flat} ELSE rtrim(substring({flat}, 1, {limit - 3})) || '...' END"
+
+
+def _report() -> str:
+    """The report's lines over the whole event log, searched for LOT12 or alarm."""
+    spot = "'[' || log_type || '] ' || source_file || ':' || line_no"
+    lines = [
+        "SELECT 1 AS section, CAST(0 AS DOUBLE) AS ord, '# Log Analysis Report' AS text",
+        "SELECT 1, 1, ''",
+        "SELECT 1, 2, '- Generated: 2024-02-01 00:00:00'",
+        "SELECT 1, 10, '- Total parsed entries: ' || count(*) FROM E",
+        "SELECT 1, 11, '- MMI entries: ' || count(*) FILTER (NOT is_secs) FROM E",
+        "SELECT 1, 12, '- SECS entries: ' || count(*) FILTER (is_secs) FROM E",
+        "SELECT 1, 20, '- Search keyword: OR: LOT12, alarm'",
+        "SELECT 1, 21, ''",
+        "SELECT 3, 0, '## Investigation Hints'",
+        """SELECT 3, 11, '- Log span: ' || f || ' -> ' || l || ' (' || CASE WHEN d = 0 THEN '' WHEN d = 1 THEN '1 day, ' ELSE d || ' days, ' END
+  || (ms // 3600000 % 24) || ':' || lpad(CAST(ms // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(ms // 1000 % 60 AS VARCHAR), 2, '0')
+  || CASE WHEN ms % 1000 = 0 THEN '' ELSE '.' || lpad(CAST(ms % 1000 AS VARCHAR), 3, '0') || '000' END || ')'
+FROM (SELECT min(time) AS f, max(time) AS l, epoch_ms(max(t)) - epoch_ms(min(t)) AS ms, ms // 86400000 AS d FROM E)""",
+        f"SELECT 3, 12, '- First alarm: ' || time || ' code=' || (3000 + k) || ' | ' || {_short('substring(first_line, 9)', 120)} FROM N WHERE step = 0",
+        f"SELECT 3, 13, '- First Fail/Alarm log: ' || time || ' ' || {spot} || ' | ' || level_name || ' | ' || {_short('message', 120)} FROM N WHERE step = 0",
+        "SELECT 3, 14, '- Pre-problem signals: ' || signals FROM (SELECT string_agg(label, '; ' ORDER BY o) AS signals FROM S1) WHERE signals IS NOT NULL",
+        f"""SELECT 3, 15, '- Largest pre-problem gap: ' || {_report_gap('gap_ms')} || ' before ' || time || ' ' || {spot}
+FROM (SELECT * FROM N WHERE step BETWEEN -4 AND 0 AND gap_ms IS NOT NULL ORDER BY abs(gap_ms) DESC, step LIMIT 1)""",
+        """SELECT 3, 16, '- Top CEID/Event: ' || string_agg('CEID ' || ceid || CASE WHEN name <> '' THEN ' (' || name || ')' ELSE '' END || ': ' || n || 'x', '; ' ORDER BY n DESC, f)
+FROM (SELECT E.ceid, coalesce(EN.name, '') AS name, count(*) AS n, min(timeline_index) AS f FROM E LEFT JOIN EN ON EN.ceid = E.ceid WHERE is_secs GROUP BY ALL ORDER BY n DESC, f LIMIT 5)
+HAVING count(*) > 0""",
+        """SELECT 3, 17, '- Top matched keywords: ' || string_agg(w || ': ' || n || 'x', '; ' ORDER BY n DESC, f, i)
+FROM (SELECT w, i, count(*) AS n, min(timeline_index) AS f FROM M, (VALUES ('LOT12', 1), ('alarm', 2)) AS t(w, i) WHERE contains(lower(message), lower(w)) GROUP BY ALL) HAVING count(*) > 0""",
+        "SELECT 3, 100, ''",
+        "SELECT 4, -100, '## Problem Context' FROM N WHERE step = 0",
+        f"""SELECT 4, step, '- ' || marker || ': ' || time || ' ' || CASE WHEN {_report_gap('gap_ms')} = '' THEN '' ELSE {_report_gap('gap_ms')} || ' | ' END || {spot} || ' | '
+  || coalesce(level_name, '') || ' | ' || {_short('message', 160)} FROM N""",
+        "SELECT 4, 100, '' FROM N WHERE step = 0",
+        "SELECT 5, -10, '## Alarm Summary'",
+        "SELECT 5, 0, CASE WHEN count(*) = 0 THEN '- No alarms detected in the reported entries.' ELSE '- Total alarm events: ' || count(*) END FROM E WHERE is_alarm",
+        """SELECT 5, row_number() OVER (ORDER BY n DESC, f), '- [' || n || 'x] ' || (3000 + k)
+FROM (SELECT k, CAST(sum(coalesce(repeat_count, 1)) AS BIGINT) AS n, min(timeline_index) AS f FROM E WHERE is_alarm GROUP BY k ORDER BY n DESC, f LIMIT 20)""",
+        "SELECT 5, 1e18, ''",
+        "SELECT 6, -10, '## Object State Timeline'",
+        "SELECT 6, 0, CASE WHEN count(*) = 0 THEN '- No object events detected in the reported entries.' ELSE '- Total object events: ' || count(*) END FROM E WHERE is_object_event",
+        "SELECT 6, 1e17, '- ... and ' || (count(*) - 200) || ' more events' FROM E WHERE is_object_event HAVING count(*) > 200",
+        f"""SELECT 6, row_number() OVER (ORDER BY timeline_index), '- ' || time || ' | ' || event_type || ' | ' || details
+FROM (SELECT *, {_DETAILS} AS details FROM E WHERE is_object_event ORDER BY timeline_index LIMIT 200)""",
+        "SELECT 6, 1e18, ''",
+        "SELECT 7, -10, '## Keyword Search Results'",
+        "SELECT 7, 0, CASE WHEN count(*) = 0 THEN '- No matches for: OR: LOT12, alarm' ELSE '- Matches: ' || count(*) END FROM M",
+        "SELECT 7, 1e17, '- ... and ' || (count(*) - 100) || ' more matches' FROM M HAVING count(*) > 100",
+        f"""SELECT 7, row_number() OVER (ORDER BY timeline_index), '- ' || time || ' ' || {spot} || ' - ' || substring(message, 1, 120)
+FROM (SELECT * FROM M ORDER BY timeline_index LIMIT 100)""",
+    ]
+    return _events(
+        f""", M AS (SELECT * FROM E WHERE contains(lower(message), 'lot12') OR contains(lower(message), 'alarm')),
+Z AS (SELECT min(timeline_index) AS c FROM E WHERE is_alarm),
+G AS (SELECT E.*, epoch_ms(t) - epoch_ms(lag(t) OVER (ORDER BY timeline_index)) AS gap_ms, timeline_index - c AS step FROM E, Z),
+N AS (SELECT *, CASE WHEN step = 0 THEN 'CENTER' WHEN step < 0 THEN 'before' ELSE 'after' END AS marker FROM G WHERE step BETWEEN -5 AND 5),
+{_SIGNALS},
+T AS ({" UNION ALL ".join(lines)})
+SELECT CAST(section AS INTEGER) AS section, CAST(ord AS DOUBLE) AS ord, text FROM T""",
+        DIMS,
+    )
+
+
 def sql() -> dict[str, str]:
     return {
         "file_scan": _events(
@@ -608,19 +683,15 @@ GROUP BY E.ceid, name ORDER BY count(*) DESC, min(timeline_index) LIMIT 5""",
         ),
         "problem_context": _near("SELECT marker, step, source_file, line_no, gap_ms FROM N"),
         "pre_problem_signals": _near(
-            f""", L0 AS (SELECT step, unnest([CASE WHEN N.ceid IS NOT NULL THEN 'CEID ' || N.ceid || CASE WHEN coalesce(EN.name, '') <> '' THEN ' (' || EN.name || ')' ELSE '' END END,
-  CASE WHEN is_secs THEN 'SxFy S6F11W' END, CASE WHEN event_type LIKE 'Carrier%' THEN 'Carrier LOT' || u END,
-  CASE WHEN event_type = 'SubstrateObject::Initialize' THEN 'Substrate W' || u END, CASE WHEN event_type = 'SubstrateObject::Initialize' THEN 'Acquired A' || k END,
-  CASE WHEN event_type = 'LoadPortObject::StateChange' THEN 'Port ' || port END, CASE WHEN event_type = 'LoadPortObject::StateChange' THEN 'Port LP' || port END]) AS label,
-  generate_subscripts([1, 2, 3, 4, 5, 6, 7], 1) AS i FROM N LEFT JOIN EN ON EN.ceid = N.ceid WHERE step < 0),
-L1 AS (SELECT label, min(step * 10 + i) AS o FROM L0 WHERE label IS NOT NULL GROUP BY label ORDER BY o LIMIT 8)
-SELECT string_agg(label, '; ' ORDER BY o) AS signals FROM L1"""
+            f""", {_SIGNALS}
+SELECT string_agg(label, '; ' ORDER BY o) AS signals FROM S1"""
         ),
         "largest_gap": _near("SELECT source_file, line_no, gap_ms FROM N WHERE step BETWEEN -4 AND 0 ORDER BY gap_ms DESC, step LIMIT 1"),
         "report_scope": _events(
             """SELECT 'alarms' AS part, count(*) AS rows FROM E WHERE is_alarm AND t >= TIMESTAMP '2024-01-02'
 UNION ALL SELECT 'events', count(*) FROM E WHERE is_object_event AND t >= TIMESTAMP '2024-01-02'"""
         ),
+        "investigation_report": _report(),
         "line_diff": f"""WITH {PAIRS},
 LL AS (SELECT pair_id, unnest(string_split(l, chr(10))) AS line, generate_subscripts(string_split(l, chr(10)), 1) AS no FROM PR),
 RR AS (SELECT pair_id, unnest(string_split(r, chr(10))) AS line, generate_subscripts(string_split(r, chr(10)), 1) AS no FROM PR),
