@@ -111,6 +111,10 @@ def test_files_end_to_end(spark, tmp_path):
     assert (rows[1]["ceid"], rows[1]["s6f11_rptids"], rows[1]["sxfy_type"]) == (777, [10], "S6F11")
     assert (rows[2]["repeat_count"], rows[2]["is_alarm"], rows[2]["level_name"]) == (3, True, "Alarm")
     assert str(rows[4]["timestamp"]) == "2026-09-01 08:00:06"
+    plain = {(r["source_file"], r["line_no"]): r for r in en.parse_entries(read_log_files(spark, str(tmp_path))).collect()}
+    for r in rows:
+        same = plain[r["source_file"], r["line_no"]]
+        assert all(r[c] == same[c] for c in en.ENTRY_COLUMNS), r
 
 
 @pytest.mark.parametrize("size", [97, 1000])

@@ -163,7 +163,11 @@ def _dropped(skip_setup_dump: bool, excluded_ceids) -> Column:
 
 
 def parse_timeline(raw_lines: DataFrame, dialects: DataFrame | None = None, **options) -> DataFrame:
-    """`timeline(parse_entries(...))`, with the typed columns made only once, after the sort."""
+    """`timeline(parse_entries(...))`, with the typed columns made only once, after the sort.
+
+    The sorted rows are stored with the text once: `raw_line` and `secs_message` are put together from the header line and the message
+    when they are read.
+    """
     if options.get("excluded_ceids"):
         return timeline(parse_entries(raw_lines, dialects, **options))
     levels = options.pop("levels", None)
@@ -171,13 +175,18 @@ def parse_timeline(raw_lines: DataFrame, dialects: DataFrame | None = None, **op
     skip = options.get("skip_setup_dump", True)
     rows = dated_rows(raw_lines, dialects, **options).filter(F.col("timestamp").isNotNull())
     rows = (rows.filter(~F.col("in_dump")) if skip else rows).withColumn("log_type", F.col("dialect"))
-    return dense_index(
+    stored = [c for c in ENTRY_COLUMNS if c not in ("raw_line", "secs_message")]
+    indexed = dense_index(
         rows,
         order_columns(),
         "timeline_index",
         "timeline",
-        lambda sorted_rows: typed_columns(sorted_rows, levels).select(*ENTRY_COLUMNS, "_pos"),
+        lambda sorted_rows: typed_columns(sorted_rows, levels).select(*stored, "head", "_pos"),
     )
+    line_end = F.instr("message", "\n")
+    rest = F.when(line_end > 0, F.substring("message", line_end, F.length("message"))).otherwise("")
+    whole = indexed.withColumns({"raw_line": F.concat("head", rest), "secs_message": F.when(F.col("log_type") != MMI, F.col("message"))})
+    return whole.select(*ENTRY_COLUMNS, "timeline_index")
 
 
 def rejected_lines(raw_lines: DataFrame, dialects: DataFrame | None = None, **options) -> DataFrame:
