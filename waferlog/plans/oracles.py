@@ -369,8 +369,11 @@ M AS (SELECT count(DISTINCT source_file || '/' || (event_id // 4096)) AS files,
   FROM E, Z)
 SELECT CAST(1 AS BIGINT) AS run, CAST(0 AS BIGINT) AS hits, files AS misses, entries, s AS seq_sum, c AS ceid_sum FROM M
 UNION ALL SELECT 2, files, 0, entries, s, c FROM M UNION ALL SELECT 3, 0, files, entries, s, c FROM M
-UNION ALL SELECT 4, files - 1, 1, entries - gone + 1, s - gs + 7, c FROM M UNION ALL SELECT 5, files - 1, 0, entries - gone, s - gs, c FROM M"""
+UNION ALL SELECT 4, files - 1, 1, entries - gone + 1, s - gs + 7, c FROM M UNION ALL SELECT 5, files - 1, 0, entries - gone, s - gs, c FROM M
+UNION ALL SELECT 6, 0, 2, entries - gone, s - gs, c FROM M"""
         ),
+        "stale_sources": _events(
+            "SELECT min(source_file) AS source_file FROM E WHERE NOT is_secs AND event_id < 4096 UNION SELECT max(source_file) FROM E WHERE NOT is_secs AND event_id < 4096"),
         "stream_ingest": _events("SELECT time, log_type, source_file, message FROM E"),
         "bookmark_store": _docs("SELECT seq_index, memo FROM B WHERE bookmarked"),
         "csv_round_trip": _docs(
@@ -648,8 +651,8 @@ SELECT source_file, line_no, row_number() OVER (PARTITION BY source_file, line_n
             DIMS, CANDIDATES,
         ),
         "related_search": _events(
-            """, W AS (SELECT DISTINCT 'W' || u AS keyword FROM E WHERE event_type = 'SubstrateObject::Initialize')
-SELECT keyword, count(*) AS entries FROM W JOIN E ON contains(lower(replace(message, 'S6F11W', 'S6F11')), lower(keyword)) GROUP BY keyword"""
+            """, W AS (SELECT DISTINCT value AS keyword FROM K WHERE label <> 'event name'), L AS (SELECT lower(replace(message, 'S6F11W', 'S6F11')) AS m FROM E)
+SELECT keyword, count(*) AS entries FROM W JOIN L ON contains(m, lower(keyword)) GROUP BY keyword""", DIMS, CANDIDATES
         ),
         "statistics": _events(
             """SELECT count(*) AS total, count(*) FILTER (NOT is_secs) AS mmi, count(*) FILTER (is_secs) AS secs, CAST(0 AS BIGINT) AS bookmarked,

@@ -12,7 +12,7 @@ from ..operators import (
 )
 from ..schema import order_columns
 from ..sources import dims, sinks, synth
-from ..sources.manifest import drop_superseded, stored_entries
+from ..sources.manifest import drop_superseded, file_manifest, stale_files, stored_entries
 from ..sources.raw import line_counts, lines_from_texts
 from ..spec import FilterSpec, parse_ceid_ranges
 from ..staging import generation, new_path, stage
@@ -232,8 +232,24 @@ def incremental_ingest(spark, d):
         row = (run, stats_["hits"], stats_["misses"], found["entries"], found["seq_sum"], found["ceid_sum"])
         one = spark.createDataFrame([row], "run long, hits long, misses long, entries long, seq_sum long, ceid_sum long")
         out = one if out is None else out.unionByName(one)
-    drop_superseded(spark, store)
-    return out
+    # The runs that no file is read from any more go; the rest reads as before.
+    gone = drop_superseded(spark, store)
+    found = stored_entries(spark, store).agg(F.count("*").alias("entries"), F.sum("seq_index").alias("seq_sum"), F.sum("ceid").alias("ceid_sum")).first()
+    last = spark.createDataFrame([(6, 0, len(gone), found["entries"], found["seq_sum"], found["ceid_sum"])], out.schema)
+    return out.unionByName(last)
+
+
+def stale_sources(spark, d):
+    """Files whose text may not be served any more: one is replaced, one is gone."""
+    folder = _write_logs(spark, d)
+    before = stage(file_manifest(spark, folder), "manifest")
+    edges = event_raw(spark, d).filter("dialect = 'MMI' AND block_no = 0").agg(F.min("source_file").alias("a"), F.max("source_file").alias("b")).first()
+    file, gone = (spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/block 0/{edges[c]}") for c in "ab")
+    system = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.create(file, True).close()
+    system.delete(gone, False)
+    stale = stale_files(before, file_manifest(spark, folder))
+    return stale.select(F.substring_index("source_path", "/", -1).alias("source_file"))
 
 
 def stream_ingest(spark, d):
@@ -716,9 +732,9 @@ def flow_terms(spark, d):
 
 
 def related_search(spark, d):
-    """Substrate ids that object events name, searched as keywords over all entries."""
+    """All values that entries name, searched as keywords over all entries."""
     rows = event_entries(spark, d)
-    found = related.related_candidates(rows).filter("label = 'Substrate ID'")
+    found = related.related_candidates(rows)
     hits = search.match_keyword_table(rows, found.select(F.col("value").alias("keyword")))
     return hits.groupBy("keyword").agg(F.count("*").alias("entries"))
 
@@ -821,7 +837,7 @@ def line_diff(spark, d):
 
 
 QUERIES = [
-    file_scan, incremental_ingest, stream_ingest, mixed_entries, header_exclusion, object_events_mixed, sxfy_catalogue_mixed,
+    file_scan, incremental_ingest, stale_sources, stream_ingest, mixed_entries, header_exclusion, object_events_mixed, sxfy_catalogue_mixed,
     sxfy_filter_mixed, top_sxfy_mixed, bookmark_store, csv_round_trip, level_file, context_all_alarms, time_windows_all_alarms,
     text_lines, file_line_counts, line_numbers, file_inventory, mmi_entries, secs_entries, conversation_entries,
     document_entries, dialects, dialects_strict, dialect_fallback, setup_dump_skip, setup_dump_flag, load_counters,
