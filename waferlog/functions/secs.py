@@ -1,7 +1,6 @@
 """SECS-II message bodies: event ids, and the item tree that indentation spells out.
 
-The tree is built inside the row with higher-order functions: a running stack of open items gives each item its
-ancestors, so no line is shuffled to learn its parent.
+One reader builds the tree of a message, in time that grows with its lines, over Arrow batches; no line is shuffled to learn its parent.
 """
 
 from __future__ import annotations
@@ -11,14 +10,10 @@ import re
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-# One match per line: the groups come out behind a control character that no matching line starts with.
-_MARK = "\x01"
-_ITEM = r"(?s)^(\s*)<([A-Z0-9]+)\s+\[(\d+)\](?:\s+(.*?))?\s*>.*$"
-_ITEM_PARTS = _MARK + _MARK.join(["$1", "$2", "$3", "$4"])
+_ITEM = re.compile(r"([ \t]*)<([A-Z0-9]+)\s+\[(\d+)\](?:\s+(.*?))?\s*>", re.A | re.S)
 _SECOND_NUMBER = r"(?s)<[A-Z0-9]+\s+\[\d+\]\s+\d+\s*>.*?<[A-Z0-9]+\s+\[\d+\]\s+(\d+)\s*>"
 _INLINE_CEID = r"(?iuU)\bCEID\s*=\s*(\d+)\b"
 
-_OPEN = "struct<line:int,indent:int,type:string,ord:int,kids:int>"
 _NODE = (
     "struct<line:int,indent:int,type:string,count:string,value:string,ord:int,"
     "up1:int,up1_type:string,up1_ord:int,up2:int,up2_type:string,up3:int>"
@@ -46,84 +41,43 @@ def message_ceid(message: Column) -> Column:
     return F.coalesce(inline_ceid(message), F.when(F.contains(message, F.lit("S6F11")), second_number(message)))
 
 
+def read_tree(message: str) -> list[dict]:
+    """The items of a message, in the order of their lines, each with its nearest ancestors; one pass with the path of open items."""
+    nodes: list[dict] = []
+    kids: list[int] = []
+    path: list[int] = []
+    for line, content in enumerate(message.split("\n")):
+        found = _ITEM.match(content)
+        if not found:
+            continue
+        indent = len(found[1])
+        while path and nodes[path[-1]]["indent"] >= indent:
+            path.pop()
+        up1, up2, up3 = ([nodes[i] for i in path[:-4:-1]] + [{}] * 3)[:3]
+        if path:
+            kids[path[-1]] += 1
+        nodes.append({
+            "line": line, "indent": indent, "type": found[2], "count": found[3], "value": found[4] or "", "ord": kids[path[-1]] if path else None,
+            "up1": up1.get("line"), "up1_type": up1.get("type"), "up1_ord": up1.get("ord"), "up2": up2.get("line"), "up2_type": up2.get("type"),
+            "up3": up3.get("line"),
+        })
+        path.append(len(nodes) - 1)
+        kids.append(0)
+    return nodes
+
+
 def item_nodes(message: Column) -> Column:
-    """All `<TYPE [n] value>` lines of a message with their place in the tree.
+    """All `<TYPE [n] value>` lines of a message with their place in the tree; NULL for a NULL message.
 
     `line` is the 0-based line, `ord` the 1-based position among its siblings, `up1..up3` the lines of the nearest
     ancestors (NULL at the top). An item's parent is the nearest earlier item with a smaller indent.
     """
-    parts = F.transform(
-        F.split(message, "\n"),
-        lambda text: F.when(
-            F.startswith(F.ltrim(text, F.lit(" \t")), F.lit("<")),
-            F.split(F.regexp_replace(text, _ITEM, _ITEM_PARTS), _MARK, 5),
-        ),
-    )
-    items = F.filter(
-        F.transform(
-            parts,
-            lambda p, i: F.when(
-                F.size(p) == 5,
-                F.struct(
-                    i.alias("line"),
-                    F.length(p[1]).alias("indent"),
-                    p[2].alias("type"),
-                    p[3].alias("count"),
-                    p[4].alias("value"),
-                ),
-            ),
-        ),
-        lambda item: item.isNotNull(),
-    )
 
-    def push(acc: Column, item: Column, open_items: Column) -> Column:
-        up1 = F.try_element_at(open_items, F.lit(-1))
-        up2 = F.try_element_at(open_items, F.lit(-2))
-        up3 = F.try_element_at(open_items, F.lit(-3))
-        ordinal = up1["kids"] + 1
-        node = F.struct(
-            item["line"].alias("line"),
-            item["indent"].alias("indent"),
-            item["type"].alias("type"),
-            item["count"].alias("count"),
-            item["value"].alias("value"),
-            ordinal.alias("ord"),
-            up1["line"].alias("up1"),
-            up1["type"].alias("up1_type"),
-            up1["ord"].alias("up1_ord"),
-            up2["line"].alias("up2"),
-            up2["type"].alias("up2_type"),
-            up3["line"].alias("up3"),
-        )
-        counted = F.struct(
-            up1["line"].alias("line"),
-            up1["indent"].alias("indent"),
-            up1["type"].alias("type"),
-            up1["ord"].alias("ord"),
-            ordinal.alias("kids"),
-        )
-        opened = F.struct(
-            item["line"].alias("line"),
-            item["indent"].alias("indent"),
-            item["type"].alias("type"),
-            ordinal.alias("ord"),
-            F.lit(0).alias("kids"),
-        )
-        depth = F.size(open_items)
-        below = F.when(
-            depth > 0, F.concat(F.slice(open_items, F.lit(1), depth - 1), F.array(counted, opened))
-        ).otherwise(F.array(opened))
-        return F.struct(below.alias("open"), F.concat(acc["done"], F.array(node)).alias("done"))
-
-    def step(acc: Column, item: Column) -> Column:
-        still_open = F.filter(acc["open"], lambda o: o["indent"] < item["indent"])
-        return bind(still_open, lambda open_items: push(acc, item, open_items))
-
-    start = F.struct(
-        F.array().cast(f"array<{_OPEN}>").alias("open"),
-        F.array().cast(f"array<{_NODE}>").alias("done"),
-    )
-    return F.aggregate(items, start, step, lambda acc: acc["done"])
+    @F.pandas_udf(f"array<{_NODE}>")
+    def nodes(messages: pd.Series) -> pd.Series:
+        return messages.map(lambda text: None if text is None else read_tree(text))
+
+    return nodes(message)
 
 
 def body_line(nodes: Column) -> Column:
@@ -164,43 +118,21 @@ def report_ids(nodes: Column, body: Column) -> Column:
 
 
 def message_rptids(message: Column) -> Column:
-    """Sorted distinct report ids of an S6F11 message; an empty array for any other message.
-
-    Every S6F11 of a load passes here. An Arrow batch function takes about a quarter of the time of the higher-order
-    functions above, which remain the way to get the whole tree.
-    """
-    ids = _rptid_function()(F.when(F.contains(message, F.lit("S6F11")), message))
-    return F.coalesce(ids, F.array().cast("array<bigint>"))
-
-
-def _rptid_function():
-    blank = r"[^\S\n]"
-    item = re.compile(rf"^({blank}*)<([A-Z0-9]+){blank}+\[\d+\](?:{blank}+(.*?))?{blank}*>", re.M)
+    """Sorted distinct report ids of an S6F11 message; an empty array for any other message, which isn't sent to Python."""
     number = re.compile(r"-?\d+")
 
-    def report_ids_of(text: str) -> list[int]:
-        # One record per item: is it a list, its value, its children.
-        items: list[tuple[bool, str, list[int]]] = []
-        path: list[tuple[int, int]] = []
-        for found in item.finditer(text):
-            indent = len(found[1])
-            while path and path[-1][0] >= indent:
-                path.pop()
-            if path:
-                items[path[-1][1]][2].append(len(items))
-            path.append((indent, len(items)))
-            items.append((found[2] == "L", found[3] or "", []))
-        body = next((kids for is_list, _, kids in items if is_list and len(kids) >= 3), None)
-        ids = set()
-        for at in items[body[2]][2] if body else ():
-            is_list, _, kids = items[at]
-            digits = number.search(items[kids[0]][1]) if is_list and len(kids) >= 2 else None
-            if digits and -(2**63) <= int(digits[0]) < 2**63:
-                ids.add(int(digits[0]))
-        return sorted(ids)
+    def ids_of(text: str) -> list[int]:
+        nodes = read_tree(text)
+        body = min((n["up1"] for n in nodes if n["ord"] == 3 and n["up1_type"] == "L"), default=None)
+        listing = next((n["line"] for n in nodes if n["ord"] == 3 and n["up1"] == body), None)
+        listed = [n for n in nodes if n["up1_type"] == "L" and n["up2"] == listing and listing is not None]
+        complete = {n["up1"] for n in listed if n["ord"] == 2}
+        found = (number.search(n["value"]) for n in listed if n["ord"] == 1 and n["up1"] in complete)
+        return sorted({int(f[0]) for f in found if f and -(2**63) <= int(f[0]) < 2**63})
 
     @F.pandas_udf("array<bigint>")
     def rptids(messages: pd.Series) -> pd.Series:
-        return messages.map(lambda text: None if text is None else report_ids_of(text))
+        return messages.map(lambda text: None if text is None else ids_of(text))
 
-    return rptids
+    ids = rptids(F.when(F.contains(message, F.lit("S6F11")), message))
+    return F.coalesce(ids, F.array().cast("array<bigint>"))
