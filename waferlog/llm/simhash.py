@@ -85,11 +85,11 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def table_key(fp: Column, mask: int, refs: list[int]) -> Column:
+def table_key(fp: Column, mask: Column, refs: list[int]) -> Column:
     """The distances to the references within the mask, six bits each; equal for fingerprints that agree in the mask."""
     key = F.lit(0).cast("long")
     for ref in refs:
-        near = F.bit_count(fp.bitwiseXOR(F.lit(ref)).bitwiseAND(F.lit(_signed(mask)))).cast("long")
+        near = F.bit_count(fp.bitwiseXOR(F.lit(ref)).bitwiseAND(mask)).cast("long")
         key = F.shiftleft(key, 6).bitwiseOR(near)
     return key
 
@@ -148,8 +148,9 @@ def near_links(distinct: DataFrame, n_fingerprints: int, max_bits: int = MAX_BIT
     """
     pivots = np.array(references(PIVOTS, 11), dtype="int64")
     refs = references(KEY_PIVOTS, 7)
-    keys = F.array(*[F.struct(F.lit(t).alias("t"), table_key(F.col("fp"), m, refs).alias("k")) for t, m in enumerate(block_sets(n_fingerprints, max_bits))])
-    met = blocks(distinct.select("fp", F.inline(keys)), ["t", "k"], "fp")
+    masks = F.array(*[F.lit(_signed(m)) for m in block_sets(n_fingerprints, max_bits)])
+    spread = distinct.select("fp", F.explode(masks).alias("t"))
+    met = blocks(spread.withColumn("k", table_key(F.col("fp"), F.col("t"), refs)), ["t", "k"], "fp")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, starts in whole_groups(batches):
