@@ -38,7 +38,7 @@ def test_like_all_pairs(spark, monkeypatch, chunk):
     rows += [(len(rows), None, 1), (len(rows) + 1, [0.0] * 32, 1), (len(rows) + 2, [float("nan")] * 32, 1), (len(rows) + 3, [], 1), (len(rows) + 4, hot.tolist(), None)]
     rows += [(len(rows), [None] + [1.0] * 31, 1), (len(rows) + 1, [float("inf")] + [1.0] * 31, 0), (len(rows) + 2, [1.0, 2.0], 1), (len(rows) + 3, [2.0, 4.0], 1), (None, [1.0, 2.0], 1), (5, rows[5][1], rows[5][2])]
     monkeypatch.setattr(neighbours.blocks, "__defaults__", (chunk,))
-    monkeypatch.setattr(embeddings, "CHUNK_ROWS", chunk)
+    monkeypatch.setattr(embeddings, "CELL_ROWS", chunk // 8)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     got = embeddings.embedding_groups(df).collect()
     assert sorted((-1 if r["vec_id"] is None else r["vec_id"], r["n_links"], -1 if r["component_id"] is None else r["component_id"]) for r in got) == expected(rows)
@@ -55,5 +55,31 @@ def test_empty_and_clashing_columns(spark):
 def test_window_recalls_the_limit_pair():
     rng = np.random.default_rng(0)
     width = embeddings.window_width()
-    differences = rng.standard_normal((20_000, embeddings.PROJECTIONS * embeddings.GROUPS)) * math.sqrt(2 - 2 * embeddings.COSINE)
-    assert ((np.abs(differences) > width).sum(axis=1) < embeddings.GROUPS).mean() > 0.999
+    differences = rng.standard_normal((20_000, embeddings.PROJECTIONS)) * math.sqrt(2 - 2 * embeddings.COSINE)
+    assert ((np.abs(differences) > width).sum(axis=1) <= embeddings.MISSES).mean() > 0.999
+
+
+def test_counting_finds_each_pair_once():
+    rng = np.random.default_rng(1)
+    table = np.repeat(rng.standard_normal((40, embeddings.PROJECTIONS)), 3, axis=0) + rng.standard_normal((120, embeddings.PROJECTIONS)) * 0.3
+    width = 0.8
+    misses = (np.abs(table[:, None] - table[None]) > width).sum(axis=2)
+    earlier = np.stack([np.arange(120), np.arange(120) // 2], axis=1)
+    for one, two in ((np.arange(120), None), (np.arange(50), np.arange(50, 120))):
+        got = [tuple(sorted(p)) for a, b in embeddings.counted(table, one, two, width, earlier) for p in zip(a.tolist(), b.tolist())]
+        want = {(i, j) for i in range(120) for j in range(i + 1, 120) if misses[i, j] <= embeddings.MISSES and i // 2 != j // 2 and (two is None or i < 50 <= j)}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_cells_hold_near_pairs_together():
+    """The measured share of limit pairs that meet in some table, for a small and a large label."""
+    rng = np.random.default_rng(2)
+    x = embeddings.unit(rng.standard_normal((3000, 64)))
+    side = rng.standard_normal((3000, 64))
+    side = embeddings.unit(side - (side * x).sum(axis=1, keepdims=True) * x)
+    y = embeddings.COSINE * x + math.sqrt(1 - embeddings.COSINE**2) * side
+    for largest in (1000, 10_000_000):
+        depth, tables = embeddings.cell_tables(largest)
+        a, b = embeddings.cells_of(x, depth, tables), embeddings.cells_of(y, depth, tables)
+        assert (a == b).any(axis=1).mean() > 0.99
+        assert (a[:1500, 0] == a[1500:, 0]).mean() < 1.5 * embeddings.CELL_ROWS / largest + 0.002

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, comb, erf, log, sqrt
+from math import ceil, comb, erf, exp, log, pi, sqrt
 
 import numpy as np
 import pandas as pd
@@ -11,21 +11,25 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..staging import stage
 from .common import ROW, packed, unpacked
-from .neighbours import BLOCK, CHUNK_ROWS, blocks, components, forest, whole_groups
+from .neighbours import BLOCK, blocks, components, forest, whole_groups
 
 COSINE = 0.93
-#: Projections per group and groups; a near pair may miss the window in fewer projections than there are groups.
-PROJECTIONS = 8
-GROUPS = 6
-#: Share of the pairs exactly at the cosine that the window and the count must pass; closer pairs pass more often.
+#: Projections whose collisions are counted, and in how many of them a near pair may miss the window.
+PROJECTIONS = 48
+MISSES = 5
+#: Share of the pairs exactly at the cosine that the count must pass, and that must share a cell; closer pairs do more often.
 RECALL = 0.9999
+#: Width of a cell along a projection of unit vectors on a standard normal direction (deviation 1).
+CELL_WIDTH = 2.5
+#: Unrelated vectors that a cell should hold on average in the largest label.
+CELL_ROWS = 128
 #: Candidate pairs held at once.
 HELD = 1 << 20
 
 OUTPUTS = ["n_links", "component_id", "kept"]
 
 
-def window_width(cosine: float = COSINE, projections: int = PROJECTIONS * GROUPS, misses: int = GROUPS - 1, recall: float = RECALL) -> float:
+def window_width(cosine: float = COSINE, projections: int = PROJECTIONS, misses: int = MISSES, recall: float = RECALL) -> float:
     """The smallest half width of a window with which a pair of unit vectors at this cosine collides in all but `misses` projections
     with the wanted probability. A projection on a standard normal direction differs by a normal number of deviation |x - y|."""
     deviation = sqrt(2 - 2 * cosine)
@@ -37,8 +41,22 @@ def window_width(cosine: float = COSINE, projections: int = PROJECTIONS * GROUPS
             return width
 
 
-def directions(dimensions: int, seed: int = 3) -> np.ndarray:
-    return np.random.default_rng([seed, dimensions]).standard_normal((dimensions, PROJECTIONS * GROUPS))
+def same_cell(cosine: float, width: float = CELL_WIDTH) -> float:
+    """Probability that two unit vectors at this cosine share the cell of one projection, for a random offset of the cells."""
+    distance = sqrt(2 - 2 * cosine)
+    ratio = width / distance
+    return erf(ratio / sqrt(2)) - sqrt(2 / pi) / ratio * (1 - exp(-ratio * ratio / 2))
+
+
+def cell_tables(largest: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[int, int]:
+    """Projections per cell and number of tables: cells of unrelated vectors stay small however large a label is, and a pair at the cosine
+    shares a cell in some table with the wanted probability."""
+    depth = max(1, ceil(log(max(1.0, largest / CELL_ROWS)) / -log(same_cell(0.0))))
+    return depth, ceil(log(1 - recall) / log(1 - same_cell(cosine) ** depth))
+
+
+def directions(dimensions: int, number: int, seed: int) -> np.ndarray:
+    return np.random.default_rng([seed, dimensions]).standard_normal((dimensions, number))
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -47,117 +65,109 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
-def colliding(table: np.ndarray, group: int, one: np.ndarray, two: np.ndarray | None, width: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows that are in each other's window in all the group's projections, a bounded number at a time.
+def cells_of(units: np.ndarray, depth: int, tables: int) -> np.ndarray:
+    """A number per row and table: a mix of the cells that the table's projections, shifted by random offsets, fall into."""
+    offsets = np.random.default_rng([6, units.shape[1]]).uniform(0, CELL_WIDTH, depth * tables)
+    places = np.floor((units @ directions(units.shape[1], depth * tables, 4) + offsets) / CELL_WIDTH).astype("int64").view("uint64")
+    mixed = np.full((len(units), tables), np.uint64(0x243F6A8885A308D3))
+    for level in range(depth):
+        mixed = (mixed ^ places[:, level::depth]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return mixed.view("int64")
+
+
+def counted(table: np.ndarray, one: np.ndarray, two: np.ndarray | None, width: float, earlier: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that are in each other's window in all but `MISSES` projections, a bounded number at a time.
 
-    One projection is sorted; each query's window there is a range of places, and pairs from it are counted in the others. `two` are the rows
-    to search for those of `one`; None searches `one` itself, each pair once.
+    One projection is sorted; each query's window there is a range of places, and the collisions of the pairs from it are counted over
+    the other projections, until a pair has missed too often. `two` are the rows to search for those of `one`; None searches `one`
+    itself, each pair once. A pair that misses its window in the sorted projection is found by the window of the next one: the projections
+    are sorted in turn, one more than a pair may miss, and each pair is taken from the first in which it collides. Pairs that share a
+    number in a column of `earlier` are left out, before anything is counted.
     """
-    columns = range(group * PROJECTIONS, (group + 1) * PROJECTIONS)
-    main = max(columns, key=lambda c: np.std(table[one, c]))
-    searched = one if two is None else two
-    searched = searched[np.argsort(table[searched, main], kind="stable")]
-    values = table[searched, main]
-    queries = searched if two is None else one
-    places = np.arange(len(queries))
-    low = places + 1 if two is None else np.searchsorted(values, table[queries, main] - width, "left")
-    counts = np.maximum(0, np.searchsorted(values, table[queries, main] + width, "right") - low)
-    total = np.concatenate([[0], np.cumsum(counts)])
-    start = 0
-    while start < len(queries):
-        stop = max(start + 1, int(np.searchsorted(total, total[start] + HELD, "right")) - 1)
-        n = counts[start:stop]
-        a = np.repeat(queries[start:stop], n)
-        b = searched[np.repeat(low[start:stop], n) + np.arange(n.sum()) - np.repeat(total[start:stop] - total[start], n)]
-        for c in columns:
-            if c != main:
-                near = np.abs(table[a, c] - table[b, c]) <= width
-                a, b = a[near], b[near]
-        if len(a):
-            yield a, b
-        start = stop
-
-
-def block_links(vectors: np.ndarray, cells: np.ndarray, group: int, splits: int, one: np.ndarray, two: np.ndarray | None, width: float, step: float, cosine: float):
-    """Verified pairs of a block that no other block reports."""
-    table = unit(vectors) @ directions(vectors.shape[1])
-    units = unit(vectors)
-    home = np.floor(table[:, group * PROJECTIONS : group * PROJECTIONS + splits] / step).astype("int64")
-    for a, b in colliding(table, group, one, two, width):
-        # the cell in which the pair's smaller values lie is the one that reports it
-        own = (np.minimum(home[a], home[b]) == cells[a]).all(axis=1)
-        a, b = a[own], b[own]
-        hits = np.abs(table[a] - table[b]) <= width
-        enough = hits.sum(axis=1) > PROJECTIONS * GROUPS - GROUPS
-        earlier = np.zeros(len(a), dtype=bool)
-        for g in range(group):
-            earlier |= hits[:, g * PROJECTIONS : (g + 1) * PROJECTIONS].all(axis=1)
-        a, b = a[enough & ~earlier], b[enough & ~earlier]
-        close = np.einsum("ij,ij->i", units[a], units[b]) >= cosine
-        yield a[close], b[close]
+    for main in range(MISSES + 1):
+        searched = one if two is None else two
+        searched = searched[np.argsort(table[searched, main], kind="stable")]
+        values = table[searched, main]
+        queries = searched if two is None else one
+        low = np.arange(len(queries)) + 1 if two is None else np.searchsorted(values, table[queries, main] - width, "left")
+        counts = np.maximum(0, np.searchsorted(values, table[queries, main] + width, "right") - low)
+        total = np.concatenate([[0], np.cumsum(counts)])
+        start = 0
+        while start < len(queries):
+            stop = max(start + 1, int(np.searchsorted(total, total[start] + HELD, "right")) - 1)
+            n = counts[start:stop]
+            a = np.repeat(queries[start:stop], n)
+            b = searched[np.repeat(low[start:stop], n) + np.arange(n.sum()) - np.repeat(total[start:stop] - total[start], n)]
+            for c in range(main):
+                new = np.abs(table[a, c] - table[b, c]) > width
+                a, b = a[new], b[new]
+            for c in range(earlier.shape[1]):
+                new = earlier[a, c] != earlier[b, c]
+                a, b = a[new], b[new]
+            missed = np.full(len(a), main, dtype="int8")
+            for c in range(main + 1, PROJECTIONS):
+                missed += np.abs(table[a, c] - table[b, c]) > width
+                stay = missed <= MISSES
+                a, b, missed = a[stay], b[stay], missed[stay]
+            if len(a):
+                yield a, b
+            start = stop
 
 
 def collision_links(reps: DataFrame, largest: int, cosine: float = COSINE) -> DataFrame:
     """For distinct vectors (`node`, `label`, `v`, `copies`): rows (`u`, `v`) of a spanning forest of the links, and rows (`u`, `n`) of
     partial sums of the copies that a vector is linked with.
 
-    All projections are cut into groups. A pair that misses its window in fewer projections than there are groups collides in all projections
-    of some group, so counting may start from pairs that do: these share the label and, in that group, a cell of the first
-    projections, into which a vector is put for each cell its window reaches down to. The larger the labels, the more projections make the
-    cells; a crowded cell is cut into chunks whose pairs are blocks. Each pair is reported once: in its first such group, in the
-    cell of its smaller values.
+    Counting every collision of every pair would be quadratic, so pairs are counted where they share a cell: each of some tables cuts the
+    space by several projections, and vectors of a label meet in each table's cells. Labels of any size keep small cells of unrelated
+    vectors: depth and number of tables follow the largest label. A crowded cell, as of many near copies, is cut into chunks whose pairs
+    are blocks. In a block, pairs that pass the count are verified by their cosine; a pair counts in the first table in which it meets.
     """
     width = window_width(cosine)
-    step = 2 * width
-    # a cell of one projection and its visitors hold about half the rows
-    splits = min(PROJECTIONS, max(1, ceil(log(max(1.0, largest / (2 * CHUNK_ROWS))) / log(2))))
+    depth, tables = cell_tables(largest, cosine)
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for size, rows in batch.groupby(batch["v"].map(len)).indices.items():
-                table = unit(np.stack(batch["v"].to_numpy()[rows]).astype("float64")) @ directions(size)
-                for g in range(GROUPS):
-                    first = table[:, g * PROJECTIONS : g * PROJECTIONS + splits]
-                    high, low = np.floor(first / step).astype("int64"), np.floor((first - width) / step).astype("int64")
-                    for choice in range(1 << splits):
-                        bits = np.array([choice >> d & 1 for d in range(splits)], dtype=bool)
-                        new = ((high != low) | ~bits).all(axis=1)
-                        if new.any():
-                            yield batch.iloc[rows[new]].assign(g=np.int32(g), cell=list(np.where(bits, low, high)[new]))
+            for _, rows in batch.groupby(batch["v"].map(len)).indices.items():
+                mine = batch.iloc[rows]
+                numbers = cells_of(unit(np.stack(mine["v"].to_numpy()).astype("float64")), depth, tables)
+                for t in range(tables):
+                    yield mine.assign(t=np.int32(t), cell=numbers[:, t])
 
     given = reps.select("node", "label", "copies", "v")
-    kind = T.StructType([*given.schema.fields]).add("g", T.IntegerType()).add("cell", T.ArrayType(T.LongType()))
+    kind = T.StructType([*given.schema.fields]).add("t", T.IntegerType()).add("cell", T.LongType())
     placed = given.mapInPandas(cells, kind)
-    met = blocks(placed, ["label", "g", "cell", F.size("v")], "node")
+    met = blocks(placed, ["label", "t", "cell", F.size("v")], "node")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, starts in whole_groups(batches):
-            nodes, copies, chunk = rows["node"].to_numpy(), rows["copies"].to_numpy(), rows["__c"].to_numpy()
             for start, stop in zip(starts, starts[1:]):
                 if stop - start < 2:
                     continue
-                vectors = np.stack(rows["v"].to_numpy()[start:stop]).astype("float64")
-                cell = np.stack(rows["cell"].to_numpy()[start:stop])
-                i, j = rows["__i"].iat[start], rows["__j"].iat[start]
-                own = chunk[start:stop]
+                block = rows.iloc[start:stop]
+                own, i, j = block["__c"].to_numpy(), block["__i"].iat[0], block["__j"].iat[0]
                 one, two = (np.arange(stop - start), None) if i == j else (np.flatnonzero(own == i), np.flatnonzero(own == j))
                 if two is not None and not (len(one) and len(two)):
                     continue
-                n = np.zeros(stop - start, dtype="int64")
-                left, right = [], []
-                for a, b in block_links(vectors, cell, int(rows["g"].iat[start]), splits, one, two, width, step, cosine):
-                    np.add.at(n, a, copies[start:stop][b])
-                    np.add.at(n, b, copies[start:stop][a])
-                    u, v = forest(nodes[start:stop][a], nodes[start:stop][b])
-                    left.append(u)
-                    right.append(v)
+                nodes, copies, t = block["node"].to_numpy(), block["copies"].to_numpy(), int(block["t"].iat[0])
+                units = unit(np.stack(block["v"].to_numpy()).astype("float64"))
+                earlier = cells_of(units, depth, tables)[:, :t]
+                n = np.zeros(len(block), dtype="int64")
+                links = [(np.zeros(0, "int64"), np.zeros(0, "int64"))]
+                for a, b in counted(units @ directions(units.shape[1], PROJECTIONS, 3), one, two, width, earlier):
+                    close = np.einsum("ij,ij->i", units[a], units[b]) >= cosine
+                    a, b = a[close], b[close]
+                    np.add.at(n, a, copies[b])
+                    np.add.at(n, b, copies[a])
+                    links.append(forest(nodes[a], nodes[b]))
                 linked = np.flatnonzero(n)
                 if len(linked):
-                    u, v = forest(np.concatenate(left), np.concatenate(right))
+                    u, v = forest(*map(np.concatenate, zip(*links)))
                     yield pd.DataFrame({"u": u, "v": v, "n": 0})
-                    yield pd.DataFrame({"u": nodes[start:stop][linked], "v": nodes[start:stop][linked], "n": n[linked]})
+                    yield pd.DataFrame({"u": nodes[linked], "v": nodes[linked], "n": n[linked]})
 
-    return met.select("node", "copies", "v", "g", "cell", "__c", *BLOCK).mapInPandas(run, "u long, v long, n long")
+    return met.select("node", "copies", "v", "t", "__c", *BLOCK).mapInPandas(run, "u long, v long, n long")
 
 
 def embedding_groups(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE, carry: list[str] | None = None) -> DataFrame:
