@@ -63,12 +63,16 @@ def test_counting_finds_each_pair_once():
     rng = np.random.default_rng(1)
     table = np.repeat(rng.standard_normal((40, embeddings.PROJECTIONS)), 3, axis=0) + rng.standard_normal((120, embeddings.PROJECTIONS)) * 0.3
     width = 0.8
-    misses = (np.abs(table[:, None] - table[None]) > width).sum(axis=2)
-    earlier = np.stack([np.arange(120), np.arange(120) // 2], axis=1)
+    cells = np.stack([np.arange(120), np.arange(120) // 2, np.zeros(120)], axis=1)
+    counter = embeddings.Counter(table, width, cells, np.full(120, 2))
+    apart = np.abs(table[:, None] - table[None])
+    misses = (apart[:, :, 1:] > width).sum(axis=2) + 100 * (apart[:, :, 0] > embeddings.SURE * width)
+    passing = {(i, j) for i in range(120) for j in range(i + 1, 120) if misses[i, j] <= embeddings.MISSES and i // 2 != j // 2}
     for one, two in ((np.arange(120), None), (np.arange(50), np.arange(50, 120))):
-        got = [tuple(sorted(p)) for a, b in embeddings.counted(table, one, two, width, earlier) for p in zip(a.tolist(), b.tolist())]
-        want = {(i, j) for i in range(120) for j in range(i + 1, 120) if misses[i, j] <= embeddings.MISSES and i // 2 != j // 2 and (two is None or i < 50 <= j)}
-        assert len(got) == len(set(got)) and set(got) == want
+        got = [tuple(sorted(p)) for a, b in counter.windows(one, two) for p in zip(a.tolist(), b.tolist())]
+        assert len(got) == len(set(got)) and set(got) == {(i, j) for i, j in passing if two is None or i < 50 <= j}
+    a, b = np.triu_indices(120, 1)
+    assert set(zip(*(x.tolist() for x in counter.passing(a, b)))) == passing
 
 
 def test_cells_hold_near_pairs_together():

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..staging import stage
 from .common import ROW, packed, unpacked
-from .neighbours import BLOCK, blocks, components, forest, whole_groups
+from .neighbours import BLOCK, blocks, components, edges, forest, long_groups, short_pairs, whole_groups
 
 COSINE = 0.93
 #: Projections whose collisions are counted, and in how many of them a near pair may miss the window.
@@ -23,21 +23,23 @@ RECALL = 0.9999
 CELL_WIDTH = 2.5
 #: Unrelated vectors that a cell should hold on average in the largest label.
 CELL_ROWS = 128
-#: Candidate pairs held at once.
-HELD = 1 << 20
+#: Times the window's width within which the sorted projection holds every near pair; projections counted for whole ranges; queries at a time.
+SURE = 2
+WHOLE = 24
+QUERIES = 256
 
 OUTPUTS = ["n_links", "component_id", "kept"]
 
 
 def window_width(cosine: float = COSINE, projections: int = PROJECTIONS, misses: int = MISSES, recall: float = RECALL) -> float:
-    """The smallest half width of a window with which a pair of unit vectors at this cosine collides in all but `misses` projections
-    with the wanted probability. A projection on a standard normal direction differs by a normal number of deviation |x - y|."""
+    """The smallest half width of a window with which a pair of unit vectors at this cosine collides in all but `misses` projections,
+    the sorted one aside, with the wanted probability. A projection on a standard normal direction differs by a normal number of deviation |x - y|."""
     deviation = sqrt(2 - 2 * cosine)
     width = 0.0
     while True:
         width += deviation / 100
         miss = 1 - erf(width / deviation / sqrt(2))
-        if sum(comb(projections, i) * miss**i * (1 - miss) ** (projections - i) for i in range(misses + 1)) >= recall:
+        if sum(comb(projections - 1, i) * miss**i * (1 - miss) ** (projections - 1 - i) for i in range(misses + 1)) >= recall:
             return width
 
 
@@ -76,43 +78,52 @@ def cells_of(units: np.ndarray, depth: int, tables: int) -> np.ndarray:
     return mixed.view("int64")
 
 
-def counted(table: np.ndarray, one: np.ndarray, two: np.ndarray | None, width: float, earlier: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows that are in each other's window in all but `MISSES` projections, a bounded number at a time.
+class Counter:
+    """Counts collisions of the rows of a batch: the columns of `table` are projections.
 
-    One projection is sorted; each query's window there is a range of places, and the collisions of the pairs from it are counted over
-    the other projections, until a pair has missed too often. `two` are the rows to search for those of `one`; None searches `one`
-    itself, each pair once. A pair that misses its window in the sorted projection is found by the window of the next one: the projections
-    are sorted in turn, one more than a pair may miss, and each pair is taken from the first in which it collides. Pairs that share a
-    number in a column of `earlier` are left out, before anything is counted.
+    A pair passes if it is within `SURE` windows in the first projection and within one window in all but `MISSES` of the others. Pairs
+    that share an earlier table's cell (`cells`, of which row r has `earlier[r]`) have met before and are left out.
     """
-    for main in range(MISSES + 1):
+
+    def __init__(self, table: np.ndarray, width: float, cells: np.ndarray, earlier: np.ndarray):
+        self.columns, self.width, self.cells, self.earlier = np.ascontiguousarray(table.T), width, cells, earlier
+
+    def passing(self, a: np.ndarray, b: np.ndarray, missed: np.ndarray | None = None, first: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """The given pairs that pass; `missed` says how often they missed before the projection `first`."""
+        if missed is None:
+            near = np.abs(self.columns[0][a] - self.columns[0][b]) <= SURE * self.width
+            a, b = a[near], b[near]
+            missed = np.zeros(len(a), dtype="int8")
+        for c in range(int(self.earlier[a].max()) if len(a) else 0):
+            new = (self.cells[a, c] != self.cells[b, c]) | (self.earlier[a] <= c)
+            a, b, missed = a[new], b[new], missed[new]
+        for c in range(first, PROJECTIONS):
+            missed += np.abs(self.columns[c][a] - self.columns[c][b]) > self.width
+            stay = missed <= MISSES
+            a, b, missed = a[stay], b[stay], missed[stay]
+        return a, b
+
+    def windows(self, one: np.ndarray, two: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Passing pairs of a large group, some queries at a time: rows are sorted by the first projection, where a query's window is a
+        range of places; collisions are counted for ranges as a whole at first, then for the pairs that can still pass. `two` are
+        the rows to search for those of `one`; None searches `one` itself, each pair once."""
+        main, reach = self.columns[0], SURE * self.width
         searched = one if two is None else two
-        searched = searched[np.argsort(table[searched, main], kind="stable")]
-        values = table[searched, main]
-        queries = searched if two is None else one
-        low = np.arange(len(queries)) + 1 if two is None else np.searchsorted(values, table[queries, main] - width, "left")
-        counts = np.maximum(0, np.searchsorted(values, table[queries, main] + width, "right") - low)
-        total = np.concatenate([[0], np.cumsum(counts)])
-        start = 0
-        while start < len(queries):
-            stop = max(start + 1, int(np.searchsorted(total, total[start] + HELD, "right")) - 1)
-            n = counts[start:stop]
-            a = np.repeat(queries[start:stop], n)
-            b = searched[np.repeat(low[start:stop], n) + np.arange(n.sum()) - np.repeat(total[start:stop] - total[start], n)]
-            for c in range(main):
-                new = np.abs(table[a, c] - table[b, c]) > width
-                a, b = a[new], b[new]
-            for c in range(earlier.shape[1]):
-                new = earlier[a, c] != earlier[b, c]
-                a, b = a[new], b[new]
-            missed = np.full(len(a), main, dtype="int8")
-            for c in range(main + 1, PROJECTIONS):
-                missed += np.abs(table[a, c] - table[b, c]) > width
-                stay = missed <= MISSES
-                a, b, missed = a[stay], b[stay], missed[stay]
-            if len(a):
-                yield a, b
-            start = stop
+        searched = searched[np.argsort(main[searched], kind="stable")]
+        queries = searched if two is None else one[np.argsort(main[one], kind="stable")]
+        values = main[searched]
+        for start in range(0, len(queries), QUERIES):
+            asked = queries[start : start + QUERIES]
+            low = start + 1 if two is None else np.searchsorted(values, main[asked[0]] - reach, "left")
+            candidates = searched[low : np.searchsorted(values, main[asked[-1]] + reach, "right")]
+            missed = (np.abs(main[asked][:, None] - main[candidates][None, :]) > reach).astype("int8") * np.int8(MISSES + 1)
+            for c in range(1, WHOLE):
+                missed += np.abs(self.columns[c][asked][:, None] - self.columns[c][candidates][None, :]) > self.width
+            i, j = np.nonzero(missed <= MISSES)
+            if two is None:
+                later = low + j > start + i
+                i, j = i[later], j[later]
+            yield self.passing(asked[i], candidates[j], missed[i, j], WHOLE)
 
 
 def collision_links(reps: DataFrame, largest: int, cosine: float = COSINE) -> DataFrame:
@@ -141,26 +152,29 @@ def collision_links(reps: DataFrame, largest: int, cosine: float = COSINE) -> Da
     met = blocks(placed, ["label", "t", "cell", F.size("v")], "node")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, starts in whole_groups(batches):
-            for start, stop in zip(starts, starts[1:]):
-                if stop - start < 2:
-                    continue
-                block = rows.iloc[start:stop]
-                own, i, j = block["__c"].to_numpy(), block["__i"].iat[0], block["__j"].iat[0]
-                one, two = (np.arange(stop - start), None) if i == j else (np.flatnonzero(own == i), np.flatnonzero(own == j))
-                if two is not None and not (len(one) and len(two)):
-                    continue
-                nodes, copies, t = block["node"].to_numpy(), block["copies"].to_numpy(), int(block["t"].iat[0])
-                units = unit(np.stack(block["v"].to_numpy()).astype("float64"))
-                earlier = cells_of(units, depth, tables)[:, :t]
-                n = np.zeros(len(block), dtype="int64")
+        for every, _ in whole_groups(batches):
+            for _, places in every.groupby(every["v"].map(len)).indices.items():
+                rows = every.iloc[places].reset_index(drop=True)
+                starts = edges(rows, BLOCK)
+                nodes, copies = rows["node"].to_numpy(), rows["copies"].to_numpy()
+                chunk = [rows[c].to_numpy() for c in ("__c", "__i", "__j")]
+                units = unit(np.stack(rows["v"].to_numpy()).astype("float64"))
+                counter = Counter(units @ directions(units.shape[1], PROJECTIONS, 3), width, cells_of(units, depth, tables), rows["t"].to_numpy())
+                n = np.zeros(len(rows), dtype="int64")
                 links = [(np.zeros(0, "int64"), np.zeros(0, "int64"))]
-                for a, b in counted(units @ directions(units.shape[1], PROJECTIONS, 3), one, two, width, earlier):
+
+                def keep(a: np.ndarray, b: np.ndarray) -> None:
                     close = np.einsum("ij,ij->i", units[a], units[b]) >= cosine
                     a, b = a[close], b[close]
                     np.add.at(n, a, copies[b])
                     np.add.at(n, b, copies[a])
                     links.append(forest(nodes[a], nodes[b]))
+
+                for a, b in short_pairs(starts, *chunk):
+                    keep(*counter.passing(a, b))
+                for one, two in long_groups(starts, *chunk):
+                    for a, b in counter.windows(one, two):
+                        keep(a, b)
                 linked = np.flatnonzero(n)
                 if len(linked):
                     u, v = forest(*map(np.concatenate, zip(*links)))

@@ -13,6 +13,8 @@ from ..staging import stage
 #: Most rows on average on one side of a block; a key with more rows is cut into chunks, and every two chunks meet in a block.
 CHUNK_ROWS = 1024
 BLOCK = ["__key", "__i", "__j"]
+#: Groups up to this length are compared many at a time.
+SHORT_RUN = 24
 
 
 def blocks(rows: DataFrame, keys: Sequence[str], node: str, chunk: int = CHUNK_ROWS) -> DataFrame:
@@ -59,6 +61,33 @@ def edges(rows: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:
     return np.concatenate([[0], change, [len(rows)]])
 
 
+def short_pairs(starts: np.ndarray, own: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places in the groups of at most `SHORT_RUN` rows, all groups at once, by the distance of the places. In a block of two
+    chunks only rows of different chunks meet."""
+    lengths = np.diff(starts)
+    group = np.repeat(np.arange(len(lengths)), lengths)
+    places = np.flatnonzero(np.repeat(lengths <= SHORT_RUN, lengths))
+    for shift in range(1, SHORT_RUN):
+        a, b = places[: max(0, len(places) - shift)], places[shift:]
+        same = group[a] == group[b]
+        if not same.any():
+            return
+        a, b = a[same], b[same]
+        met = (i[a] == j[a]) | (own[a] != own[b])
+        yield a[met], b[met]
+
+
+def long_groups(starts: np.ndarray, own: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """The places of the other groups: all rows of a block of one chunk and None, or those of its two chunks."""
+    for start, stop in zip(starts, starts[1:]):
+        if stop - start > SHORT_RUN:
+            rows = np.arange(start, stop)
+            if i[start] == j[start]:
+                yield rows, None
+            elif len(one := rows[own[rows] == i[start]]) and len(two := rows[own[rows] == j[start]]):
+                yield one, two
+
+
 def forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links that join the same values as all the given ones: each value with the smallest it can reach."""
     nodes, places = np.unique(np.concatenate([left, right]), return_inverse=True)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..staging import stage
 from .common import ROW, packed, unpacked
-from .neighbours import BLOCK, blocks, components, forest, whole_groups
+from .neighbours import BLOCK, blocks, components, forest, long_groups, short_pairs, whole_groups
 
 SHINGLE_WORDS = 4
 HASH_SEED = 42
@@ -24,8 +24,6 @@ PIVOTS = 24
 KEY_PIVOTS = 10
 #: Fingerprints that a key should hold on average when they spread evenly.
 KEY_ROWS = 16
-#: Runs up to this length are compared by shifting the whole batch, longer ones as matrices.
-SHORT_RUN = 24
 #: Shingles whose bits are counted at once.
 COUNTED = 1 << 16
 
@@ -98,7 +96,6 @@ def near_pairs(fps: np.ndarray, pivots: np.ndarray, starts: np.ndarray, chunk: n
     """Places of rows of the same block that are within `max_bits`. A block of one chunk compares all its rows, one of two its chunks."""
     fps = fps.view("uint64")
     tables = np.bitwise_count(fps[:, None] ^ pivots.view("uint64")[None, :]).astype("int8")
-    lengths = np.diff(starts)
     left, right = [], []
 
     def verify(a: np.ndarray, b: np.ndarray) -> None:
@@ -111,26 +108,11 @@ def near_pairs(fps: np.ndarray, pivots: np.ndarray, starts: np.ndarray, chunk: n
         left.append(a[close])
         right.append(b[close])
 
-    block = np.repeat(np.arange(len(lengths)), lengths)
-    short = np.repeat(lengths <= SHORT_RUN, lengths)
-    places = np.flatnonzero(short)
-    for shift in range(1, min(SHORT_RUN, len(fps))):
-        a = places[: len(places) - shift]
-        b = places[shift:]
-        same = block[a] == block[b]
-        if not same.any():
-            break
-        a, b = a[same], b[same]
-        other = (i[a] == j[a]) | (chunk[a] != chunk[b])
-        verify(a[other], b[other])
-    for start, length in zip(starts[:-1][lengths > SHORT_RUN], lengths[lengths > SHORT_RUN]):
-        rows = np.arange(start, start + length)
-        one, two = (rows, rows) if i[start] == j[start] else (rows[chunk[rows] == i[start]], rows[chunk[rows] == j[start]])
-        if not len(one) or not len(two):
-            continue
-        stay = np.ones((len(one), len(two)), dtype=bool)
-        if one is two:
-            stay = np.triu(stay, 1)
+    for a, b in short_pairs(starts, chunk, i, j):
+        verify(a, b)
+    for one, two in long_groups(starts, chunk, i, j):
+        stay = np.triu(np.ones((len(one), len(one)), dtype=bool), 1) if two is None else np.ones((len(one), len(two)), dtype=bool)
+        two = one if two is None else two
         for t in range(4):
             stay &= np.abs(tables[one, t][:, None] - tables[two, t][None, :]) <= max_bits
         a, b = np.nonzero(stay)
