@@ -37,6 +37,24 @@ def test_plain_menus_are_told_by_their_ratio():
     assert html.main_text(page(f"{menu}<div>{inner}</div>{menu}"))[0] == "\n".join(ARTICLE)
 
 
+def test_regions_are_chosen_by_ratio_on_article_pages_too():
+    headline, first, second, end = ARTICLE
+    share = "<div><span>Share</span> <span>Tweet</span> <span>Print</span></div>"
+    links = "<div><ul><li><a href='/1'>More on this topic</a></li><li><a href='/2'>Another page to read</a></li></ul></div>"
+    text = f"<h1><a href='/x'>{headline}</a></h1><p>{escapes.escape(first)}</p>{{}}<p>{second}</p><ul><li>red</li><li><a href='/g'>green</a></li><li>blue paint</li></ul>{{}}<p>{end}</p>"
+    want = "\n".join([headline, first, second, "red", "green", "blue paint", end])
+    assert html.main_text(page(f"<article>{text.format(share, links)}</article>"))[0] == want
+    for teaser in ("<article><p>A few words of another page.</p></article>", "<main><span>1</span> <span>2</span></main>", "<article><a href='/w'>Widget</a></article>"):
+        assert want in html.main_text(page(f"{teaser}<div>{text.format(share, links)}</div>"))[0]
+        assert "Share" not in html.main_text(page(f"<div>{text.format(share, links)}</div>{teaser}"))[0]
+
+
+def test_parts_of_an_article_stay_with_it():
+    _, first, second, end = ARTICLE
+    inner = f"<header><h1><a href='/x'>Headline</a></h1></header><p>{escapes.escape(first)}</p><table><tr><td>1</td><td>2</td></tr></table><p>{second}</p><pre><b>x</b> <i>=</i> <b>1</b></pre><div><p>{end}</p></div>"
+    assert html.main_text(page(f"<div><a href='/'>Home</a></div><article>{inner}</article>"))[0] == "\n".join(["Headline", first, "1", "2", second, "x = 1", end])
+
+
 def test_broken_and_empty_markup():
     assert html.main_text(None)[0] == html.main_text("")[0] == html.main_text("<html><body><nav>x</nav>")[0] == ""
     assert html.main_text("no markup  at\nall")[0] == "no markup at all"

@@ -22,6 +22,10 @@ INLINE = frozenset(
 DROPPED = frozenset(
     "script style noscript template svg math head title select datalist button textarea iframe object audio video canvas form nav aside footer dialog menu".split())
 SECTIONS = frozenset("html body article main section div header table tbody thead tfoot tr td th ul ol dl blockquote figure details center".split())
+#: Parts of a text rather than of a page: they belong to the section around them unless they are mostly link. Cells do so inside an article
+#: only, as tables outside may lay out the page.
+FLOW = frozenset("ul ol dl blockquote figure details".split())
+CELLS = frozenset("table tbody thead tfoot tr td th header".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 CLUTTER = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side aside widget menu nav navbar "
@@ -34,7 +38,7 @@ _SPACE = re.compile(r"\s+")
 
 @dataclass
 class Line:
-    """A block's text, its tags, its characters inside links, and the section it stands in."""
+    """A block's text, its tags, its characters inside links (none for a first heading), and the section it stands in."""
 
     text: str
     tags: int
@@ -51,9 +55,10 @@ class LineParser(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.open: list[tuple[str, bool, int, bool]] = []  # name, skipped, section, in an article
-        self.sections = 0
+        self.parents = [0]  # of each section, the section that it may belong to, or itself
         self.words: list[str] = []
         self.tags = self.linked = self.links = 0
+        self.headline = self.code = False
 
     def top(self) -> tuple[bool, int, bool]:
         return self.open[-1][1:] if self.open else (False, 0, False)
@@ -62,38 +67,44 @@ class LineParser(HTMLParser):
         text = _SPACE.sub(" ", "".join(self.words)).strip()
         if text:
             _, section, inside = self.top()
-            self.lines.append(Line(text, self.tags, self.linked, section, inside))
+            self.lines.append(Line(text, self.tags, 0 if self.headline else self.linked, section, inside))
         self.words, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in INLINE:
-            self.tags += 1
+            self.tags += not self.code
             self.links += tag == "a"
             return
         skipped, section, inside = self.top()
         self.end_line()
         self.tags += 1
+        if tag not in VOID:
+            self.headline, self.code = tag == "h1", tag == "pre"
         if tag == "p" or tag == "li":
             self.links = 0
         if tag in VOID or (tag not in SECTIONS and tag not in DROPPED):
             return
         self.links = 0
         drop = skipped or tag in DROPPED or (tag not in ("html", "body") and cluttered(attrs, inside)) or (tag == "header" and not inside)
-        self.sections += 1
-        self.open.append((tag, drop, self.sections, inside or tag in ("article", "main")))
+        if tag in ("html", "body"):
+            self.open.append((tag, skipped, section, inside))
+            return
+        self.parents.append(section if tag in FLOW or (inside and tag in CELLS) else len(self.parents))
+        self.open.append((tag, drop, len(self.parents) - 1, inside or tag in ("article", "main")))
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         if tag in INLINE:
-            self.tags += 1
+            self.tags += not self.code
         else:
             self.end_line()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in INLINE:
-            self.tags += 1
+            self.tags += not self.code
             self.links = max(0, self.links - (tag == "a"))
             return
         self.end_line()
+        self.headline, self.code = self.headline and tag != "h1", self.code and tag != "pre"
         if (tag in SECTIONS or tag in DROPPED) and any(o[0] == tag for o in self.open):
             while self.open.pop()[0] != tag:
                 pass
@@ -147,27 +158,53 @@ def two_means(values: np.ndarray) -> float:
     return cut
 
 
-def content_lines(lines: list[Line], sigma: float = 1.0, apart: float = 3.0) -> list[bool]:
+def regions_of(lines: list[Line], parents: list[int]) -> list[int]:
+    """The region of each line: its section, or for parts of a text that aren't mostly link the section around them."""
+    size, linked = np.zeros(len(parents)), np.zeros(len(parents))
+    for x in lines:
+        size[x.section] += len(x.text)
+        linked[x.section] += x.linked
+    for s in range(len(parents) - 1, 0, -1):  # a section comes after the one around it
+        if parents[s] != s:
+            size[parents[s]] += size[s]
+            linked[parents[s]] += linked[s]
+    found = list(range(len(parents)))
+    for s, p in enumerate(parents):
+        if 2 * linked[s] <= size[s]:
+            found[s] = found[p] if p != s else s
+    return [found[x.section] for x in lines]
+
+
+def content_lines(lines: list[Line], parents: list[int], sigma: float = 1.0, apart: float = 3.0, article: float = 1.5) -> list[bool]:
     """Which lines are main text.
 
-    A line's ratio is its characters outside links per tag. Ratios (as logarithms) are smoothed over neighbouring lines and clustered into
-    low and high. A section whose best line is in the high cluster is a content region and stays whole, but for lines that
-    are mostly link; where the clusters are less than a factor `apart` from one another, the page has one kind of text and all stays. If
-    the page has an article or main element, only sections inside it compete.
+    A line's ratio is its characters outside links per tag, times `article` inside an article or main element. Ratios (as logarithms) are
+    smoothed over neighbouring lines and clustered into low and high. A region whose best line is in the high cluster stays whole, unless
+    it is mostly link, or only its neighbours lift it and it is mostly markup (inline tags on its lines, under five characters for a tag).
+    Where the clusters are less than a factor `apart` from one another, the page has one kind of text and all regions stay that aren't
+    mostly link. Lines that stand in no element but the body are no region that was chosen: there, low lines that are mostly link go.
     """
-    inside = [x.in_article for x in lines]
-    compete = np.array(inside if any(inside) else [True] * len(lines), dtype=bool)
-    if not compete.any():
-        return [False] * len(lines)
-    own = [x for x, c in zip(lines, compete) if c]
-    ratio = smoothed(np.log1p([max(0, len(x.text) - x.linked) / max(1, x.tags) for x in own]), sigma)
+    if not lines:
+        return []
+    own = np.log1p([max(0, len(x.text) - x.linked) / max(1, x.tags) * (article if x.in_article else 1.0) for x in lines])
+    ratio = smoothed(own, sigma)
     cut = two_means(ratio)
     above = ratio > cut
     if above.all() or not above.any() or ratio[above].mean() - ratio[~above].mean() < np.log(apart):
-        above[:] = True
-    regions = {x.section for x, a in zip(own, above) if a}
-    articles = any(inside)
-    return [bool(c) and (x.section in regions or articles) and 2 * x.linked <= len(x.text) for x, c in zip(lines, compete)]
+        above[:], cut = True, 0.0
+    region = regions_of(lines, parents)
+    high: set[int] = set()
+    sums = np.zeros((len(parents), 4))  # by region: lines, characters, those inside links, tags
+    best = np.zeros(len(parents))
+    for x, r, a, o in zip(lines, region, above, own):
+        if a:
+            high.add(r)
+        sums[r] += 1, len(x.text), x.linked, x.tags
+        best[r] = max(best[r], o)
+    count, size, linked, tags = sums.T
+    markup = (best <= cut) & (tags > 2 * count) & (size - linked < 5 * tags)
+    chosen = {r for r in high if 2 * linked[r] <= size[r] and not markup[r]}
+    return [r in chosen if r else r in high and (2 * x.linked <= len(x.text) or bool(a and cut)) for x, r, a in zip(lines, region, above)]
 
 
 def main_text(html: str | None) -> tuple[str, int, int]:
@@ -178,7 +215,7 @@ def main_text(html: str | None) -> tuple[str, int, int]:
     parser.feed(html)
     parser.close()
     parser.end_line()
-    keep = content_lines(parser.lines)
+    keep = content_lines(parser.lines, parser.parents)
     kept = [x.text for x, k in zip(parser.lines, keep) if k]
     return "\n".join(kept), len(keep), len(kept)
 
