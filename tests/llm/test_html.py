@@ -49,6 +49,23 @@ def test_regions_are_chosen_by_ratio_on_article_pages_too():
         assert "Share" not in html.main_text(page(f"<div>{text.format(share, links)}</div>{teaser}"))[0]
 
 
+def test_flagged_wrappers_are_judged_by_what_they_hold():
+    inner = "".join(f"<p>{escapes.escape(x)}</p>" for x in ARTICLE)
+    around = "<nav><a href='/'>Home</a></nav>{}<div class='ad'>Buy now, this long advert text wants to be read by all.</div><footer>&copy; me</footer>"
+    want = "\n".join(ARTICLE)
+    for wrap in (
+            "<div class='content has-sidebar'>{}</div>", "<article class='post no-comments'>{}</article>", "<main id='main-share'>{}</main>", "<form>{}</form>", "<form class='search'><article>{}</article></form>",
+            "<div class='sidebar'>{}</div>", "<div class='right-sidebar'><div>{}</div><div class='sidebar'><p>Side words that go on for quite a while to look like text.</p></div></div>", "<div class='banner'><form><article>{}</article></form></div>",
+            "<nav><ul><li><a href='/x'>X</a><article>{}</article>"):
+        assert html.main_text(page(around.format(wrap.format(inner))))[0] == want, wrap
+    assert html.main_text(f"<html><body><form>{around.format(inner)}</form></body></html>")[0] == want
+    parts = "".join(f"<div class='tabs'><p>{escapes.escape(x)}</p></div>" for x in ARTICLE[1:3] * 3)
+    assert html.main_text(page(parts))[0] == "\n".join(ARTICLE[1:3] * 3)
+    comments = "<div id='comments'>" + "".join(f"<p>Reader {i}: what a long and thoughtful comment this is, indeed.</p>" for i in range(9)) + "</div>"
+    for wrap in ("<article>{}</article>" + comments, "<article>{}" + comments + "</article>", "<aside><article><p>A teaser of some other page.</p></article></aside><div>{}</div>"):
+        assert html.main_text(page(wrap.format(inner)))[0] == want, wrap
+
+
 def test_parts_of_an_article_stay_with_it():
     _, first, second, end = ARTICLE
     inner = f"<header><h1><a href='/x'>Headline</a></h1></header><p>{escapes.escape(first)}</p><table><tr><td>1</td><td>2</td></tr></table><p>{second}</p><pre><b>x</b> <i>=</i> <b>1</b></pre><div><p>{end}</p></div>"

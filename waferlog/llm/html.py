@@ -20,8 +20,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = frozenset(
-    "script style noscript template svg math head title select datalist button textarea iframe object audio video canvas form nav aside footer dialog menu".split())
+    "script style noscript template svg math head title select datalist button textarea iframe object audio video canvas".split())
+ASIDES = frozenset("nav aside footer dialog menu".split())
 SECTIONS = frozenset("html body article main section div header table tbody thead tfoot tr td th ul ol dl blockquote figure details center".split())
+OPENED = SECTIONS | DROPPED | ASIDES | {"form"}
 #: Parts of a text rather than of a page: they belong to the section around them unless they are mostly link. Cells do so inside an article
 #: only, as tables outside may lay out the page.
 FLOW = frozenset("ul ol dl blockquote figure details".split())
@@ -32,6 +34,10 @@ CLUTTER = frozenset(
     "navigation breadcrumb breadcrumbs pagination pager tabs toolbar footer foot copyright cookie cookies consent gdpr notice notices alert popup modal "
     "overlay newsletter subscribe signup login comment comments commentlist respond disqus replies reply related recommended share sharing social "
     "masthead topbar skip search form".split())
+#: First words of names that tell what an element has or lacks, not what it is (has-sidebar, no-comments).
+STATES = frozenset("has have no not non with without show hide hides".split())
+#: Text under a flag counts as one part in so many, text in an article or main element so many times, when flags are judged.
+WHOLE_NAME, PART_OF_NAME, OTHER_FLAG, IN_ARTICLE = 8.0, 4.0, 4.0, 4.0
 _WORD = re.compile(r"[A-Za-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
@@ -47,26 +53,55 @@ class Line:
     in_article: bool
 
 
+@dataclass
+class Flag:
+    """An element that its name, role, class or id marks as no main text: its lines, the flag around it (-1: none), how much less its text
+    counts, whether it is a hint only (class, id, form), whether it holds an article or main element."""
+
+    first: int
+    around: int
+    cost: float
+    hint: bool
+    holds: bool
+    last: int = -1
+
+
 class LineParser(HTMLParser):
-    """Turns parser events into lines. Elements that can't hold main text are skipped with all they hold; unclosed ones end with
-    the section around them."""
+    """Turns parser events into lines. Elements that show no text are skipped with all they hold, others are flagged; unclosed ones end
+    with the section around them."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, int, bool]] = []  # name, skipped, section, in an article
+        self.open: list[tuple[str, bool, int, bool, int, int]] = []  # name, skipped, section, in an article, innermost flag, number of the article or -1
+        self.flags: list[Flag] = []
+        self.articles: list[list[int]] = []  # first line, end
         self.parents = [0]  # of each section, the section that it may belong to, or itself
         self.words: list[str] = []
         self.tags = self.linked = self.links = 0
         self.headline = self.code = False
 
-    def top(self) -> tuple[bool, int, bool]:
-        return self.open[-1][1:] if self.open else (False, 0, False)
+    def top(self) -> tuple[bool, int, bool, int]:
+        return self.open[-1][1:5] if self.open else (False, 0, False, -1)
+
+    def close(self) -> None:
+        super().close()
+        self.end_line()
+        while self.open:
+            self.pop()
+
+    def pop(self) -> str:
+        name, _, _, _, flag, article = self.open.pop()
+        if flag >= 0 and flag != self.top()[3]:
+            self.flags[flag].last = len(self.lines)
+        if article >= 0:
+            self.articles[article][1] = len(self.lines)
+        return name
 
     def end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.words)).strip()
         if text:
-            _, section, inside = self.top()
+            _, section, inside, _ = self.top()
             self.lines.append(Line(text, self.tags, 0 if self.headline else self.linked, section, inside))
         self.words, self.tags, self.linked = [], 0, 0
 
@@ -75,22 +110,36 @@ class LineParser(HTMLParser):
             self.tags += not self.code
             self.links += tag == "a"
             return
-        skipped, section, inside = self.top()
+        skipped, section, inside, flag = self.top()
         self.end_line()
         self.tags += 1
         if tag not in VOID:
             self.headline, self.code = tag == "h1", tag == "pre"
         if tag == "p" or tag == "li":
             self.links = 0
-        if tag in VOID or (tag not in SECTIONS and tag not in DROPPED):
+        if tag in VOID or tag not in OPENED:
             return
         self.links = 0
-        drop = skipped or tag in DROPPED or (tag not in ("html", "body") and cluttered(attrs, inside)) or (tag == "header" and not inside)
-        if tag in ("html", "body"):
-            self.open.append((tag, skipped, section, inside))
-            return
-        self.parents.append(section if tag in FLOW or (inside and tag in CELLS) else len(self.parents))
-        self.open.append((tag, drop, len(self.parents) - 1, inside or tag in ("article", "main")))
+        article = -1
+        if tag not in ("html", "body"):
+            skipped = skipped or tag in DROPPED or hidden(attrs)
+            is_article = tag in ("article", "main") and not skipped
+            cost, hint = flagged(tag, attrs, inside)
+            if cost > 1 and not skipped:
+                self.flags.append(Flag(len(self.lines), flag, cost, hint, is_article))
+                flag = len(self.flags) - 1
+            if is_article:
+                article = len(self.articles)
+                self.articles.append([len(self.lines), -1])
+                above = flag
+                while above >= 0 and (not self.flags[above].holds or above == flag):
+                    self.flags[above].holds = True
+                    above = self.flags[above].around
+            if tag != "form":
+                self.parents.append(section if tag in FLOW or (inside and tag in CELLS) else len(self.parents))
+                section = len(self.parents) - 1
+            inside = inside or tag in ("article", "main")
+        self.open.append((tag, skipped, section, inside, flag, article))
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         if tag in INLINE:
@@ -105,8 +154,8 @@ class LineParser(HTMLParser):
             return
         self.end_line()
         self.headline, self.code = self.headline and tag != "h1", self.code and tag != "pre"
-        if (tag in SECTIONS or tag in DROPPED) and any(o[0] == tag for o in self.open):
-            while self.open.pop()[0] != tag:
+        if tag in OPENED and any(o[0] == tag for o in self.open):
+            while self.pop() != tag:
                 pass
 
     def handle_data(self, data: str) -> None:
@@ -120,19 +169,69 @@ class LineParser(HTMLParser):
         pass
 
 
-def cluttered(attrs, inside: bool) -> bool:
-    """True for an element that its class, id, role or hidden state marks as no main text."""
+def hidden(attrs) -> bool:
+    """True for an element that isn't shown."""
+    return any(
+        name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value or "", re.I))
+        for name, value in attrs)
+
+
+def flagged(tag: str, attrs, inside: bool) -> tuple[float, bool]:
+    """How much less an element's text counts by its name, role, class and id, and whether class, id or form alone say so."""
+    hint = OTHER_FLAG if tag == "form" else 1.0
+    if tag in ASIDES or (tag == "header" and not inside):
+        return OTHER_FLAG, False
     for name, value in attrs:
-        value = value or ""
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-        if name == "role" and value.lower() in ROLES:
-            return True
-        if name in ("class", "id") and any(w.lower() in CLUTTER for w in _WORD.findall(value)):
-            return True
-    return False
+        if name == "role" and value and value.lower() in ROLES:
+            return OTHER_FLAG, False
+        if name in ("class", "id"):
+            for words in (_WORD.findall(x.lower()) for x in (value or "").split()):
+                known = [w in CLUTTER for w in words if not w.isdigit()]
+                if any(known) and words[0] not in STATES:
+                    hint = max(hint, WHOLE_NAME if all(known) else PART_OF_NAME)
+    return hint, True
+
+
+def unflagged_lines(lines: list[Line], flags: list[Flag], articles: list[list[int]]) -> list[Line]:
+    """The lines outside flagged elements, once each flag was judged by what its element holds.
+
+    Lines weigh their characters outside links, more in an article, less under flags. From the outside in, a flag is lifted if its element
+    holds at least half of the page's weight; a class, an id or a form also if it holds the heaviest article of the page. The element
+    names and roles that never mean main text are lifted only around an article. If what stands under flags still outweighs all other text
+    four times, or there is no other, classes, ids and forms tell nothing on this page and are all lifted.
+    """
+    if not flags or not lines:
+        return lines
+    size = np.array([max(0, len(x.text) - x.linked) * (IN_ARTICLE if x.in_article else 1.0) for x in lines])
+    cost = np.zeros(len(lines) + 1)
+    for f in flags:
+        cost[f.first] += np.log(f.cost)
+        cost[f.last] -= np.log(f.cost)
+    weight = size * np.exp(-np.cumsum(cost)[:-1])
+    main = max(articles, key=lambda a: weight[a[0] : a[1]].sum(), default=[0, 0])
+    has_main = weight[main[0] : main[1]].sum() > 0
+    stands = [True] * len(flags)
+    for i, f in enumerate(flags):
+        if f.around >= 0 and stands[f.around]:
+            continue
+        held = weight[f.first : f.last].sum()
+        around_main = has_main and f.holds and f.first <= main[0] and main[1] <= f.last
+        if (f.hint and around_main) or ((f.hint or f.holds) and held > 0 and 2 * held >= weight.sum()):
+            stands[i] = False
+            weight[f.first : f.last] *= f.cost
+
+    def out(hints: bool) -> np.ndarray:
+        under = np.zeros(len(lines) + 1)
+        for f, s in zip(flags, stands):
+            if s and (hints or not f.hint):
+                under[f.first] += 1
+                under[f.last] -= 1
+        return np.cumsum(under)[:-1] > 0
+
+    under = out(True)
+    if 4 * weight[~under].sum() <= weight[under & ~out(False)].sum():
+        under = out(False)
+    return [x for x, u in zip(lines, under) if not u]
 
 
 def smoothed(values: np.ndarray, sigma: float) -> np.ndarray:
@@ -208,15 +307,15 @@ def content_lines(lines: list[Line], parents: list[int], sigma: float = 1.0, apa
 
 
 def main_text(html: str | None) -> tuple[str, int, int]:
-    """The main text of a page, its blocks joined by line feeds, and the numbers of lines found and kept."""
+    """The main text of a page, its blocks joined by line feeds, and the numbers of lines found (outside flagged elements) and kept."""
     if not html:
         return "", 0, 0
     parser = LineParser()
     parser.feed(html)
     parser.close()
-    parser.end_line()
-    keep = content_lines(parser.lines, parser.parents)
-    kept = [x.text for x, k in zip(parser.lines, keep) if k]
+    lines = unflagged_lines(parser.lines, parser.flags, parser.articles)
+    keep = content_lines(lines, parser.parents)
+    kept = [x.text for x, k in zip(lines, keep) if k]
     return "\n".join(kept), len(keep), len(kept)
 
 
