@@ -100,6 +100,25 @@ def test_genetic_steps_keep_the_documents():
     assert packing._bins(packing._flat(best)) == best
 
 
+def test_hard_lengths_go_on_while_they_get_better():
+    rng = np.random.default_rng(7)
+    lengths = [int(x) for x in rng.integers(600, 1100, 4096)]
+    best = packing.evolve(lengths, 2048, [], [5, 1])
+    assert sorted(x for b in best for x in b) == sorted(lengths) and len(best) < 1880
+
+
+def test_underfull_sequences_of_all_groups_meet(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 100)
+    rows = [(i, 1 + i * 7919 % 97) for i in range(3000)]
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, length long"), 1000).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in packed) == rows
+    ends = {}
+    for r in sorted(packed, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= 1000 and len(ends) == -(-sum(n for _, n in rows) // 1000)
+
+
 def test_bad_lengths_fail(spark):
     with pytest.raises(Exception, match="needs 1 to 8 tokens"):
         packing.pack(spark.createDataFrame([(1, 9)], "doc_id long, length long"), 8).agg(F.sum("offset")).collect()

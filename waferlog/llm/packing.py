@@ -18,7 +18,10 @@ from .tokens import byte_bpe, vocabulary_path
 GROUP_PIECES = 4096
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 3
+#: An epoch ends when so many generations bring no better packing.
+PATIENCE = 10
+#: Groups whose emptiest bins are packed again together: about a fiftieth of their bins, so some `GROUP_PIECES` pieces.
+REPACKED = 50
 #: Island rows a task takes at most on average.
 ROWS_PER_TASK = 64
 POPULATION = 4
@@ -144,10 +147,10 @@ def mutate(solution: Solution, capacity: int, rng: np.random.Generator) -> Solut
     return best_fit(sorted(loose, reverse=True), capacity, kept)
 
 
-def evolve(lengths: list[int], capacity: int, elites: list[Solution], seed, generations: int = GENERATIONS, population: int = POPULATION) -> Solution:
+def evolve(lengths: list[int], capacity: int, elites: list[Solution], seed, patience: int = PATIENCE, population: int = POPULATION) -> Solution:
     """One island's epoch: the population starts from the elites, from best fit of the sorted documents and of slightly shuffled orders.
 
-    It ends early at the lower bound, which nothing can better."""
+    It ends when `patience` generations have brought no better packing, or at the lower bound, which nothing can better."""
     least = -(-sum(lengths) // capacity)
     rng = np.random.default_rng(seed)
     own = list(elites)
@@ -156,17 +159,19 @@ def evolve(lengths: list[int], capacity: int, elites: list[Solution], seed, gene
     while len(own) < population and len(min(own, key=len)) > least:
         noisy = np.array(lengths, dtype=float) * rng.uniform(0.85, 1.15, len(lengths))
         own.append(best_fit([lengths[i] for i in np.argsort(-noisy, kind="stable")], capacity))
-    for _ in range(generations):
+    best, since = None, 0
+    while True:
         own.sort(key=lambda s: fitness(s, capacity), reverse=True)
-        if len(own[0]) <= least or len(own) < 2:
-            break
+        now = fitness(own[0], capacity)
+        best, since = (now, 0) if best is None or now > best else (best, since + 1)
+        if len(own[0]) <= least or len(own) < 2 or since >= patience:
+            return own[0]
         parents = own[: max(2, population // 2)]
         children = []
         while len(children) < population - len(parents):
             a, b = rng.choice(len(parents), 2, replace=False)
             children.append(mutate(crossover(parents[a], parents[b], capacity, rng), capacity, rng))
         own = parents + children
-    return max(own, key=lambda s: fitness(s, capacity))
 
 
 def _flat(solution: Solution) -> np.ndarray:
@@ -180,12 +185,21 @@ def _bins(flat: np.ndarray) -> Solution:
     return [tuple(values[a:b]) for a, b in zip([0, *(ends[:-1] + 1)], ends)]
 
 
+def _places(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lengths of flat bins, their bins' numbers and their offsets."""
+    at = np.cumsum(flat) - flat
+    bin_no = np.cumsum(flat == 0) - (flat == 0)
+    first = at[np.searchsorted(bin_no, bin_no)]
+    return flat[flat > 0], bin_no[flat > 0], (at - first)[flat > 0]
+
+
 def pack(parts: DataFrame, capacity: int = 2048, length: str = "length", islands: int = ISLANDS, epochs: int = EPOCHS, seed: int = 5) -> DataFrame:
     """Adds `sequence_id` and `offset` to pieces of 1 to `capacity` tokens; pieces in a sequence lie without gaps from 0.
 
     Full pieces are sequences of their own. The others are dealt by the hash of a row number into groups of about `GROUP_PIECES`,
     whose number grows with the input, so no group does. A group is packed by `islands` populations, each in its own row and task; after
-    each epoch the best packing of every island joins the next island's population, and at the end the group's best one is used.
+    each epoch the best packing of every island joins the next island's population, and at the end the group's best one is used. The
+    emptiest bins of `REPACKED` groups are then packed again together, so that underfull ones of different groups meet.
     Pieces of one length are interchangeable, so packings are lists of lengths, and only the last step deals out the pieces.
 
     An empty table gives no rows; a null length or one out of range is an error. Equal rows are packed each for itself.
@@ -226,18 +240,33 @@ def pack(parts: DataFrame, capacity: int = 2048, length: str = "length", islands
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for group, flat in zip(batch["__g"], batch["__flat"]):
-                flat = np.asarray(flat, dtype="int64")
-                at = np.cumsum(flat) - flat
-                bin_no = np.cumsum(flat == 0) - (flat == 0)
-                first = at[np.searchsorted(bin_no, bin_no)]
-                placed = pd.DataFrame({"__g": group, "__l": flat, "__bin": bin_no, "offset": at - first})[flat > 0]
+                flat, bin_no, offset = _places(np.asarray(flat, dtype="int64"))
+                fill = np.bincount(bin_no, flat)
+                emptiest = np.argsort(fill, kind="stable")[: max(1, len(fill) // REPACKED)]
+                placed = pd.DataFrame({
+                    "__g": group, "__l": flat, "sequence_id": bin_no * n_groups + group, "offset": offset, "__again": np.isin(bin_no, emptiest[fill[emptiest] < capacity])})
                 yield placed.assign(__k=placed.groupby("__l").cumcount() + 1)
 
+    def repack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["__l", "__g", "__k"], ascending=[False, True, True], ignore_index=True)
+        before = [tuple(x) for _, x in rows.groupby("sequence_id")["__l"]]
+        every = rows["__l"].tolist()
+        best = evolve(every, capacity, [before], np.random.SeedSequence([seed, int(rows["__g"].min()), islands, epochs]))
+        if len(best) < len(before):
+            flat, bin_no, offset = _places(_flat(best).astype("int64"))
+            order = np.argsort(-flat, kind="stable")
+            rows = rows.assign(sequence_id=np.unique(rows["sequence_id"])[bin_no[order]], offset=offset[order])
+        return rows[found]
+
+    found = ["__g", "__l", "sequence_id", "offset", "__k"]
     n_bins = F.size(F.filter("__flat", lambda x: x == 0))
     best = ran.select("__g", "__i", F.col("__elites")[0].alias("__flat")).groupBy("__g").agg(F.min_by("__flat", F.struct(n_bins, "__i")).alias("__flat"))
-    spots = best.mapInPandas(deal, "__g long, __l int, __bin long, offset long, __k int")
+    dealt = stage(best.mapInPandas(deal, "__g long, __l int, sequence_id long, offset long, __again boolean, __k int"), "dealt")
+    together = F.pmod("__g", F.lit(-(-n_groups // REPACKED)))
+    again = dealt.where("__again").groupBy(together).applyInPandas(repack, "__g long, __l int, sequence_id long, offset long, __k int")
+    spots = dealt.where("not __again").select(found).unionByName(again)
     same = Window.partitionBy("__g", "__l").orderBy("__u")
     numbered = grouped.withColumn("__k", F.row_number().over(same))
-    short = numbered.join(spots, ["__g", "__l", "__k"]).select(ROW, (F.col("__bin") * n_groups + F.col("__g")).alias("sequence_id"), "offset")
+    short = numbered.join(spots, ["__g", "__l", "__k"]).select(ROW, "sequence_id", "offset")
     whole = rows.where(F.col("__l") == capacity).select(ROW, (-1 - F.col("__u")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return unpacked(short.unionByName(whole), OUTPUTS)
