@@ -56,6 +56,22 @@ def test_edges(edge_docs, no_docs):
     assert sharding.stratified_shards(no_docs, 4).count() == 0
 
 
+def test_a_key_of_many_rows_is_split(spark, monkeypatch):
+    rows = [(None if i % 2 else 5, "hot", i * 7919 % 3000) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    monkeypatch.setattr(sharding, "GROUP_ROWS", 100)
+    kept = []
+    stage = sharding.stage
+    monkeypatch.setattr(sharding, "stage", lambda frame, label: kept.append(stage(frame, label)) or kept[-1])
+    got = sharding.stratified_shards(df, 7, ties=["size"]).collect()
+    most = max((r["n"] for f in kept if "__b" in f.columns for r in f.groupBy("__s", "__b").agg(F.count("*").alias("n")).collect()), default=3000)
+    assert most < 400
+    place = sorted(got, key=lambda r: (r["shard"], r["slot"]))
+    null_first = hash60("mix-1:") < hash60("mix-1:5")
+    want = sorted(rows, key=lambda r: ((r[0] is not None) == null_first, r[2]))
+    assert [(r["doc_id"], r["size"]) for r in place] == [(k, n) for k, _, n in want]
+
+
 def test_written_shards(spark, tmp_path):
     df = spark.createDataFrame([(i, "a", f"text {i}") for i in range(50)], "doc_id long, source string, text string")
     sharding.write_shards(sharding.stratified_shards(df, 5), str(tmp_path / "out"))
