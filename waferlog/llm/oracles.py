@@ -155,5 +155,42 @@ FROM based b LEFT JOIN reasons r ON b.doc_id = r.doc_id
 """
 
 
+COLLOCATIONS = """
+WITH lowered AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM lowered),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, 1 AS k, unnest(w) AS phrase FROM words
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM words
+),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+longer AS (
+  SELECT lang, phrase, max(a) AS a FROM (
+    SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase FROM candidates WHERE k = 3
+  ) GROUP BY ALL
+),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, 1 AS cut, w[1] AS lead, array_to_string(w[2:], ' ') AS rest FROM candidates c
+  UNION ALL SELECT lang, phrase, a, 2, w[1] || ' ' || w[2], w[3] FROM candidates WHERE k = 3
+),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, x.f AS l, y.f AS r, (1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN f x ON c.lang = x.lang AND c.lead = x.phrase JOIN f y ON c.lang = y.lang AND c.rest = y.phrase
+),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ranked AS (
+  SELECT w.*, row_number() OVER (PARTITION BY w.lang ORDER BY w.score DESC, w.a DESC, w.phrase) AS rank
+  FROM weakest w LEFT JOIN longer g ON w.lang = g.lang AND w.phrase = g.phrase WHERE g.a IS NULL OR 100 * g.a < 50 * w.a
+)
+SELECT r.lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked r JOIN totals t ON r.lang = t.lang WHERE rank <= 2000
+"""
+
+
 def sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules(), "op4_embedding_near_dedup": EMBEDDINGS, "op3_sharding": SHARDING, "op10_line_dedup": LINE_DEDUP}
+    return {"op1_quality_rules": quality_rules(), "op4_embedding_near_dedup": EMBEDDINGS, "op3_sharding": SHARDING, "op10_line_dedup": LINE_DEDUP, "op13_phrase_collocations": COLLOCATIONS}
