@@ -122,3 +122,12 @@ def test_underfull_sequences_of_all_groups_meet(spark, monkeypatch):
 def test_bad_lengths_fail(spark):
     with pytest.raises(Exception, match="needs 1 to 8 tokens"):
         packing.pack(spark.createDataFrame([(1, 9)], "doc_id long, length long"), 8).agg(F.sum("offset")).collect()
+
+
+def test_single_spaces_need_no_lookahead():
+    bpe = tokens.byte_bpe(tokens.vocabulary_path("byte_bpe_50k.tiktoken"))
+    rng = np.random.default_rng(11)
+    letters = ["a", "Zug", "9", "!", "'s", " ", "\n", "\t", " ", "\u0085", " ", "\x1c", "\x1f", "​", "é", "日本", "<|endoftext|>"]
+    for _ in range(3000):
+        text = "".join(letters[i] for i in rng.integers(0, len(letters), rng.integers(1, 12)))
+        assert bpe.ids(text).tolist() == bpe.general.encode_to_numpy(text, allowed_special="all").tolist()
