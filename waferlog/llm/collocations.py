@@ -35,20 +35,29 @@ def padded_windows(docs: DataFrame, longest: int, text: str = "text", lang: str
 def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text: str = "text", lang: str = "lang") -> DataFrame:
     """`lang`, `k`, `phrase`, `f`: every phrase of 1 to `longest` words that occurs `least` times or more, and each language's total (k = 0).
 
-    Only the padded longest windows are counted. Their ROLLUP gives the shorter phrases: a phrase of k words occurs as often as windows
-    start with it, since a window that the piece ends early is padded rather than left out.
+    Only the padded longest windows are counted. Summed over their last words, they give the shorter phrases: a phrase of k words occurs as
+    often as windows start with it, since a window that the piece ends early is padded rather than left out.
     """
-    ws = [f"w{i}" for i in range(1, longest + 1)]
-    counted = padded_windows(docs, longest, text, lang).groupBy("lang", *ws).agg(F.count("*").alias("f"))
-    # One condition over both columns stays above the aggregation, so that both branches read one exchange.
-    whole = counted.where(F.when(F.col(ws[-1]) != "", F.col("f")).otherwise(0) >= least).select(
-        "lang", F.lit(longest).alias("k"), F.concat_ws(" ", *ws).alias("phrase"), "f")
-    rolled = counted.rollup("lang", *ws[:-1]).agg(F.sum("f").alias("f"), F.grouping_id().alias("g"))
-    # ROLLUP sums over the last columns, so the grouping id is a row of ones at the low end.
-    k = (F.lit(longest - 1) - F.bit_count("g")).cast("int")
-    last = F.coalesce(*[F.when(k == i, F.col(w)) for i, w in enumerate(ws[:-1], 1)], F.lit(""))
-    prefixes = rolled.where((k == 0) | ((k > 0) & (last != "") & (F.col("f") >= least))).select("lang", k.alias("k"), F.concat_ws(" ", *ws[:-1]).alias("phrase"), "f")
-    return whole.unionByName(prefixes)
+    # One string per window takes half a shuffle's bytes of four columns. The language's hex digits and the words hold no space.
+    windows = padded_windows(docs, longest, text, lang)
+    words = [F.nullif(F.col(w), F.lit("")) for w in windows.columns[1:]]
+    counted = windows.select(F.concat_ws(" ", F.hex("lang"), *words).alias("key")).groupBy("key").agg(F.count("*").alias("f"))
+    # One condition over key and count stays above the aggregation, so that both branches read one exchange.
+    whole = counted.where(F.when(F.size(F.split("key", " ")) > longest, F.col("f")).otherwise(0) >= least)
+    shorter = counted.groupBy(F.substring_index("key", " ", longest).alias("key")).agg(F.sum("f").alias("f")).withColumn("ws", F.split("key", " "))
+    # The longest prefix has its sum already; ROLLUP sums those before it, down to the language.
+    levels = [f"p{i}" for i in range(longest - 1)]
+    rolled = shorter.select("f", *[F.get("ws", F.lit(i)).alias(p) for i, p in enumerate(levels)]).rollup(*levels).agg(
+        F.sum("f").alias("f"), F.grouping_id().alias("g"))
+    # It sums over the last columns, so the grouping id is a row of ones at the low end; a word's padding is null.
+    k = F.lit(longest - 2) - F.bit_count("g")
+    summed = rolled.where((k == 0) | ((k > 0) & (F.col("f") >= least))).select(F.concat_ws(" ", *levels).alias("key"), "f", k.alias("k"))
+    real = summed.where(F.size(F.split("key", " ")) == F.col("k") + 1).select("key", "f")
+    pairs = shorter.where(F.when(F.size("ws") == longest, F.col("f")).otherwise(0) >= least).select("key", "f")
+    found = whole.unionByName(pairs).unionByName(real).withColumn("ws", F.split("key", " "))
+    return found.select(
+        F.decode(F.unhex(F.col("ws")[0]), "UTF-8").alias("lang"), (F.size("ws") - 1).alias("k"),
+        F.array_join(F.slice("ws", 2, longest), " ").alias("phrase"), "f")
 
 
 def collocations(
@@ -108,5 +117,5 @@ def _ranked(counts: DataFrame, candidates: DataFrame, first: int) -> DataFrame:
     weakest = told.groupBy("lang", "phrase", "a").agg(F.min(F.struct(F.expr("top div bottom").alias("score"), "cut", "l", "r")).alias("w"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     best = weakest.select("lang", "phrase", "a", "w.l", "w.r", "w.score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)
-    totals = counts.where("k = 0 and lang is not null").select("lang", F.col("f").alias("n"))
+    totals = counts.where("k = 0").select("lang", F.col("f").alias("n"))
     return best.join(totals, "lang").select(*[F.col(c).cast("long") if c not in ("lang", "phrase") else F.col(c) for c in OUTPUTS])
