@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.entries import parse_entries, parse_timeline
 from ..sources.manifest import ingest, stored_entries
+from ..sources.ordered_store import ordered_timeline, update_order
 from ..sources.raw import lines_from_texts, read_log_files
 
 
@@ -28,3 +29,10 @@ def load_incremental(spark: SparkSession, paths, store: str, **options) -> tuple
     keyed = {k: v for k, v in options.items() if k in ("skip_setup_dump", "excluded_ceids")}
     stats = ingest(spark, paths, store, parse, **keyed)
     return stored_entries(spark, store), stats
+
+
+def load_ordered(spark: SparkSession, paths, store: str, **options) -> tuple[DataFrame, dict]:
+    """(timeline, {hits, misses, ranges, rewritten}): as `load_incremental`, and the store's order follows, range by range."""
+    _, stats = load_incremental(spark, paths, store, **options)
+    stats = stats | update_order(spark, store)
+    return ordered_timeline(spark, store), stats

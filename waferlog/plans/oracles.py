@@ -359,6 +359,11 @@ def sql() -> dict[str, str]:
     return {
         "file_scan": _events(
             """, L AS (SELECT *, event_id // 4096 AS b, line_no - min(line_no) OVER (PARTITION BY source_file, event_id // 4096) AS own FROM E)
+SELECT row_number() OVER (ORDER BY t, is_secs, source_file, own, b) - 1 AS timeline_index, log_type, source_file, CASE WHEN is_secs THEN NULL ELSE event_id END AS seq_index,
+ time, message FROM L"""
+        ),
+        "ordered_ingest": _events(
+            """, L AS (SELECT *, event_id // 4096 AS b, line_no - min(line_no) OVER (PARTITION BY source_file, event_id // 4096) AS own FROM E)
 SELECT row_number() OVER (ORDER BY t, is_secs, source_file, own, b) - 1 AS timeline_index, log_type, source_file, CASE WHEN is_secs THEN NULL ELSE event_id END AS seq_index,
  time, message FROM L"""
         ),

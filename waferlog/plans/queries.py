@@ -12,13 +12,14 @@ from ..operators import (
 )
 from ..schema import order_columns
 from ..sources import dims, sinks, synth
+from ..sources.ordered_store import OrderedStore, open_order, order_entries
 from ..sources.manifest import drop_superseded, file_manifest, stale_files, stored_entries
 from ..sources.raw import line_counts, lines_from_texts
 from ..spec import FilterSpec, parse_ceid_ranges
 from ..staging import generation, new_path, stage
 from ..streaming.ingest import follow_folder
 from . import report as rp
-from .load import load_files, load_incremental
+from .load import load_files, load_incremental, load_ordered
 
 _parsed: dict[tuple, DataFrame] = {}
 _folders: dict[tuple, str] = {}
@@ -48,6 +49,16 @@ def event_timeline(spark, d) -> DataFrame:
     return _parsed[key]
 
 
+def event_order(spark, d) -> OrderedStore:
+    """The event log as an ordered store, a range a day."""
+    key = (spark.sparkContext.applicationId, generation(), "order", d)
+    if key not in _folders:
+        store, rows = new_path(spark, "order"), event_entries(spark, d)
+        order_entries(rows, rows.select("source_path", F.lit(1).alias("run")).distinct(), store)
+        _folders[key] = store
+    return open_order(spark, _folders[key])
+
+
 def doc_entries(spark, d) -> DataFrame:
     return _once("doc_entries", spark, d, lambda: en.parse_entries(synth.staged_lines(synth.document_lines(spark, d)), fallback=False))
 
@@ -239,6 +250,29 @@ def incremental_ingest(spark, d):
     return out.unionByName(last)
 
 
+def ordered_ingest(spark, d):
+    """Three runs: without the oldest file and with another one cut short; with that one whole; with the oldest, which sorts before all."""
+    folder, store = _write_logs(spark, d), new_path(spark, "store")
+    files = event_raw(spark, d).filter("dialect = 'MMI' AND block_no = 0").select("source_file").distinct()
+    oldest, other = (r["source_file"] for r in files.orderBy("source_file").limit(2).collect())
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    aside = new_path(spark, "aside")
+    system.mkdirs(path(aside))
+    for name in (oldest, other):
+        system.rename(path(f"{folder}/block 0/{name}"), path(f"{aside}/{name}"))
+    short = system.create(path(f"{folder}/block 0/{other}"), True)
+    short.write(bytearray(b"2024-01-09 00:00:00:000|1|7|cut short\n"))
+    short.close()
+    load_ordered(spark, folder, store)
+    system.delete(path(f"{folder}/block 0/{other}"), False)
+    rows = None
+    for name in (other, oldest):
+        system.rename(path(f"{aside}/{name}"), path(f"{folder}/block 0/{name}"))
+        rows, _ = load_ordered(spark, folder, store)
+    return rows.select("timeline_index", "log_type", "source_file", "seq_index", at(), "message")
+
+
 def stale_sources(spark, d):
     """Files whose text may not be served any more: one is replaced, one is gone."""
     folder = _write_logs(spark, d)
@@ -303,7 +337,7 @@ def timeline_index(spark, d):
 
 def position_lookup(spark, d):
     keys = event_entries(spark, d).filter("is_alarm").select("source_path", "line_no")
-    found = en.position_of(event_timeline(spark, d), keys)
+    found = event_order(spark, d).positions(keys)
     return found.select(F.substring_index("source_path", "/", -1).alias("source_file"), "line_no", "timeline_index")
 
 
@@ -331,11 +365,11 @@ def context_rows(spark, d):
 
 
 def page(spark, d):
-    return rowwin.page(event_timeline(spark, d), 3, 250).select("timeline_index", *KEY)
+    return event_order(spark, d).page(3, 250).select("timeline_index", *KEY)
 
 
 def centred_window(spark, d):
-    return rowwin.centred(event_timeline(spark, d), 60, 500).select("timeline_index", *KEY)
+    return event_order(spark, d).centred(60, 500).select("timeline_index", *KEY)
 
 
 def first_rows(spark, d):
@@ -837,7 +871,7 @@ def line_diff(spark, d):
 
 
 QUERIES = [
-    file_scan, incremental_ingest, stale_sources, stream_ingest, mixed_entries, header_exclusion, object_events_mixed, sxfy_catalogue_mixed,
+    file_scan, incremental_ingest, ordered_ingest, stale_sources, stream_ingest, mixed_entries, header_exclusion, object_events_mixed, sxfy_catalogue_mixed,
     sxfy_filter_mixed, top_sxfy_mixed, bookmark_store, csv_round_trip, level_file, context_all_alarms, time_windows_all_alarms,
     text_lines, file_line_counts, line_numbers, file_inventory, mmi_entries, secs_entries, conversation_entries,
     document_entries, dialects, dialects_strict, dialect_fallback, setup_dump_skip, setup_dump_flag, load_counters,

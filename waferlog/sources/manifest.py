@@ -58,15 +58,20 @@ def require_unchanged(parsed: DataFrame, current: DataFrame) -> None:
         raise RuntimeError(f"files changed since they were analysed, e.g. {changed}")
 
 
-def _versions(spark: SparkSession, store: str) -> list[int]:
-    """Published manifests of a store, oldest first: those whose writing has been completed."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/manifests")
+def published(spark: SparkSession, parent: str, mark: str = "") -> list[int]:
+    """Versions under `parent`, oldest first, whose writing has been completed: `_SUCCESS` lies in them, or in their table `mark`."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    folder = path(parent)
     system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not system.exists(folder):
         return []
-    names = [status.getPath() for status in system.listStatus(folder)]
-    done = [p.getName() for p in names if system.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(n.removeprefix("version=")) for n in done if n.startswith("version="))
+    names = [status.getPath().getName() for status in system.listStatus(folder)]
+    done = [n for n in names if n.startswith("version=") and system.exists(path(f"{parent}/{n}/{mark + '/' if mark else ''}_SUCCESS"))]
+    return sorted(int(n.removeprefix("version=")) for n in done)
+
+
+def _versions(spark: SparkSession, store: str) -> list[int]:
+    return published(spark, f"{store}/manifests")
 
 
 def stored_manifest(spark: SparkSession, store: str) -> DataFrame | None:
