@@ -491,6 +491,11 @@ SELECT timeline_index, source_file, line_no FROM E, V WHERE timeline_index >= s
         "digests": _events(
             """SELECT source_file, line_no, sha256(time || '|' || CASE WHEN is_secs THEN 'Secs' ELSE 'Mmi' END || '|' || source_file || '|' || line_no
  || '|' || replace(message, 'S6F11W', 'S6F11') || chr(10)) AS sha256 FROM E"""
+        ),
+        "changed_ranges": _events(
+            """ SELECT timeline_index // 64 * 64 AS first, timeline_index // 64 * 64 + 63 AS last, n AS left_rows, n AS right_rows
+FROM (SELECT timeline_index, message, count(*) OVER (PARTITION BY timeline_index // 64) AS n FROM E)
+WHERE starts_with(message, '[ALARM] Alarm Code [3007] unit 1') GROUP BY ALL"""
         ),
         "timeline_digest": _events(
             """, H AS (SELECT sha256(timeline_index || '|' || time || '|' || CASE WHEN is_secs THEN 'Secs' ELSE 'Mmi' END || '|' || source_file || '|' || line_no
@@ -567,6 +572,14 @@ SELECT keyword, count(*) AS documents FROM W JOIN LD ON contains(m, keyword) GRO
         "keyword_matrix_list": _events(
             """, W AS (SELECT unnest(['LOT7', 'alarm code', 'slotmap_read: no', 's6f11', '<u4 [1] 0>']) AS keyword)
 SELECT source_file, line_no, keyword FROM W JOIN E ON contains(lower(message), lower(keyword))"""
+        ),
+        "keyword_combinations": _events(
+            """, L AS (SELECT timeline_index, lower(message) AS m FROM E)
+SELECT 'all of two' AS combination, timeline_index FROM L WHERE contains(m, 'slotmap_read: no') AND contains(m, 'lot7')
+UNION ALL SELECT 'any of two', timeline_index FROM L WHERE contains(m, 'alarm code') OR contains(m, 'lot7')
+UNION ALL SELECT 'one or another, without a third', timeline_index FROM L WHERE (contains(m, 's6f11') OR contains(m, 'alarm code')) AND NOT contains(m, 'note')
+UNION ALL SELECT 'without one', timeline_index FROM L WHERE NOT contains(m, 'statechange')
+UNION ALL SELECT 'nowhere', timeline_index FROM L WHERE contains(m, 'lot7') AND NOT contains(m, 'o')"""
         ),
         "keyword_hits": _docs(
             """, W AS (SELECT unnest(['tion', 'the', 'und', 'les', 'sch', 'zz']) AS keyword, generate_subscripts([1, 2, 3, 4, 5, 6], 1) AS i),

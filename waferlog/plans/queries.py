@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import display_time, normalize_sxfy, report_gap_text
 from ..operators import (
-    alarms as al, compare, detect, enrich, entries as en, filters, objects, ordered, related, roundtrip, rowwin, search, stats,
+    alarms as al, bitmaps, compare, detect, enrich, entries as en, filters, objects, ordered, related, roundtrip, rowwin, search, stats,
 )
 from ..schema import order_columns
 from ..sources import dims, sinks, synth
@@ -389,6 +389,14 @@ def timeline_digest(spark, d):
     return compare.timeline_digest(event_timeline(spark, d))
 
 
+def changed_ranges(spark, d):
+    """Where the timeline differs from one in which a few alarms read otherwise, by two digest trees."""
+    rows = event_timeline(spark, d)
+    other = rows.withColumn("message", F.when(F.col("message").startswith("[ALARM] Alarm Code [3007] unit 1"), "changed").otherwise(F.col("message")))
+    trees = [stage(compare.digest_tree(t, 64, 4), "tree") for t in (rows, other)]
+    return compare.differing_ranges(*trees, 64, 4)
+
+
 # ---------------------------------------------------------------- filters
 
 
@@ -594,6 +602,28 @@ def keyword_matrix_list(spark, d):
     return hits.select(*KEY, "keyword")
 
 
+COMBINATIONS = [
+    ("all of two", dict(keywords=["slotmap_read: NO", "lot7"])),
+    ("any of two", dict(keywords=["alarm code", "LOT7"], match_all=False)),
+    ("one or another, without a third", dict(keywords=["S6F11W"], or_keywords=["Alarm Code"], exclude_keywords=["note"])),
+    ("without one", dict(exclude_keywords=["statechange"])),
+    ("nowhere", dict(keywords=["lot7"], exclude_keywords=["o"])),
+]
+
+
+def keyword_combinations(spark, d):
+    """Five combinations from one stored table of bitmaps; it is built for some of the words and then extended by the others."""
+    rows, path = event_timeline(spark, d), new_path(spark, "bitmaps")
+    words = lambda *ws: spark.createDataFrame([(w,) for w in ws], "keyword string")
+    bitmaps.write(bitmaps.build(rows, words("slotmap_read: NO", "LOT7", "S6F11W")), path)
+    bitmaps.write(bitmaps.extend(spark.read.parquet(path), rows, words("lot7", "alarm code", "note", "StateChange", "O")), path)
+    stored, out = spark.read.parquet(path), None
+    for name, spec in COMBINATIONS:
+        one = bitmaps.positions(bitmaps.combine(stored, **spec)).select(F.lit(name).alias("combination"), "timeline_index")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def keyword_hits(spark, d):
     matches = search.search(doc_entries(spark, d), or_keywords=["tion", "the", "und", "les", "sch", "zz"])
     return search.keyword_counts(matches)
@@ -876,12 +906,12 @@ QUERIES = [
     text_lines, file_line_counts, line_numbers, file_inventory, mmi_entries, secs_entries, conversation_entries,
     document_entries, dialects, dialects_strict, dialect_fallback, setup_dump_skip, setup_dump_flag, load_counters,
     ceid_exclusion, ceid_in_ranges, sxfy_catalogue, level_names, secs_items, timeline_index, position_lookup, gaps, gaps_unindexed,
-    report_gaps, context_rows, page, centred_window, first_rows, order_check, digests, timeline_digest, type_filter,
+    report_gaps, context_rows, page, centred_window, first_rows, order_check, digests, timeline_digest, changed_ranges, type_filter,
     sxfy_filter, time_range, time_inputs, time_windows, time_window_one, after_anchor, before_anchor, bookmark_only,
     bookmark_exception, bookmark_decoration, bookmark_timeline, display_rows, log_text, composed_filter,
     composed_without_keywords, sxfy_normalised, keyword_literal, keyword_case_sensitive, keyword_accented,
     keyword_regex, keyword_named_group, keyword_annotated, keyword_bad_regex, keyword_sxfy, keyword_and_or_exclude, keyword_any_of, keyword_exclude_only,
-    keyword_matrix, keyword_matrix_list, keyword_hits, reference_name_search, reference_variable_search,
+    keyword_matrix, keyword_matrix_list, keyword_combinations, keyword_hits, reference_name_search, reference_variable_search,
     find_in_results, find_next, highlight, gram_postings, indexed_search, indexed_search_trigram,
     indexed_search_short, indexed_search_accented, used_ceids, used_rptids, event_name_dimension,
     report_variable_dimension, event_lookup, event_lookup_wildcard, attach_names, annotated_messages,
