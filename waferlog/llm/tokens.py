@@ -11,6 +11,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..staging import stage
+
 SPECIAL = "<|endoftext|>"
 #: The split of the vocabulary's byte-level pre-tokenizer (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -70,6 +72,8 @@ def length_histogram(lengths: DataFrame, length: str = "n_tokens", block: int =
     meet in one task. Null lengths are left out; an empty table gives no rows.
     """
     counts = lengths.where(F.col(length).isNotNull()).groupBy(F.col(length).alias("n_tokens")).agg(F.count("*").alias("n_docs"))
+    # Block sums and rows both read the counts; written once, they cost one encoding.
+    counts = stage(counts, "lengths")
     counts = counts.withColumn("__b", F.floor(F.col("n_tokens") / block)).withColumn("__t", F.col("n_tokens") * F.col("n_docs"))
     every = Window.partitionBy(F.lit(0))
     earlier = every.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
