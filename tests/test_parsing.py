@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waferlog.functions import secs
+from waferlog.operators import enrich
 from waferlog.operators import detect, entries as en
 from waferlog.plans.load import load_files, load_texts
 from waferlog.schema import RAW_LINES
@@ -66,6 +67,12 @@ def test_item_trees(spark):
         ("SEND S6F11\n<L [3]>\n  <U4 [1] 0>\n  <U4 [1] 7>\n  <L [1]>\n    <L [2]>\n      <U4 [1] 10>\n      <L [1]>\n        <A [1] x>",
          [[1, None, None], [2, 1, 1], [3, 1, 2], [4, 1, 3], [5, 4, 1], [6, 5, 1], [7, 5, 2], [8, 7, 1]], [10]),
         ("S6F11\n <A [1] a>\n  <A [1] b>\n plain\n <A [1] c>", [[1, None, None], [2, 1, 1], [4, None, None]], []),
+        # a parent's children may stand at several depths
+        ("S6F11\n<L [3]>\n    <A [1] a>\n  <A [1] b>\n      <A [1] c>\n  <A [1] d>",
+         [[1, None, None], [2, 1, 1], [3, 1, 2], [4, 3, 1], [5, 1, 3]], []),
+        # incomplete reports have no id; ids beyond 64 bits are none
+        ("S6F11\n<L [3]>\n <U4 [1] 0>\n <U4 [1] 7>\n <L [3]>\n  <L [1]>\n   <U4 [1] 5>\n  <L [2]>\n   <U8 [1] 99999999999999999999>\n   <L [0]>",
+         [[1, None, None], [2, 1, 1], [3, 1, 2], [4, 1, 3], [5, 4, 1], [6, 5, 1], [7, 4, 2], [8, 7, 1], [9, 7, 2]], []),
         ("no items", [], []),
     ]
     df = spark.createDataFrame([(i, m) for i, (m, _, _) in enumerate(messages)], "i int, message string")
@@ -75,6 +82,13 @@ def test_item_trees(spark):
         assert [[n[0], n[1], None if n[1] is None else n[2]] for n in row["nodes"]] == tree and row["ids"] == ids
 
 
+def test_trees_stay_in_the_jvm(spark):
+    df = spark.createDataFrame([("f", 0, "S6F11"), ("f", 1, None)], "source_path string, line_no long, message string")
+    for made in (enrich.item_table(df), df.select(secs.message_rptids(F.col("message")))):
+        assert "Python" not in made._jdf.queryExecution().executedPlan().toString()
+    assert df.where("line_no = 1").select(secs.message_rptids(F.col("message"))).first()[0] == []
+
+
 def test_unknown_dialects_cost_no_further_pass(spark):
     """The default settles unknown files in the block pass: no more scans or exchanges than without it."""
     raw = raw_lines(spark, {"notes.txt": [mmi(1, "a"), "b"]})

@@ -1,25 +1,16 @@
 """SECS-II message bodies: event ids, and the item tree that indentation spells out.
 
-One reader builds the tree of a message, in time that grows with its lines, over Arrow batches; no line is shuffled to learn its parent.
+The tree comes from array functions on the lines of a message: nothing is shuffled to learn a line's parent, and nothing leaves the JVM.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
-_ITEM = re.compile(r"([ \t]*)<([A-Z0-9]+)\s+\[(\d+)\](?:\s+(.*?))?\s*>", re.A | re.S)
+_ITEM = r"(?s)^([ \t]*)<([A-Z0-9]+)\s+\[(\d+)\](?:\s+(.*?))?\s*>"
 _SECOND_NUMBER = r"(?s)<[A-Z0-9]+\s+\[\d+\]\s+\d+\s*>.*?<[A-Z0-9]+\s+\[\d+\]\s+(\d+)\s*>"
 _INLINE_CEID = r"(?iuU)\bCEID\s*=\s*(\d+)\b"
 
-_NODE = (
-    "struct<line:int,indent:int,type:string,count:string,value:string,ord:int,"
-    "up1:int,up1_type:string,up1_ord:int,up2:int,up2_type:string,up3:int>"
-)
-
-
 def bind(value: Column, use) -> Column:
     """Evaluate `value` once and hand it to `use`; a plain Column would be evaluated at every mention."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -41,43 +32,105 @@ def message_ceid(message: Column) -> Column:
     return F.coalesce(inline_ceid(message), F.when(F.contains(message, F.lit("S6F11")), second_number(message)))
 
 
-def read_tree(message: str) -> list[dict]:
-    """The items of a message, in the order of their lines, each with its nearest ancestors; one pass with the path of open items."""
-    nodes: list[dict] = []
-    kids: list[int] = []
-    path: list[int] = []
-    for line, content in enumerate(message.split("\n")):
-        found = _ITEM.match(content)
-        if not found:
-            continue
-        indent = len(found[1])
-        while path and nodes[path[-1]]["indent"] >= indent:
-            path.pop()
-        up1, up2, up3 = ([nodes[i] for i in path[:-4:-1]] + [{}] * 3)[:3]
-        if path:
-            kids[path[-1]] += 1
-        nodes.append({
-            "line": line, "indent": indent, "type": found[2], "count": found[3], "value": found[4] or "", "ord": kids[path[-1]] if path else None,
-            "up1": up1.get("line"), "up1_type": up1.get("type"), "up1_ord": up1.get("ord"), "up2": up2.get("line"), "up2_type": up2.get("type"),
-            "up3": up3.get("line"),
-        })
-        path.append(len(nodes) - 1)
-        kids.append(0)
-    return nodes
+def _items(message: Column) -> Column:
+    """The `<TYPE [n] value>` lines of a message, in order."""
+    lines = F.transform(F.split(message, "\n"), lambda text, line: F.struct(line.alias("line"), text.alias("text")))
+
+    def fields(found: Column) -> Column:
+        indent, kind, count, value = (F.regexp_extract(found["text"], _ITEM, group) for group in range(1, 5))
+        return F.struct(
+            found["line"].alias("line"), F.length(indent).alias("indent"), kind.alias("type"), count.alias("count"), value.alias("value")
+        )
+
+    return F.transform(F.filter(lines, lambda x: x["text"].rlike(_ITEM)), fields)
+
+
+def _positions(rows: Column, test) -> Column:
+    """0-based positions of the rows that pass `test(row, position)`."""
+    return F.filter(F.transform(rows, lambda x, i: F.when(test(x, i), i)), lambda i: i.isNotNull())
+
+
+def _cut(rows: Column, starts: Column) -> Column:
+    """Slices of `rows`, one from each position in `starts` to the next."""
+    return F.transform(starts, lambda at, m: F.slice(rows, at + 1, F.coalesce(F.get(starts, m + 1), F.size(rows)) - at))
+
+
+def _with_parents(items: Column) -> Column:
+    """Items with the line of their parent, the nearest earlier item with a smaller indent (-1: none).
+
+    Cut before every item that is shallower than a level, the items of that level belong to the head of their slice. The slices of a
+    level are disjoint, so the work grows with items times distinct indents.
+    """
+    ground = F.struct(
+        F.lit(-1).alias("line"), F.lit(-1).alias("indent"), F.lit("").alias("type"), F.lit("").alias("count"), F.lit("").alias("value")
+    )
+
+    def of_section(section: Column, level: Column) -> Column:
+        return F.transform(
+            F.filter(section, lambda x: x["indent"] == level),
+            lambda x: F.struct(F.get(section, F.lit(0))["line"].alias("up1"), x["line"], x["indent"], x["type"], x["count"], x["value"]),
+        )
+
+    def of_level(rows: Column, level: Column) -> Column:
+        shallower = _positions(rows, lambda x, _: x["indent"] < level)
+        sections = bind(shallower, lambda starts: _cut(rows, starts))
+        return F.flatten(F.transform(sections, lambda section: of_section(section, level)))
+
+    levels = F.array_distinct(F.transform(items, lambda x: x["indent"]))
+    return bind(
+        F.concat(F.array(ground), items), lambda rows: F.flatten(F.transform(levels, lambda level: of_level(rows, level)))
+    )
+
+
+def _families(children: Column) -> Column:
+    """Children by parent, in the order of lines, each with its place among its siblings."""
+
+    def by_parent(rows: Column) -> Column:
+        first = _positions(rows, lambda x, i: ~x["up1"].eqNullSafe(F.get(rows, i - 1)["up1"]))
+        return bind(first, lambda starts: _cut(rows, starts))
+
+    return F.transform(
+        bind(F.sort_array(children), by_parent),
+        lambda family: F.transform(
+            family,
+            lambda x, i: F.struct(
+                x["line"], x["indent"], x["type"], x["count"], x["value"], F.when(x["up1"] >= 0, i + 1).alias("ord"), x["up1"]
+            ),
+        ),
+    )
 
 
 def item_nodes(message: Column) -> Column:
     """All `<TYPE [n] value>` lines of a message with their place in the tree; NULL for a NULL message.
 
-    `line` is the 0-based line, `ord` the 1-based position among its siblings, `up1..up3` the lines of the nearest
-    ancestors (NULL at the top). An item's parent is the nearest earlier item with a smaller indent.
+    `line` is the 0-based line, `ord` the 1-based position among its siblings, `up1` and `up2` the lines of its parent and
+    grandparent (NULL at the top). An item's parent is the nearest earlier item with a smaller indent.
     """
 
-    @F.pandas_udf(f"array<{_NODE}>")
-    def nodes(messages: pd.Series) -> pd.Series:
-        return messages.map(lambda text: None if text is None else read_tree(text))
+    def attach(families: Column) -> Column:
+        # An item followed by a deeper one is a parent; in the order of lines, parents and families go in step. Family 0 has no parent.
+        ordered = F.sort_array(F.flatten(families))
+        parents = bind(
+            ordered, lambda rows: F.filter(rows, lambda x, i: F.coalesce(F.get(rows, i + 1)["indent"] > x["indent"], F.lit(False)))
+        )
+
+        def with_parent(family: Column, parent: Column) -> Column:
+            return F.transform(
+                family,
+                lambda x: F.struct(
+                    x["line"], x["indent"], x["type"], x["count"], x["value"], x["ord"], F.nullif(x["up1"], F.lit(-1)).alias("up1"),
+                    parent["type"].alias("up1_type"), parent["ord"].alias("up1_ord"), F.nullif(parent["up1"], F.lit(-1)).alias("up2"),
+                ),
+            )
+
+        def all_families(parents: Column) -> Column:
+            return F.flatten(
+                F.transform(families, lambda family, m: bind(F.get(parents, m - 1), lambda parent: with_parent(family, parent)))
+            )
 
-    return nodes(message)
+        return F.sort_array(bind(parents, all_families))
+
+    return bind(_items(message), lambda items: bind(_families(_with_parents(items)), attach))
 
 
 def body_line(nodes: Column) -> Column:
@@ -118,21 +171,10 @@ def report_ids(nodes: Column, body: Column) -> Column:
 
 
 def message_rptids(message: Column) -> Column:
-    """Sorted distinct report ids of an S6F11 message; an empty array for any other message, which isn't sent to Python."""
-    number = re.compile(r"-?\d+")
-
-    def ids_of(text: str) -> list[int]:
-        nodes = read_tree(text)
-        body = min((n["up1"] for n in nodes if n["ord"] == 3 and n["up1_type"] == "L"), default=None)
-        listing = next((n["line"] for n in nodes if n["ord"] == 3 and n["up1"] == body), None)
-        listed = [n for n in nodes if n["up1_type"] == "L" and n["up2"] == listing and listing is not None]
-        complete = {n["up1"] for n in listed if n["ord"] == 2}
-        found = (number.search(n["value"]) for n in listed if n["ord"] == 1 and n["up1"] in complete)
-        return sorted({int(f[0]) for f in found if f and -(2**63) <= int(f[0]) < 2**63})
-
-    @F.pandas_udf("array<bigint>")
-    def rptids(messages: pd.Series) -> pd.Series:
-        return messages.map(lambda text: None if text is None else ids_of(text))
-
-    ids = rptids(F.when(F.contains(message, F.lit("S6F11")), message))
-    return F.coalesce(ids, F.array().cast("array<bigint>"))
+    """Sorted distinct report ids of an S6F11 message; an empty array for any other message."""
+    none = F.array().cast("array<bigint>")
+    ids = bind(
+        item_nodes(message),
+        lambda nodes: F.transform(bind(body_line(nodes), lambda body: report_ids(nodes, body)), lambda r: r["rptid"]),
+    )
+    return F.coalesce(F.when(F.contains(message, F.lit("S6F11")), F.sort_array(F.array_distinct(ids))), none)

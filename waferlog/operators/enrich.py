@@ -63,7 +63,7 @@ def _targets(message: Column, extended: bool) -> Column:
             lambda known: F.transform(
                 F.filter(
                     nodes,
-                    lambda n: (n["up1_ord"] == 2) & (n["up2_type"] == "L") & F.map_contains_key(known, n["up2"]),
+                    lambda n: (n["up1_ord"] == 2) & F.map_contains_key(known, n["up2"]),
                 ),
                 lambda n: F.struct(
                     F.lit("value").alias("kind"),
