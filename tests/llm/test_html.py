@@ -1,5 +1,6 @@
 import html as escapes
 import re
+import time
 
 from waferlog.llm import html
 
@@ -66,6 +67,30 @@ def test_flagged_wrappers_are_judged_by_what_they_hold():
         assert html.main_text(page(wrap.format(inner)))[0] == want, wrap
 
 
+def test_comments_consent_and_adverts_never_return_beside_text():
+    _, first, second, _ = ARTICLE
+    inner = f"<p>{escapes.escape(first)}</p><p>{second}</p>"
+    want = f"{first}\n{second}"
+    for count in (1, 12, 100):
+        said = "".join(f"<p>Reader {i}: what a long and thoughtful comment this is, indeed, and I have more to say.</p>" for i in range(count))
+        for area in (f"<div class='comments'>{said}</div>", f"<section id='comments'>{said}</section>", f"<div id='respond'><article>{said}</article></div>",
+                     f"<div class='comment-list'>{said}</div>", f"<aside class='comments'>{said}</aside>"):
+            for wrap in ("<div>{}</div>{}", "<main><article>{}</article>{}</main>", "<article>{}</article>{}", "<article>{}{}</article>", "<div class='sidebar'>{}</div>{}"):
+                if "sidebar" in wrap and "<article" in area:
+                    continue  # an article among comments against a text whose name speaks against it: not decided here
+                assert html.main_text(page(wrap.format(inner, area)))[0] == want, (count, area[:40], wrap)
+    consent = "<div class='cookie-consent'><p>" + "We and our partners store things on your machine. " * 60 + "</p></div>"
+    assert html.main_text(page(f"{consent}<div><p>A short post of six words.</p></div>"))[0] == "A short post of six words."
+    # alone on its page, such text is all there is
+    assert html.main_text(page(f"<div class='comments'><p>{second}</p></div>"))[0] == second
+
+
+def test_unmatched_end_tags_cost_no_more_than_others():
+    start = time.perf_counter()
+    assert html.main_text("<div>" * 50_000 + "</section>" * 50_000 + "<p>text of some words here")[0] == "text of some words here"
+    assert time.perf_counter() - start < 10
+
+
 def test_parts_of_an_article_stay_with_it():
     _, first, second, end = ARTICLE
     inner = f"<header><h1><a href='/x'>Headline</a></h1></header><p>{escapes.escape(first)}</p><table><tr><td>1</td><td>2</td></tr></table><p>{second}</p><pre><b>x</b> <i>=</i> <b>1</b></pre><div><p>{end}</p></div>"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -34,6 +35,12 @@ CLUTTER = frozenset(
     "navigation breadcrumb breadcrumbs pagination pager tabs toolbar footer foot copyright cookie cookies consent gdpr notice notices alert popup modal "
     "overlay newsletter subscribe signup login comment comments commentlist respond disqus replies reply related recommended share sharing social "
     "masthead topbar skip search form".split())
+#: Of these, what readers, advertisers or lawyers wrote: however long, it is no main text beside any other text.
+FOREIGN = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr comment comments commentlist respond disqus "
+    "replies reply".split())
+#: Fewest words of a line that is text rather than a label.
+RUNNING = 3
 #: First words of names that tell what an element has or lacks, not what it is (has-sidebar, no-comments).
 STATES = frozenset("has have no not non with without show hide hides".split())
 #: Text under a flag counts as one part in so many, text in an article or main element so many times, when flags are judged.
@@ -56,12 +63,14 @@ class Line:
 @dataclass
 class Flag:
     """An element that its name, role, class or id marks as no main text: its lines, the flag around it (-1: none), how much less its text
-    counts, whether it is a hint only (class, id, form), whether it holds an article or main element."""
+    counts, whether it is a hint only (class, id, form), whether its name says that others wrote its text, whether it holds an article or
+    main element."""
 
     first: int
     around: int
     cost: float
     hint: bool
+    foreign: bool
     holds: bool
     last: int = -1
 
@@ -74,6 +83,7 @@ class LineParser(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.open: list[tuple[str, bool, int, bool, int, int]] = []  # name, skipped, section, in an article, innermost flag, number of the article or -1
+        self.names: Counter[str] = Counter()  # of open elements
         self.flags: list[Flag] = []
         self.articles: list[list[int]] = []  # first line, end
         self.parents = [0]  # of each section, the section that it may belong to, or itself
@@ -92,6 +102,7 @@ class LineParser(HTMLParser):
 
     def pop(self) -> str:
         name, _, _, _, flag, article = self.open.pop()
+        self.names[name] -= 1
         if flag >= 0 and flag != self.top()[3]:
             self.flags[flag].last = len(self.lines)
         if article >= 0:
@@ -124,9 +135,9 @@ class LineParser(HTMLParser):
         if tag not in ("html", "body"):
             skipped = skipped or tag in DROPPED or hidden(attrs)
             is_article = tag in ("article", "main") and not skipped
-            cost, hint = flagged(tag, attrs, inside)
+            cost, hint, foreign = flagged(tag, attrs, inside)
             if cost > 1 and not skipped:
-                self.flags.append(Flag(len(self.lines), flag, cost, hint, is_article))
+                self.flags.append(Flag(len(self.lines), flag, cost, hint, foreign, is_article))
                 flag = len(self.flags) - 1
             if is_article:
                 article = len(self.articles)
@@ -139,6 +150,7 @@ class LineParser(HTMLParser):
                 self.parents.append(section if tag in FLOW or (inside and tag in CELLS) else len(self.parents))
                 section = len(self.parents) - 1
             inside = inside or tag in ("article", "main")
+        self.names[tag] += 1
         self.open.append((tag, skipped, section, inside, flag, article))
 
     def handle_startendtag(self, tag: str, attrs) -> None:
@@ -154,7 +166,7 @@ class LineParser(HTMLParser):
             return
         self.end_line()
         self.headline, self.code = self.headline and tag != "h1", self.code and tag != "pre"
-        if tag in OPENED and any(o[0] == tag for o in self.open):
+        if tag in OPENED and self.names[tag]:
             while self.pop() != tag:
                 pass
 
@@ -176,20 +188,30 @@ def hidden(attrs) -> bool:
         for name, value in attrs)
 
 
-def flagged(tag: str, attrs, inside: bool) -> tuple[float, bool]:
-    """How much less an element's text counts by its name, role, class and id, and whether class, id or form alone say so."""
-    hint = OTHER_FLAG if tag == "form" else 1.0
-    if tag in ASIDES or (tag == "header" and not inside):
-        return OTHER_FLAG, False
+def flagged(tag: str, attrs, inside: bool) -> tuple[float, bool, bool]:
+    """How much less an element's text counts by its name, role, class and id, whether class, id or form alone say so, and whether a class
+    or id names it as foreign."""
+    hint, foreign = OTHER_FLAG if tag == "form" else 1.0, False
+    of_element = tag in ASIDES or (tag == "header" and not inside)
     for name, value in attrs:
         if name == "role" and value and value.lower() in ROLES:
-            return OTHER_FLAG, False
+            of_element = True
         if name in ("class", "id"):
             for words in (_WORD.findall(x.lower()) for x in (value or "").split()):
                 known = [w in CLUTTER for w in words if not w.isdigit()]
                 if any(known) and words[0] not in STATES:
                     hint = max(hint, WHOLE_NAME if all(known) else PART_OF_NAME)
-    return hint, True
+                    foreign = foreign or not FOREIGN.isdisjoint(words)
+    return (OTHER_FLAG, False, foreign) if of_element else (hint, True, foreign)
+
+
+def covered(flags: list[Flag], n: int) -> np.ndarray:
+    """Which of `n` lines stand in one of the flagged elements."""
+    under = np.zeros(n + 1)
+    for f in flags:
+        under[f.first] += 1
+        under[f.last] -= 1
+    return np.cumsum(under)[:-1] > 0
 
 
 def unflagged_lines(lines: list[Line], flags: list[Flag], articles: list[list[int]]) -> list[Line]:
@@ -199,6 +221,9 @@ def unflagged_lines(lines: list[Line], flags: list[Flag], articles: list[list[in
     holds at least half of the page's weight; a class, an id or a form also if it holds the heaviest article of the page. The element
     names and roles that never mean main text are lifted only around an article. If what stands under flags still outweighs all other text
     four times, or there is no other, classes, ids and forms tell nothing on this page and are all lifted.
+
+    No weight lifts the flag of a foreign element (comments, consent, adverts) while text is left outside: lines that aren't mostly link, of
+    `RUNNING` words or more, outside all foreign and all element flags, or outside all flags if the element holds an article.
     """
     if not flags or not lines:
         return lines
@@ -210,9 +235,13 @@ def unflagged_lines(lines: list[Line], flags: list[Flag], articles: list[list[in
     weight = size * np.exp(-np.cumsum(cost)[:-1])
     main = max(articles, key=lambda a: weight[a[0] : a[1]].sum(), default=[0, 0])
     has_main = weight[main[0] : main[1]].sum() > 0
+    text = np.array([2 * x.linked <= len(x.text) and len(x.text.split()) >= RUNNING for x in lines])
+    outside = bool((text & ~covered([f for f in flags if f.foreign or not f.hint], len(lines))).any())
+    outside_all = bool((text & ~covered(flags, len(lines))).any())
+    firm = [f.foreign and (outside_all if f.holds else outside) for f in flags]
     stands = [True] * len(flags)
     for i, f in enumerate(flags):
-        if f.around >= 0 and stands[f.around]:
+        if firm[i] or (f.around >= 0 and stands[f.around]):
             continue
         held = weight[f.first : f.last].sum()
         around_main = has_main and f.holds and f.first <= main[0] and main[1] <= f.last
@@ -221,12 +250,7 @@ def unflagged_lines(lines: list[Line], flags: list[Flag], articles: list[list[in
             weight[f.first : f.last] *= f.cost
 
     def out(hints: bool) -> np.ndarray:
-        under = np.zeros(len(lines) + 1)
-        for f, s in zip(flags, stands):
-            if s and (hints or not f.hint):
-                under[f.first] += 1
-                under[f.last] -= 1
-        return np.cumsum(under)[:-1] > 0
+        return covered([f for f, s, w in zip(flags, stands, firm) if s and (hints or w or not f.hint)], len(lines))
 
     under = out(True)
     if 4 * weight[~under].sum() <= weight[under & ~out(False)].sum():
