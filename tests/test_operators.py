@@ -1,3 +1,4 @@
+import re
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -309,6 +310,16 @@ def test_spans(spark):
     assert sorted(tuple(r)[2:] for r in literal) == [("cat", 3, 6), ("cat", 7, 10), ("cat", 11, 14), ("ÉTÉ", 15, 18)]
     regex = search.span_table(rows, [r"\bcat"], use_regex=True).collect()
     assert sorted(tuple(r)[2:] for r in regex) == [(r"\bcat", 7, 10), (r"\bcat", 11, 14)]
+    assert "Python" not in search.span_table(rows, ["cat"])._jdf.queryExecution().executedPlan().toString()
+
+
+def test_spans_of_empty_matches_marks_and_many_matches(spark):
+    texts = ["a\0b a\0b", "😀x😀 x", "", None, "x y" * 2000]
+    rows = frame(spark, *[{**entry(t or "", i), "message": t} for i, t in enumerate(texts)])
+    for pattern in ("x*", "b|😀", r"(?=y)|x"):
+        got = sorted((r["line_no"], r["start"], r["end"]) for r in search.span_table(rows, [pattern], use_regex=True).collect())
+        assert got == sorted((i, m.start(), m.end()) for i, t in enumerate(texts) for m in re.finditer(pattern, t or "") if m.group())
+    assert search.span_table(rows, [" ", ""]).count() == 0
 
 
 def test_context_pages_and_order(spark):

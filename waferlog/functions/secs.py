@@ -7,15 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .arrays import bind, cut, positions
+
 _ITEM = r"(?s)^([ \t]*)<([A-Z0-9]+)\s+\[(\d+)\](?:\s+(.*?))?\s*>"
 _SECOND_NUMBER = r"(?s)<[A-Z0-9]+\s+\[\d+\]\s+\d+\s*>.*?<[A-Z0-9]+\s+\[\d+\]\s+(\d+)\s*>"
 _INLINE_CEID = r"(?iuU)\bCEID\s*=\s*(\d+)\b"
 
-def bind(value: Column, use) -> Column:
-    """Evaluate `value` once and hand it to `use`; a plain Column would be evaluated at every mention."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def inline_ceid(text: Column) -> Column:
     # The plain test spares most texts the case-insensitive pattern.
     hinted = F.contains(F.lower(text), F.lit("ce"))
@@ -45,16 +42,6 @@ def _items(message: Column) -> Column:
     return F.transform(F.filter(lines, lambda x: x["text"].rlike(_ITEM)), fields)
 
 
-def _positions(rows: Column, test) -> Column:
-    """0-based positions of the rows that pass `test(row, position)`."""
-    return F.filter(F.transform(rows, lambda x, i: F.when(test(x, i), i)), lambda i: i.isNotNull())
-
-
-def _cut(rows: Column, starts: Column) -> Column:
-    """Slices of `rows`, one from each position in `starts` to the next."""
-    return F.transform(starts, lambda at, m: F.slice(rows, at + 1, F.coalesce(F.get(starts, m + 1), F.size(rows)) - at))
-
-
 def _with_parents(items: Column) -> Column:
     """Items with the line of their parent, the nearest earlier item with a smaller indent (-1: none).
 
@@ -72,8 +59,8 @@ def _with_parents(items: Column) -> Column:
         )
 
     def of_level(rows: Column, level: Column) -> Column:
-        shallower = _positions(rows, lambda x, _: x["indent"] < level)
-        sections = bind(shallower, lambda starts: _cut(rows, starts))
+        shallower = positions(rows, lambda x, _: x["indent"] < level)
+        sections = bind(shallower, lambda starts: cut(rows, starts))
         return F.flatten(F.transform(sections, lambda section: of_section(section, level)))
 
     levels = F.array_distinct(F.transform(items, lambda x: x["indent"]))
@@ -86,8 +73,8 @@ def _families(children: Column) -> Column:
     """Children by parent, in the order of lines, each with its place among its siblings."""
 
     def by_parent(rows: Column) -> Column:
-        first = _positions(rows, lambda x, i: ~x["up1"].eqNullSafe(F.get(rows, i - 1)["up1"]))
-        return bind(first, lambda starts: _cut(rows, starts))
+        first = positions(rows, lambda x, i: ~x["up1"].eqNullSafe(F.get(rows, i - 1)["up1"]))
+        return bind(first, lambda starts: cut(rows, starts))
 
     return F.transform(
         bind(F.sort_array(children), by_parent),

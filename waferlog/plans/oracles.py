@@ -604,6 +604,14 @@ UNION ALL SELECT 4, min(p) FROM A UNION ALL SELECT 5, max(p) FROM A"""
             """, Z AS (SELECT seq_index, [length(x) FOR x IN string_split(lower(message), 'tion')] AS c FROM D),
 Y AS (SELECT seq_index, c, unnest(generate_series(1, len(c) - 1)) AS i FROM Z)
 SELECT seq_index, 'tion' AS term, CAST(list_sum(c[1:i]) + 4 * (i - 1) AS BIGINT) AS start, CAST(list_sum(c[1:i]) + 4 * i AS BIGINT) AS "end" FROM Y"""
+        ),
+        "highlight_terms": _docs(
+            """, P AS (SELECT unnest(['tion', '[aeiou]{2,}', '\\b(?:the|and)\\b']) AS term),
+Z AS (SELECT seq_index, term, [length(x) FOR x IN string_split_regex(message, '(?i)' || term)] AS c,
+ [length(x) FOR x IN regexp_extract_all(message, '(?i)' || term)] AS h FROM D, P),
+Y AS (SELECT *, unnest(generate_series(1, len(h))) AS i FROM Z)
+SELECT seq_index, term, CAST(list_sum(c[1:i]) + coalesce(list_sum(h[1:i - 1]), 0) AS BIGINT) AS start,
+ CAST(list_sum(c[1:i]) + list_sum(h[1:i]) AS BIGINT) AS "end" FROM Y"""
         ),
         "gram_postings": _events(
             """, T AS (SELECT source_file, line_no // 256 AS b, lower(replace(message, 'S6F11W', 'S6F11')) AS m FROM E),

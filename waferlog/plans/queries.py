@@ -661,6 +661,14 @@ def highlight(spark, d):
         "seq_index", "term", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
+def highlight_terms(spark, d):
+    """Three patterns at once, with matches of different lengths."""
+    docs = doc_entries(spark, d)
+    spans = search.span_table(docs, ["tion", "[aeiou]{2,}", r"\b(?:the|and)\b"], use_regex=True)
+    return spans.join(docs.select("source_path", "line_no", "seq_index"), ["source_path", "line_no"]).select(
+        "seq_index", "term", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
 def gram_postings(spark, d):
     """In how many blocks of 256 lines of the event log each run of three characters occurs."""
     text = F.lower(normalize_sxfy(F.col("message")))
@@ -912,7 +920,7 @@ QUERIES = [
     composed_without_keywords, sxfy_normalised, keyword_literal, keyword_case_sensitive, keyword_accented,
     keyword_regex, keyword_named_group, keyword_annotated, keyword_bad_regex, keyword_sxfy, keyword_and_or_exclude, keyword_any_of, keyword_exclude_only,
     keyword_matrix, keyword_matrix_list, keyword_combinations, keyword_hits, reference_name_search, reference_variable_search,
-    find_in_results, find_next, highlight, gram_postings, indexed_search, indexed_search_trigram,
+    find_in_results, find_next, highlight, highlight_terms, gram_postings, indexed_search, indexed_search_trigram,
     indexed_search_short, indexed_search_accented, used_ceids, used_rptids, event_name_dimension,
     report_variable_dimension, event_lookup, event_lookup_wildcard, attach_names, annotated_messages,
     annotated_extended, annotated_without_variables, alarms, alarm_summary, object_events, object_event_filter,
