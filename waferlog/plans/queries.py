@@ -663,10 +663,9 @@ def highlight(spark, d):
 
 def highlight_terms(spark, d):
     """Three patterns at once, with matches of different lengths."""
-    docs = doc_entries(spark, d)
-    spans = search.span_table(docs, ["tion", "[aeiou]{2,}", r"\b(?:the|and)\b"], use_regex=True)
-    return spans.join(docs.select("source_path", "line_no", "seq_index"), ["source_path", "line_no"]).select(
-        "seq_index", "term", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    patterns = ["tion", "[aeiou]{2,}", r"\b(?:the|and)\b"]
+    spans = search.span_table(doc_entries(spark, d), patterns, keep=["seq_index"], use_regex=True)
+    return spans.select("seq_index", "term", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
 def gram_postings(spark, d):
