@@ -721,6 +721,23 @@ SELECT string_agg(label, '; ' ORDER BY o) AS signals FROM S1"""
 UNION ALL SELECT 'events', count(*) FROM E WHERE is_object_event AND t >= TIMESTAMP '2024-01-02'"""
         ),
         "investigation_report": _report(),
+        "report_files": f"""WITH R AS ({_report()}),
+F AS (
+  SELECT 'markdown' AS form, section, ord, 0 AS part, text FROM R
+  UNION ALL SELECT 'text', section, ord, 0, CASE WHEN starts_with(text, '- ') THEN '  * ' || substring(text, 3) ELSE regexp_replace(text, '^#+ ', '') END FROM R
+  UNION ALL SELECT 'text', section, ord, 1, repeat(CASE WHEN starts_with(text, '# ') THEN '=' ELSE '-' END, CAST(length(regexp_replace(text, '^#+ ', '')) AS INT))
+  FROM R WHERE starts_with(text, '#')),
+L AS (SELECT form, section, ord, part, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS piece FROM F)
+SELECT form, row_number() OVER (PARTITION BY form ORDER BY section, ord, part, piece) AS line_no, text FROM L""",
+        "filter_descriptions": _events(
+            f""", SP AS (SELECT strftime(min(t), '%Y-%m-%d %H:%M:%S.%g') AS a, strftime(max(t), '%Y-%m-%d %H:%M:%S.%g') AS b FROM E),
+W AS (SELECT *, {_has('carrierobject')} AND {_has('slotmap_read: yes')} OR {_has('lot12')} OR {_has('lot13')} AS hit FROM E)
+SELECT 'all' AS spec, 'AND: carrierobject, slotmap_read: yes / OR: LOT12, LOT13 / 제외: note, alarm / 북마크 키워드 조건 예외 / 시간: ' || a || ' ~ ' || b AS description,
+ (SELECT count(*) FROM W WHERE hit AND NOT {_has('note')} AND NOT {_has('alarm')}) AS entries FROM SP
+UNION ALL SELECT 'from', '제외: note / 시간: ' || a || ' ~ ', (SELECT count(*) FROM W WHERE NOT {_has('note')}) FROM SP
+UNION ALL SELECT 'words', 'AND: carrierobject, slotmap_read: yes / OR: LOT12, LOT13', count(*) FILTER (hit) FROM W
+UNION ALL SELECT 'none', '', count(*) FROM W"""
+        ),
         "line_diff": f"""WITH {PAIRS},
 LL AS (SELECT pair_id, unnest(string_split(l, chr(10))) AS line, generate_subscripts(string_split(l, chr(10)), 1) AS no FROM PR),
 RR AS (SELECT pair_id, unnest(string_split(r, chr(10))) AS line, generate_subscripts(string_split(r, chr(10)), 1) AS no FROM PR),

@@ -891,6 +891,43 @@ def investigation_report(spark, d):
         event_names=names(spark, d), generated=datetime(2024, 2, 1)).select("section", "ord", "text")
 
 
+def report_files(spark, d):
+    """The report as Markdown and as plain text, written to files and read back line by line."""
+    rows = event_entries(spark, d)
+    matches = search.search(rows, or_keywords=["LOT12", "alarm"])
+    out = None
+    for form in ("markdown", "text"):
+        lines = rp.report(
+            rows, events_of(spark, d), alarms_of(spark, d), matches, keyword="OR: LOT12, alarm", markdown=form == "markdown",
+            event_names=names(spark, d), generated=datetime(2024, 2, 1))
+        path = new_path(spark, f"report-{form}")
+        sinks.write_report(lines, path)
+        back = sinks.read_report(spark, path).select(F.lit(form).alias("form"), "line_no", "text")
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+def filter_descriptions(spark, d):
+    """What specifications over the log's own span describe, and how many entries pass each."""
+    rows = event_entries(spark, d)
+    span = rp.log_span(rows).first()
+    # The span of a log without entries is empty, and so is the time part of its descriptions.
+    span = {"start": span and span["first"], "end": span and span["last"]}
+    words = {"keywords": [("AND", "carrierobject"), ("OR", "LOT12"), ("OR", "LOT13"), ("AND", "slotmap_read: yes")]}
+    specs = {
+        "all": FilterSpec(**words, **span, exclude_keywords=["note", "alarm"], always_include_bookmarks=True),
+        "from": FilterSpec(start=span["start"], exclude_keywords=["note"]),
+        "words": FilterSpec(**words),
+        "none": FilterSpec(),
+    }
+    out = None
+    for name, spec in specs.items():
+        part = filters.apply_spec(rows, spec).agg(F.count("*").alias("entries"))
+        part = part.select(F.lit(name).alias("spec"), F.lit(spec.describe()).alias("description"), "entries")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # ---------------------------------------------------------------- comparison
 
 
@@ -926,7 +963,7 @@ QUERIES = [
     events_per_type, carrier_roundtrip, carrier_roundtrips, related_candidates, flow_terms, related_search,
     statistics, statistics_bookmarked, top_sxfy, top_ceids, top_event_names, top_ceid_hints, log_span,
     first_alarm, problem_entry, problem_context, pre_problem_signals, largest_gap, report_scope,
-    investigation_report, line_diff,
+    investigation_report, report_files, filter_descriptions, line_diff,
 ]
 
 

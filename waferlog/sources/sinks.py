@@ -59,6 +59,13 @@ def write_report(report: DataFrame, path: str) -> None:
     lines.coalesce(1).write.mode("overwrite").text(path)
 
 
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, text) of a written report, numbered from 1; its one bounded file is one row of text."""
+    whole = spark.read.text(path, wholetext=True)
+    lines = F.posexplode(F.split(F.regexp_replace("value", "\\n$", ""), "\n")).alias("_no", "text")
+    return whole.select(lines).select((F.col("_no") + 1).cast("long").alias("line_no"), "text")
+
+
 def write_bookmarks(bookmarks: DataFrame, path: str) -> None:
     """`bookmarks(entry_key, memo)` as JSON lines; an entry that is marked twice keeps one memo, the larger text."""
     marks = bookmarks.filter("entry_key IS NOT NULL").groupBy("entry_key").agg(F.max(F.coalesce("memo", F.lit(""))).alias("memo"))
@@ -69,4 +76,4 @@ def read_bookmarks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("entry_key string, memo string").json(path)
 
 
-__all__ = ["LABELS", "as_log_text", "log_text", "read_bookmarks", "write_bookmarks", "write_csv", "write_log_text", "write_report"]
+__all__ = ["LABELS", "as_log_text", "log_text", "read_bookmarks", "read_report", "write_bookmarks", "write_csv", "write_log_text", "write_report"]
