@@ -738,6 +738,23 @@ UNION ALL SELECT 'from', '제외: note / 시간: ' || a || ' ~ ', (SELECT count(
 UNION ALL SELECT 'words', 'AND: carrierobject, slotmap_read: yes / OR: LOT12, LOT13', count(*) FILTER (hit) FROM W
 UNION ALL SELECT 'none', '', count(*) FROM W"""
         ),
+        "xml_pieces": r"""WITH H AS (
+  SELECT page_id, html, '<!--(?s:.*?)-->|<!\[CDATA\[(?s:.*?)\]\]>|</?[A-Za-z_][A-Za-z0-9_:.-]*(?:\s[^<>]*)?/?>' AS p FROM pages),
+G AS (SELECT page_id, html, unnest(regexp_extract_all(html, p)) AS tag, unnest(string_split_regex(html, p)[:-2]) AS gap, generate_subscripts(regexp_extract_all(html, p), 1) AS i FROM H),
+T0 AS (SELECT page_id, html, tag, i, sum(length(gap) + length(tag)) OVER (PARTITION BY page_id ORDER BY i) AS e, regexp_extract(tag, '^</?([A-Za-z_][A-Za-z0-9_:.-]*)', 1) AS name FROM G),
+T AS (SELECT *, e - length(tag) AS s, CASE WHEN starts_with(tag, '</') THEN -1 WHEN ends_with(tag, '/>') THEN 0 ELSE 1 END AS step FROM T0
+  WHERE name <> '' AND upper(name) NOT IN ('L', 'A', 'B', 'BOOLEAN', 'I1', 'I2', 'I4', 'I8', 'U1', 'U2', 'U4', 'U8', 'F4', 'F8')),
+D AS (SELECT *, sum(step) OVER (PARTITION BY page_id ORDER BY i) + CASE WHEN step = -1 THEN 1 ELSE 0 END AS depth FROM T),
+-- The closing tag of a start tag is the first later tag that comes down to its depth.
+C AS (SELECT a.page_id, a.i, min(b.i) AS j FROM D a JOIN D b ON b.page_id = a.page_id AND b.i > a.i AND b.step = -1 AND b.depth = a.depth WHERE a.step = 1 GROUP BY ALL),
+P AS (SELECT a.page_id, a.i, b.i AS j, a.s, b.e, a.name, a.html FROM C JOIN D a USING (page_id, i) JOIN D b ON b.page_id = C.page_id AND b.i = C.j WHERE a.name = b.name
+  UNION ALL SELECT page_id, i, i, s, e, name, html FROM D WHERE step = 0),
+Q AS (SELECT page_id, i FROM P UNION SELECT page_id, j FROM P),
+N AS (SELECT D.page_id, D.i, D.step FROM D LEFT JOIN Q USING (page_id, i) WHERE Q.i IS NULL),
+W AS (SELECT * FROM P WHERE NOT EXISTS (SELECT 1 FROM N WHERE N.page_id = P.page_id AND N.i BETWEEN P.i AND P.j)),
+O AS (SELECT * FROM W WHERE NOT EXISTS (SELECT 1 FROM W v WHERE v.page_id = W.page_id AND v.i < W.i AND v.j >= W.j AND v.i <> W.i))
+SELECT O.page_id, CAST(s AS BIGINT) AS start, CAST(e AS BIGINT) AS "end", name, (SELECT count(*) FROM D WHERE D.page_id = O.page_id AND D.i BETWEEN O.i AND O.j AND D.step >= 0) AS tags,
+ md5(substring(html, CAST(s + 1 AS BIGINT), CAST(e - s AS BIGINT))) AS piece_md5 FROM O""",
         "line_diff": f"""WITH {PAIRS},
 LL AS (SELECT pair_id, unnest(string_split(l, chr(10))) AS line, generate_subscripts(string_split(l, chr(10)), 1) AS no FROM PR),
 RR AS (SELECT pair_id, unnest(string_split(r, chr(10))) AS line, generate_subscripts(string_split(r, chr(10)), 1) AS no FROM PR),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import display_time, normalize_sxfy, report_gap_text
 from ..operators import (
-    alarms as al, bitmaps, compare, detect, enrich, entries as en, filters, objects, ordered, related, roundtrip, rowwin, search, stats,
+    alarms as al, bitmaps, compare, detect, enrich, entries as en, filters, objects, ordered, related, roundtrip, rowwin, search, stats, xml,
 )
 from ..schema import order_columns
 from ..sources import dims, sinks, synth
@@ -928,6 +928,13 @@ def filter_descriptions(spark, d):
     return out
 
 
+def xml_pieces(spark, d):
+    """The outermost complete XML pieces of all pages, taken as messages."""
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html")
+    found = xml.with_texts(xml.xml_pieces(pages, ["page_id"], "html"), pages, ["page_id"], "html")
+    return found.select("page_id", "start", "end", "name", "tags", F.md5("piece").alias("piece_md5"))
+
+
 # ---------------------------------------------------------------- comparison
 
 
@@ -963,7 +970,7 @@ QUERIES = [
     events_per_type, carrier_roundtrip, carrier_roundtrips, related_candidates, flow_terms, related_search,
     statistics, statistics_bookmarked, top_sxfy, top_ceids, top_event_names, top_ceid_hints, log_span,
     first_alarm, problem_entry, problem_context, pre_problem_signals, largest_gap, report_scope,
-    investigation_report, report_files, filter_descriptions, line_diff,
+    investigation_report, report_files, filter_descriptions, xml_pieces, line_diff,
 ]
 
 
