@@ -87,3 +87,18 @@ def looked_up(rows: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     keyed = dimension.withColumnRenamed(key, "_key").withColumn("_spread", F.lit(0).cast("long"))
     joined = rows.withColumns({"_key": F.coalesce(F.col(key), F.lit(0)), "_spread": spread}).join(keyed, ["_key", "_spread"], "left")
     return joined.drop("_key", "_spread")
+
+
+def running_max(df: DataFrame, group: list[str], order: str, values: dict[str, Column], descending: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Adds the largest of `values` over the rows of the group that come before in `order`, a whole number; NULL on the first.
+
+    Rows are windowed in blocks of `order`, one row per block carries the maxima on, so a group of any size spreads over tasks.
+    """
+    place = -F.col(order) if descending else F.col(order)
+    rows = df.withColumns({"_block": F.floor(place / block_rows), **{f"_v_{n}": v for n, v in values.items()}})
+    earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy(*group, "_block").agg(*[F.max(f"_v_{n}").alias(f"_m_{n}") for n in values]).select(
+        *group, "_block", *[F.max(f"_m_{n}").over(earlier).alias(f"_c_{n}") for n in values])
+    inside = Window.partitionBy(*group, "_block").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    found = {n: F.greatest(F.max(f"_v_{n}").over(inside), F.col(f"_c_{n}")) for n in values}
+    return rows.join(carried, [*group, "_block"]).withColumns(found).drop("_block", *[f"{p}_{n}" for p in ("_v", "_c") for n in values])

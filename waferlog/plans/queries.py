@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import display_time, normalize_sxfy, report_gap_text
 from ..operators import (
-    alarms as al, bitmaps, compare, detect, enrich, entries as en, filters, objects, ordered, related, roundtrip, rowwin, search, stats, xml,
+    alarms as al, align, bitmaps, compare, detect, enrich, entries as en, filters, objects, ordered, related, roundtrip, rowwin, search, stats, xml,
 )
 from ..schema import order_columns
 from ..sources import dims, sinks, synth
@@ -951,6 +951,16 @@ def line_diff(spark, d):
     return out.select("pair_id", "mark", "line", F.col("occurrence").cast("long").alias("occurrence"), "left_no", "right_no")
 
 
+def aligned_diff(spark, d):
+    """Every document against the first one that starts with the same line, aligned line by line; equal texts have no differences."""
+    line = F.substring_index("text", "\n", 1)
+    docs = spark.read.parquet(f"{d}/documents.parquet").filter("text IS NOT NULL").select("doc_id", "text", line.alias("line"))
+    heads = docs.groupBy("line").agg(F.min("doc_id").alias("first_id"))
+    firsts = heads.join(docs.select(F.col("doc_id").alias("first_id"), F.col("text").alias("left")), "first_id")
+    pairs = stage(docs.join(firsts, "line").filter("text <> left").select(F.col("doc_id").alias("pair_id"), "left", F.col("text").alias("right")), "pairs")
+    return align.aligned_diff(align.lines_of(pairs, "left"), align.lines_of(pairs, "right"))
+
+
 QUERIES = [
     file_scan, incremental_ingest, ordered_ingest, stale_sources, stream_ingest, mixed_entries, header_exclusion, object_events_mixed, sxfy_catalogue_mixed,
     sxfy_filter_mixed, top_sxfy_mixed, bookmark_store, csv_round_trip, level_file, context_all_alarms, time_windows_all_alarms,
@@ -970,7 +980,7 @@ QUERIES = [
     events_per_type, carrier_roundtrip, carrier_roundtrips, related_candidates, flow_terms, related_search,
     statistics, statistics_bookmarked, top_sxfy, top_ceids, top_event_names, top_ceid_hints, log_span,
     first_alarm, problem_entry, problem_context, pre_problem_signals, largest_gap, report_scope,
-    investigation_report, report_files, filter_descriptions, xml_pieces, line_diff,
+    investigation_report, report_files, filter_descriptions, xml_pieces, line_diff, aligned_diff,
 ]
 
 
