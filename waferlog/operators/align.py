@@ -97,8 +97,9 @@ def _matches(lines: DataFrame, block_rows: int) -> DataFrame:
         F.min(F.when(_left(), F.col("no"))).alias("l"), F.min(F.when(~_left(), F.col("no"))).alias("r"),
         (F.count("*") == 2).alias("once")).filter("l IS NOT NULL AND r IS NOT NULL")
     some = keys.groupBy(*_GAP).agg(F.max("once").alias("any_once"))
-    anchors = keys.join(some, _GAP).filter("once = any_once").select(*_GAP, "l", "r")
-    return trimmed.unionByName(_chain(anchors, block_rows))
+    # Anchors are read many times below; the lines they come from, once.
+    anchors = stage(keys.join(some, _GAP).filter("once = any_once").select(*_GAP, "l", "r"), "anchors")
+    return trimmed if anchors.isEmpty() else trimmed.unionByName(_chain(anchors, block_rows))
 
 
 def _chain(anchors: DataFrame, block_rows: int) -> DataFrame:
@@ -112,7 +113,7 @@ def _chain(anchors: DataFrame, block_rows: int) -> DataFrame:
     crossed = (F.coalesce("_top", F.lit(0)) > F.col("r")) | F.coalesce(-F.col("_low") < F.col("r"), F.lit(False))
     # A run goes on where the anchor before is the same one on either side.
     starts = ~F.col("_before_l").eqNullSafe(F.col("_before_r")["l"])
-    near = stage(near.select(*_GAP, "l", "r", crossed.alias("crossed"), starts.alias("starts")), "anchors")
+    near = stage(near.select(*_GAP, "l", "r", crossed.alias("crossed"), starts.alias("starts")), "crossings")
     kept = near.filter("NOT crossed").select(*_GAP, "l", "r")
     # What crosses anything crosses nothing beyond the next anchor that is not crossed.
     tangled = seen(near, "l", {"_safe": F.when(~F.col("crossed"), F.col("l")), "_start": F.when(F.col("starts"), F.col("l"))}).filter("crossed").select(
