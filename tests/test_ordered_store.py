@@ -106,3 +106,18 @@ def test_empty_stores_and_missing_times(spark, tmp_path):
         store_.update_order(spark, str(tmp_path / "none"))
     with pytest.raises(FileNotFoundError):
         stored_entries(spark, str(tmp_path / "none"))
+
+
+def test_ordered_ingest_of_a_log_whose_first_block_has_one_file(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from waferlog.plans import queries as q
+
+    # Three days of events: the first block of 4096 lies in the first day. Then a log of one file.
+    for name, days in (("dense", 3), ("one", 1)):
+        rows = [(i, datetime(2024, 1, 1 + i // 4096, 5) + timedelta(seconds=i % 4096), i % 7, "click", 1.0, '{"k": %d}' % (i % 9)) for i in range(0, 4096 * days, 512)]
+        folder = str(tmp_path / name)
+        spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")
+        got = q.ordered_ingest(spark, folder)
+        want = q.file_scan(spark, folder)
+        assert got.count() == 8 * days and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

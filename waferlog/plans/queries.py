@@ -253,22 +253,23 @@ def incremental_ingest(spark, d):
 def ordered_ingest(spark, d):
     """Three runs: without the oldest file and with another one cut short; with that one whole; with the oldest, which sorts before all."""
     folder, store = _write_logs(spark, d), new_path(spark, "store")
-    files = event_raw(spark, d).filter("dialect = 'MMI' AND block_no = 0").select("source_file").distinct()
-    oldest, other = (r["source_file"] for r in files.orderBy("source_file").limit(2).collect())
+    # The oldest file and the next one: a dense log's first block has but one file, and a short log may have no second.
+    files = event_raw(spark, d).filter("dialect = 'MMI'").select("block_no", "source_file").distinct()
+    held_back = [f"block {r['block_no']}/{r['source_file']}" for r in files.orderBy("block_no", "source_file").limit(2).collect()]
     path = spark._jvm.org.apache.hadoop.fs.Path
     system = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     aside = new_path(spark, "aside")
-    system.mkdirs(path(aside))
-    for name in (oldest, other):
-        system.rename(path(f"{folder}/block 0/{name}"), path(f"{aside}/{name}"))
-    short = system.create(path(f"{folder}/block 0/{other}"), True)
-    short.write(bytearray(b"2024-01-09 00:00:00:000|1|7|cut short\n"))
-    short.close()
-    load_ordered(spark, folder, store)
-    system.delete(path(f"{folder}/block 0/{other}"), False)
-    rows = None
-    for name in (other, oldest):
-        system.rename(path(f"{aside}/{name}"), path(f"{folder}/block 0/{name}"))
+    for name in held_back:
+        system.mkdirs(path(f"{aside}/{name}").getParent())
+        system.rename(path(f"{folder}/{name}"), path(f"{aside}/{name}"))
+    for name in held_back[1:]:
+        short = system.create(path(f"{folder}/{name}"), True)
+        short.write(bytearray(b"2024-01-09 00:00:00:000|1|7|cut short\n"))
+        short.close()
+    rows, _ = load_ordered(spark, folder, store)
+    for name in reversed(held_back):
+        system.delete(path(f"{folder}/{name}"), False)
+        system.rename(path(f"{aside}/{name}"), path(f"{folder}/{name}"))
         rows, _ = load_ordered(spark, folder, store)
     return rows.select("timeline_index", "log_type", "source_file", "seq_index", at(), "message")
 
