@@ -165,6 +165,23 @@ def test_roundtrips_of_two_carriers_restart_the_gap(spark):
     assert sorted((r["carrier"], r["line_no"]) for r in out if r["gap_ms"] is None) == [("lot01", 10), ("lot02", 30)]
 
 
+def test_roundtrips_over_short_cells_and_without_moving_made_rows(spark, monkeypatch):
+    rows = [entry(f"CarrierObject::ClearCarrierInfo Before Clear, this->CarrierID : LOT{i % 5}, SEQPortNo : {i % 2}, MMIPortNo : 9", i, i * 40) for i in range(60)]
+    rows += [entry(f"LoadPortObject::StateChange model=M, GetString()=PorNo: {i % 3}, LocID: LP1", 100 + i, i * 55) for i in range(40)]
+    rows += [entry(f"[ALARM] Alarm Code [{i}] of LOT{i % 7}", 200 + i, i * 37 - 200, color_index=31) for i in range(80)]
+    df = frame(spark, *rows)
+    carriers = spark.createDataFrame([(f"LOT{i}",) for i in range(7)], "carrier string")
+    found = lambda: roundtrip.carrier_roundtrips(carriers, df, objects.extract_object_events(df), al.extract_alarms(df))
+    want = sorted(map(str, found().collect()))
+    monkeypatch.setattr(roundtrip, "CELL_ROWS", 20)
+    out = found()
+    assert len(want) > 300 and sorted(map(str, out.collect())) == want
+    # Rows are made after the last exchange: nothing between the join with the carriers and the result is shuffled.
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    top = out._jdf.queryExecution().executedPlan().toString().split("ShuffledHashJoin")[0]
+    assert "ShuffledHashJoin" in plan and "Exchange" not in top and top.count("Sort [") == 1
+
+
 BODY = "SEND S6F11W\n  <L [3]>\n    <U4 [1] 0>\n    <U4 [1] 777>\n    <L [1]>\n      <L [2]>\n        <U4 [1] 10>\n        <L [1]>\n          <A [3] ABC>"
 
 
