@@ -253,7 +253,7 @@ def incremental_ingest(spark, d):
 def ordered_ingest(spark, d):
     """Three runs: without the oldest file and with another one cut short; with that one whole; with the oldest, which sorts before all."""
     folder, store = _write_logs(spark, d), new_path(spark, "store")
-    # The oldest file and the next one: a dense log's first block has but one file, and a short log may have no second.
+    # The oldest file and the next one: a dense log's first block has but one file. A log of one file has that one cut short.
     files = event_raw(spark, d).filter("dialect = 'MMI'").select("block_no", "source_file").distinct()
     held_back = [f"block {r['block_no']}/{r['source_file']}" for r in files.orderBy("block_no", "source_file").limit(2).collect()]
     path = spark._jvm.org.apache.hadoop.fs.Path
@@ -262,7 +262,7 @@ def ordered_ingest(spark, d):
     for name in held_back:
         system.mkdirs(path(f"{aside}/{name}").getParent())
         system.rename(path(f"{folder}/{name}"), path(f"{aside}/{name}"))
-    for name in held_back[1:]:
+    for name in held_back[-1:]:
         short = system.create(path(f"{folder}/{name}"), True)
         short.write(bytearray(b"2024-01-09 00:00:00:000|1|7|cut short\n"))
         short.close()
