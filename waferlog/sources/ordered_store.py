@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from ..functions.text import to_millis
 from ..operators.ordered import dense_index
-from ..schema import ENTRIES, order_columns
+from ..schema import ENTRIES, order_columns, text_once, text_whole
 from ..staging import stage
 from .manifest import published, stored_entries, stored_manifest
 
@@ -149,12 +149,13 @@ def order_entries(entries: DataFrame, files: DataFrame, store: str, span_ms: int
 
 def _write_ranges(rows: DataFrame, folder: str) -> None:
     """Sorted rows, numbered inside their ranges. A range of any size is split over tasks: the sort is on the whole key."""
-    sorted_rows = dense_index(rows, [F.col("range"), *order_columns()], "_at", "ranges")
+    sorted_rows = dense_index(text_once(rows), [F.col("range"), *order_columns()], "_at", "ranges")
     firsts = sorted_rows.groupBy("range").agg(F.min("_at").alias("_first"))
     placed = sorted_rows.join(firsts, "range").withColumn("pos", F.col("_at") - F.col("_first"))
     width = F.floor(F.col("pos") / 1_000_000)
+    dealt = placed.repartition("range", width).sortWithinPartitions("range", "pos")
     (
-        placed.repartition("range", width).sortWithinPartitions("range", "pos").select(*_ROWS.fieldNames(), "range")
+        text_whole(dealt).select(*_ROWS.fieldNames(), "range")
         .write.mode("overwrite").partitionBy("range").parquet(folder)
     )
 
