@@ -107,10 +107,11 @@ def _block_carries(raw_lines: DataFrame, flag_only: bool) -> DataFrame:
     marks = marks.withColumn("event", _dump_event(F.col("header"), F.col("start_line"), flag_only))
     # TRUE on a header, FALSE on another dump marker: an entry is closed by a header, and marked by the latter.
     kind = F.when(F.col("m_head"), True).when(F.col("start") | F.col("finish"), False)
-    ordered = Window.partitionBy(*BLOCK).orderBy("line_no")
+    # What follows a line is looked up from the other end: a frame that starts at the line is gone through anew for each one.
+    ordered, reversed_ = Window.partitionBy(*BLOCK).orderBy("line_no"), Window.partitionBy(*BLOCK).orderBy(F.desc("line_no"))
     marks = marks.withColumn("kind", kind).withColumns({
         "state": F.last("event", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0)),
-        "next_kind": F.first("kind", ignorenulls=True).over(ordered.rowsBetween(1, Window.unboundedFollowing)),
+        "next_kind": F.last("kind", ignorenulls=True).over(reversed_.rowsBetween(Window.unboundedPreceding, -1)),
     })
     candidate = F.col("timed") & (F.lit(flag_only) | ~(F.col("start") | F.col("finish")))
     last = marks.groupBy(*BLOCK).agg(
@@ -130,7 +131,7 @@ def _block_carries(raw_lines: DataFrame, flag_only: bool) -> DataFrame:
     )
     file = Window.partitionBy("source_path")
     earlier = file.orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
-    later = file.orderBy("block_no").rowsBetween(1, Window.unboundedFollowing)
+    later = file.orderBy(F.desc("block_no")).rowsBetween(Window.unboundedPreceding, -1)
     carried = blocks.join(last, BLOCK, "left").select(
         *BLOCK,
         "event",
@@ -138,7 +139,7 @@ def _block_carries(raw_lines: DataFrame, flag_only: bool) -> DataFrame:
         F.max("last_line").over(file).alias("line_count"),
         F.max("opens_mmi").over(file).alias("opens_mmi"),
         F.max("opens_secs").over(file).alias("opens_secs"),
-        F.first("first_kind", ignorenulls=True).over(later).alias("next_first"),
+        F.last("first_kind", ignorenulls=True).over(later).alias("next_first"),
         F.last("header", ignorenulls=True).over(earlier).alias("c_header"),
         F.max("start_line").over(earlier).alias("c_start"),
         F.last("s_mark", ignorenulls=True).over(earlier).alias("c_s_mark"),
