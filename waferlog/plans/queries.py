@@ -676,9 +676,7 @@ def highlight_terms(spark, d):
 def gram_postings(spark, d):
     """In how many blocks of 256 lines of the event log each run of three characters occurs."""
     text = F.lower(normalize_sxfy(F.col("message")))
-    found = event_entries(spark, d).select(
-        "source_path", F.floor(F.col("line_no") / 256).alias("block"), F.explode(F.array_distinct(search.text_grams(text, 3))).alias("gram"))
-    return found.distinct().groupBy("gram").agg(F.count("*").alias("blocks"))
+    return search.gram_blocks(event_entries(spark, d), text, ["source_path", F.floor(F.col("line_no") / 256)], 3)
 
 
 def indexed_search(spark, d):
