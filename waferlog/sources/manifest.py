@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..schema import ENTRIES
 from ..staging import stage
-from .raw import SUPPORTED
+from .raw import SUPPORTED, literal_path
 
 SCHEMA_VERSION = 1
 #: Keys that a file's rows are spread over when they meet the manifest.
@@ -83,7 +83,8 @@ def stored_manifest(spark: SparkSession, store: str) -> DataFrame | None:
 def ingest(spark: SparkSession, paths, store: str, parse, *, skip_setup_dump: bool = True, excluded_ceids=()) -> dict:
     """Parse only new or changed files and publish a store in which just their entries are replaced. Returns hits and misses.
 
-    `parse(paths) -> entries` reads the given files. The entries of a run go to a folder of their own; nothing stored before is touched. A
+    `parse(paths) -> entries` reads the given files, which are `paths` themselves where every file is new or changed: a listing of folders
+    costs a call a folder, one of named files a call a file. The entries of a run go to a folder of their own; nothing stored before is touched. A
     manifest that names each file's run is then written as a new version, and from that moment readers see it; a run that
     fails, or whose files changed while it read them, publishes nothing. Files that are gone from the listing aren't in the new manifest.
     """
@@ -97,7 +98,7 @@ def ingest(spark: SparkSession, paths, store: str, parse, *, skip_setup_dump: bo
     versions = _versions(spark, store)
     run = versions[-1] + 1 if versions else 1
     if changed:
-        parse(changed).write.mode("overwrite").parquet(f"{store}/entries/run={run}")
+        parse(paths if len(changed) == total else [literal_path(p) for p in changed]).write.mode("overwrite").parquet(f"{store}/entries/run={run}")
         require_unchanged(todo, file_manifest(spark, paths, options))
     if changed or previous is None or previous.count() != total:
         kept = current.withColumn("run", F.lit(run)) if previous is None else current.join(
