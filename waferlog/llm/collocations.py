@@ -1,10 +1,10 @@
-"""Collocations: exact phrase counts from the longest windows alone, and the scores of phrases by their weakest cut."""
+"""Collocations: exact phrase counts from windows cut where they turn rare, and the scores of phrases by their weakest cut."""
 
 from __future__ import annotations
 
 import string
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..staging import stage
 
@@ -13,6 +13,8 @@ PIECE_ENDS = ".,;:!?\x0A\x0B\x0C\x0D"
 WORD_GAPS = "\x20\x09"
 #: Copies of a part's count, among which the cuts that ask for it are dealt.
 SALTS = 4
+#: Bits of the filter of frequent pairs: for each of them, in one of its rows, and at most (32 MB).
+BITS_EACH, ROW_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 
 OUTPUTS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 
@@ -32,18 +34,51 @@ def padded_windows(docs: DataFrame, longest: int, text: str = "text", lang: str
     return leads.select("lang", *[F.coalesce(f"w{i}", F.lit("")).alias(f"w{i}") for i in range(1, longest + 1)])
 
 
+def frequent_pairs(windows: DataFrame, least: int) -> tuple[DataFrame, int]:
+    """`row`, `bits` (array of long): a bit is set for every two words that occur `least` times or more in a language; and the number of bits.
+
+    Only hashes are counted, and hashes may share a bit: some rarer pairs have theirs set as well, but no frequent pair lacks its own. A
+    filter has `BITS_EACH` bits for each frequent pair, `MOST_BITS` at most; beyond that it lets more of the rare pairs through.
+    """
+    counted = windows.where("w2 <> ''").groupBy(F.hash("lang", "w1", "w2").alias("h")).agg(F.count("*").alias("f"))
+    frequent = stage(counted.where(F.col("f") >= least).select("h"), "pairs")
+    total = min(max(ROW_BITS, 1 << (BITS_EACH * frequent.count()).bit_length()), MOST_BITS)
+    ones = frequent.select(F.shiftright(_place(F.col("h"), total), 6).cast("long").alias("id"), F.expr("shiftleft(1L, h & 63)").alias("bits"))
+    none = windows.sparkSession.range(total // 64).withColumn("bits", F.lit(0).cast("long"))
+    longs = ones.unionByName(none).groupBy("id").agg(F.bit_or("bits").alias("bits"))
+    in_order = F.array_sort(F.collect_list(F.struct("id", "bits")))["bits"]
+    return longs.groupBy((F.col("id") * 64 / ROW_BITS).cast("int").alias("row")).agg(in_order.alias("bits")), total
+
+
+def cut_windows(windows: DataFrame, longest: int, least: int) -> DataFrame:
+    """`key`: the language's hex digits and each window's words, joined by spaces, up to the first word that makes a rare pair with the one before."""
+    rows, total = frequent_pairs(windows, least)
+    on, words = F.lit(True), [F.hex("lang"), F.col("w1")]
+    for i in range(2, longest + 1):
+        place = _place(F.hash("lang", f"w{i - 1}", f"w{i}"), total)
+        windows = windows.withColumn(f"p{i}", place).withColumn(f"r{i}", (F.col(f"p{i}") / ROW_BITS).cast("int"))
+        windows = windows.join(F.broadcast(rows.select(F.col("row").alias(f"r{i}"), F.col("bits").alias(f"b{i}"))), f"r{i}")
+        within = F.shiftright(F.col(f"p{i}").bitwiseAND(ROW_BITS - 1), 6)
+        on = on & (F.col(f"w{i}") != "") & (F.getbit(F.get(f"b{i}", within), F.col(f"p{i}").bitwiseAND(63)) == 1)
+        words.append(F.when(on, F.col(f"w{i}")))
+    # One string per window takes half a shuffle's bytes of four columns. The language's hex digits and the words hold no space.
+    return windows.select(F.concat_ws(" ", *words).alias("key"))
+
+
+def _place(h: Column, total: int) -> Column:
+    return h.bitwiseAND(total - 1)
+
+
 def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text: str = "text", lang: str = "lang") -> DataFrame:
     """`lang`, `k`, `phrase`, `f`: every phrase of 1 to `longest` words that occurs `least` times or more, and each language's total (k = 0).
 
-    Only the padded longest windows are counted. Summed over their last words, they give the shorter phrases: a phrase of k words occurs as
-    often as windows start with it, since a window that the piece ends early is padded rather than left out.
+    Only padded windows are counted, each cut before the first word that makes a rare pair with the one before: no phrase that holds a rare
+    pair is frequent. Summed over their last words, they give the shorter phrases: a frequent phrase of k words occurs as often as windows
+    start with it, since a window that the piece ends early is padded rather than left out.
     """
-    # One string per window takes half a shuffle's bytes of four columns. The language's hex digits and the words hold no space.
-    windows = padded_windows(docs, longest, text, lang)
-    words = [F.nullif(F.col(w), F.lit("")) for w in windows.columns[1:]]
-    counted = windows.select(F.concat_ws(" ", F.hex("lang"), *words).alias("key")).groupBy("key").agg(F.count("*").alias("f"))
+    counted = cut_windows(padded_windows(docs, longest, text, lang), longest, least).groupBy("key").agg(F.count("*").alias("f"))
     # One condition over key and count stays above the aggregation, so that both branches read one exchange.
-    whole = counted.where(F.when(F.size(F.split("key", " ")) > longest, F.col("f")).otherwise(0) >= least)
+    whole = counted.where(F.when(F.col("f") >= least, F.size(F.split("key", " "))).otherwise(0) > longest)
     shorter = counted.groupBy(F.substring_index("key", " ", longest).alias("key")).agg(F.sum("f").alias("f")).withColumn("ws", F.split("key", " "))
     # The longest prefix has its sum already; ROLLUP sums those before it, down to the language.
     levels = [f"p{i}" for i in range(longest - 1)]
