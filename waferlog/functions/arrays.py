@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-#: Numbers whose running sums are appended one by one; longer arrays are summed in chunks of so many.
-CHUNK = 256
+#: Numbers whose running sums are appended one by one; longer arrays are summed in chunks of so many, or of the root of their number.
+CHUNK = 8
 
 
 def bind(value: Column, use) -> Column:
@@ -45,6 +45,13 @@ def sums_before(numbers: Column) -> Column:
         )
 
     def chunked(values: Column) -> Column:
-        return bind(positions(values, lambda _, i: i % CHUNK == 0), lambda starts: F.transform(cut(values, starts), running))
+        last = F.size(values) - 1
+        return bind(
+            F.greatest(F.lit(CHUNK), F.ceil(F.sqrt(F.size(values))).cast("int")),
+            lambda size: F.transform(
+                F.when(last >= 0, F.sequence(F.lit(0), last, size)).otherwise(F.array().cast("array<int>")),
+                lambda at: running(F.slice(values, at + 1, size)),
+            ),
+        )
 
     return bind(numbers, lambda values: bind(chunked(values), moved))
